@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["text"]
+FAMILIES = ["text", "quality", "dedup", "segment"]
 
 
 def load_all() -> None:
