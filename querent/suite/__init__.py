@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["text", "quality", "dedup", "segment"]
+FAMILIES = ["text", "quality", "dedup", "segment", "corpus"]
 
 
 def load_all() -> None:

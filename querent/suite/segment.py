@@ -104,14 +104,14 @@ def g01(spark, sf):
     return d.select("doc_id", F.inline(sg.pairs_by_markers(sg.normalise_document(F.col("text")))))
 
 
-HEADED = f"""n AS (SELECT doc_id, {NORMAL} AS t FROM v_dressed), l AS ({q_lines("n")}),
-    hd AS (SELECT *, regexp_matches(line, {lit(sg.HEADING)}) AND NOT regexp_matches(
-        regexp_extract(line, {lit(sg.HEADING)}, 1), {lit('^' + sg.STEP)}) AS mk FROM l),
-    hg AS (SELECT *, count_if(mk) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM hd),
+HEADED = f"""hn AS (SELECT doc_id, {NORMAL} AS t FROM v_dressed), hl AS ({q_lines("hn")}),
+    hh AS (SELECT *, regexp_matches(line, {lit(sg.HEADING)}) AND NOT regexp_matches(
+        regexp_extract(line, {lit(sg.HEADING)}, 1), {lit('^' + sg.STEP)}) AS mk FROM hl),
+    hg AS (SELECT *, count_if(mk) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM hh),
     hb AS (SELECT doc_id, grp, min(start) AS start, string_agg(CASE WHEN mk THEN line END, '') AS head,
         string_agg(CASE WHEN NOT mk THEN line END, chr(10) ORDER BY pos) AS body FROM hg WHERE grp > 0 GROUP BY doc_id, grp),
-    he AS (SELECT hb.*, coalesce(lead(start) OVER (PARTITION BY hb.doc_id ORDER BY grp), length(n.t)) AS stop
-        FROM hb JOIN n ON n.doc_id = hb.doc_id),
+    he AS (SELECT hb.*, coalesce(lead(start) OVER (PARTITION BY hb.doc_id ORDER BY grp), length(hn.t)) AS stop
+        FROM hb JOIN hn ON hn.doc_id = hb.doc_id),
     headed AS (SELECT doc_id, {q_strip("head")} AS question, {q_answer(q_strip("coalesce(body, '')"))} AS answer,
         CAST(NULL AS INTEGER) AS question_num, start::BIGINT AS start_pos, stop::BIGINT AS end_pos FROM he)"""
 
@@ -229,8 +229,9 @@ def g12(spark, sf):
     SELECT id // 100000 AS doc_id, title AS md_title, t AS content, false AS forced FROM st WHERE t <> '' AND length(t) <= 1500
     UNION ALL SELECT f.id // 100000, st.title, {q_strip("substr(f.t, CAST(s + 1 AS INTEGER), CAST(e - s AS INTEGER))")}, true FROM f JOIN st ON f.id = st.id"""))
 def g13(spark, sf):
-    """Documents with at least one heading; the others are g12's case."""
-    d = spaced(spark, sf).where(F.col("text").rlike(rf"(?md)^{INLINE}*#"))
+    """Documents with a heading that has text below; the others are g12's case."""
+    d = spaced(spark, sf).where(
+        F.col("text").rlike(rf"(?md)^{INLINE}*#.*\n(?!{INLINE}*#)"))
     return d.select("doc_id", F.inline(sg.chunk_markdown(F.col("text")))).select(
         "doc_id", "md_title", "content", F.coalesce("force_split", F.lit(False)).alias("forced"))
 
