@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quality import issue_kind, validate
+from ..functions.scores import exact_avg
 
 SCORES = ["overall", "garbled_ratio", "repetition_ratio", "special_char_ratio"]
 
@@ -27,7 +28,7 @@ def score_summary(checked: DataFrame) -> DataFrame:
         F.count_if(~F.col("is_valid")).alias("invalid"),
     ]
     for s in SCORES:
-        aggs += [F.avg(s).alias(f"{s}_mean"), F.min(s).alias(f"{s}_min"), F.max(s).alias(f"{s}_max")]
+        aggs += [exact_avg(F.col(s)).alias(f"{s}_mean"), F.min(s).alias(f"{s}_min"), F.max(s).alias(f"{s}_max")]
     return checked.agg(*aggs)
 
 

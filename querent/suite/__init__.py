@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["text", "quality", "dedup", "segment", "corpus"]
+FAMILIES = ["text", "quality", "dedup", "segment", "corpus", "interview"]
 
 
 def load_all() -> None:

@@ -7,7 +7,7 @@ from ..functions import segment as sg
 from ..functions.patterns import NORMAL_CHARS
 from ..operators import quality as op
 from .registry import query
-from .views import docs, lit, q_strip, q_sub, table, using
+from .views import docs, lit, q_avg, q_strip, q_sub, table, using
 
 _GARBLED = f"(CASE WHEN length(t) > 0 THEN 1e0 - CAST(length(t) - length({q_sub('t', f'[{NORMAL_CHARS}]')}) AS DOUBLE) / length(t) ELSE 0e0 END)"
 _SPECIAL = f"(CASE WHEN length(t) > 0 THEN CAST(length({q_sub('t', f'[{NORMAL_CHARS}]')}) AS DOUBLE) / length(t) ELSE 0e0 END)"
@@ -119,7 +119,7 @@ def t23(spark, sf):
         "id", "is_valid", F.array_join("issues", ";").alias("issues"), *op.SCORES)
 
 
-_MMM = ", ".join(f"avg({s}) AS {s}_mean, min({s}) AS {s}_min, max({s}) AS {s}_max" for s in op.SCORES)
+_MMM = ", ".join(f"{q_avg(s)} AS {s}_mean, min({s}) AS {s}_min, max({s}) AS {s}_max" for s in op.SCORES)
 
 
 @query("a03_score_summary", f"""{_CHECKED} SELECT count(*) AS total, count_if(is_valid)::BIGINT AS valid,

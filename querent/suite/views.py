@@ -166,4 +166,8 @@ def q_case(x: str, groups, default: str) -> str:
     return f"CASE {whens} ELSE {default} END"
 
 
+def q_avg(x: str) -> str:
+    return f"CAST(sum(CAST({x} AS DECIMAL(20,8))) AS DOUBLE) / count({x})"
+
+
 BREAK = "chr(10)"
