@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["text", "quality", "dedup", "segment", "corpus", "interview", "vectors", "neardup"]
+FAMILIES = ["text", "quality", "dedup", "segment", "corpus", "interview", "vectors", "neardup", "bank", "jobs"]
 
 
 def load_all() -> None:

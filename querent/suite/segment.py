@@ -151,9 +151,6 @@ def g09(spark, sf):
     return spaced(spark, sf).select("doc_id", F.posexplode(sg.chunk_pairs(sg.parse_pairs(F.col("text")))).alias("seq", "c")).select("doc_id", "seq", "c.*")
 
 
-_FENCED = (r"\n([A-ZÉÈ])", "\n```\n## \\1"), (r"^([A-ZÉÈ].*)$", "\\1\n```py")
-
-
 @query("g02_pairs_by_code", f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
     p AS (SELECT doc_id, ls[i] AS q, ls[i + 1] AS a, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls), 2)) AS i FROM s))
     SELECT doc_id, {q_strip("'## ' || q")} AS question, {q_strip("a")} AS answer,
@@ -171,6 +168,45 @@ def g02(spark, sf):
     return d.select("doc_id", F.inline(sg.pairs_by_code(dress))).drop("start_pos", "end_pos")
 
 
+@query("g03_pairs_by_paragraphs", using("v_docs", f""", {V_SPACED}, sp AS (SELECT doc_id, {NORMAL} AS t FROM v_spaced),
+    pp AS (SELECT doc_id, i, {q_strip("p")} AS p FROM (SELECT doc_id, unnest(string_split_regex(t, {lit(BLANK_LINE)})) AS p,
+        generate_subscripts(string_split_regex(t, {lit(BLANK_LINE)}), 1) AS i FROM sp)),
+    pq AS (SELECT *, p LIKE '%?' OR p LIKE '%？' OR regexp_matches(p, '^\p{{Nd}}+[.、]') OR regexp_matches(p, {lit('^#{1,4}' + SPACE + '*' + chr(92) + 'p{Nd}+')}) AS isq,
+        sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(p) - 2 AS at_ FROM pp),
+    pg AS (SELECT *, count_if(isq) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS grp FROM pq),
+    pb AS (SELECT doc_id, grp, max(CASE WHEN isq THEN p END) AS question, string_agg(CASE WHEN NOT isq AND p <> '' THEN p END, chr(10) || chr(10) ORDER BY i) AS answer,
+        min(at_)::BIGINT AS start_pos, max(at_ + length(p) + 2)::BIGINT AS end_pos FROM pg WHERE grp > 0 GROUP BY doc_id, grp)
+    SELECT doc_id, question, answer, start_pos, end_pos FROM pb WHERE answer IS NOT NULL"""))
+def g03(spark, sf):
+    return spaced(spark, sf).select("doc_id", F.inline(sg.pairs_by_paragraphs(
+        sg.normalise_document(F.col("text"))))).drop("question_num")
+
+
+@query("w06_section_islands", using("v_docs", f""", {V_SPACED}, sl AS ({q_lines("v_spaced", "text")}),
+    si AS (SELECT doc_id, line, count_if(regexp_matches(line, {lit('^' + INLINE + '*#')})) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS grp FROM sl)
+    SELECT doc_id, grp, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM si WHERE grp > 0 GROUP BY doc_id, grp"""))
+def w06(spark, sf):
+    """Lines and characters per heading section; the boundary splits the text."""
+    parts = F.filter(F.split("text", rf"(?md)^(?={INLINE}*#)", -1), lambda s: s.rlike(f"^{INLINE}*#"))
+    s = spaced(spark, sf).select("doc_id", F.posexplode(parts).alias("i", "s"), F.size(parts).alias("n"))
+    body = F.when(F.col("i") < F.col("n") - 1, F.regexp_replace("s", r"\n\z", "")).otherwise(F.col("s"))
+    lines = F.split(body, "\n", -1)
+    return s.select("doc_id", (F.col("i") + 1).cast("bigint").alias("grp"), F.size(lines).cast("bigint").alias("lines"),
+                    (F.length(body) - F.size(lines) + 1).cast("bigint").alias("chars"))
+
+
+@query("g10_split_long_pairs")
+def g10(spark, sf):
+    """Every document as the answer of one long pair."""
+    pair = F.struct(F.split_part("text", F.lit("."), F.lit(1)).alias("question"), F.col("text").alias("answer"), F.lit(1).alias("question_num"))
+    return spaced(spark, sf).select("doc_id", F.posexplode(sg.split_long_pair(pair)).alias("seq", "c")).select("doc_id", "seq", "c.*")
+
+
+@query("g11_overlap_text")
+def g11(spark, sf):
+    return docs(spark, sf).select("doc_id", sg.overlap_text(F.col("text")).alias("tail"))
+
+
 # --- packing ------------------------------------------------------------------
 _PARAS = f"""pr AS (SELECT doc_id, i, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (
         SELECT doc_id, i, {q_strip("p")} AS p FROM (SELECT doc_id,
