@@ -12,14 +12,19 @@ from .text import strip
 GRAM_LENGTHS = (3, 5, 10)
 
 
+def _abnormal(c: Column) -> Column:
+    """Characters outside the normal class: what is left without runs of it."""
+    return F.length(F.regexp_replace(c, f"[{NORMAL_CHARS}]+", ""))
+
+
 def garbled_ratio(c: Column) -> Column:
     n = F.length(c)
-    return F.when(n > 0, F.lit(1.0) - F.regexp_count(c, F.lit(f"[{NORMAL_CHARS}]")) / n).otherwise(0.0)
+    return F.when(n > 0, F.lit(1.0) - (n - _abnormal(c)) / n).otherwise(0.0)
 
 
 def special_ratio(c: Column) -> Column:
     n = F.length(c)
-    return F.when(n > 0, F.regexp_count(c, F.lit(f"[^{NORMAL_CHARS}]")) / n).otherwise(0.0)
+    return F.when(n > 0, _abnormal(c) / n).otherwise(0.0)
 
 
 def run_length(c: Column) -> Column:

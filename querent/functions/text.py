@@ -9,7 +9,7 @@ from . import lexicon as lx
 from .arrays import bind
 from .patterns import (
     BLANK_LINE, CJK_CHARS, DIGIT, INLINE, INLINE_CHARS, LINE_BREAK, NUMERALS,
-    SPACE, SPACE_CHARS, STRIP, WORD_CHARS,
+    SPACE, SPACE_CHARS, SPACES, WORD_CHARS,
 )
 
 PAGE_NUMBER = (
@@ -37,7 +37,7 @@ UNSAFE_NAME = r'[<>:"/\\|?*]+'
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, STRIP, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse_breaks(c: Column) -> Column:
@@ -124,7 +124,7 @@ def is_noise_line(c: Column) -> Column:
         (F.length(c) <= 2)
         | c.rlike(PAGE_NUMBER)
         | (
-            F.regexp_count(c, F.lit(f"[{WORD_CHARS}]"))
+            (F.length(c) - F.length(F.regexp_replace(c, f"[{WORD_CHARS}]+", "")))
             / F.greatest(F.length(c), F.lit(1)) < F.lit(0.2)
         )
     )
@@ -157,12 +157,14 @@ def clean_lines(
         )
         return bind(
             F.struct(lines.alias("lines"), repeated.alias("repeated")),
-            lambda v: F.filter(
-                v["lines"],
-                lambda l: ~(
-                    (F.length(l) <= repeat_max_length)
-                    & F.array_contains(v["repeated"], normalise_line(l))
-                ),
+            lambda v: F.when(F.size(v["repeated"]) == 0, v["lines"]).otherwise(
+                F.filter(
+                    v["lines"],
+                    lambda l: ~(
+                        (F.length(l) <= repeat_max_length)
+                        & F.array_contains(v["repeated"], normalise_line(l))
+                    ),
+                )
             ),
         )
 

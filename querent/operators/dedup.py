@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import once
 from ..functions.text import dedup_normal, fingerprint, question_key
+from ..session import materialize
 from .ranking import first_seen, with_best_before
 
 
@@ -42,7 +44,9 @@ def duplicate_log(df: DataFrame, text: str, order: str) -> DataFrame:
     A longer newcomer replaces the row kept so far, which then is the removed
     one.
     """
-    slim = df.select(F.col(order), fingerprint(F.col(text)).alias("hash"), F.length(text).alias("len"))
+    slim = materialize(
+        df.select(F.col(order), fingerprint(F.col(text)).alias("hash"), F.length(text).alias("len")), "hashes"
+    )
     rank = F.struct(F.col("len").alias("len"), (-F.col(order)).alias("neg"))
     met = with_best_before(slim, ["hash"], order, rank).where(F.col("best_before").isNotNull())
     other = -F.col("best_before.neg")
@@ -59,8 +63,8 @@ def across_files(df: DataFrame, text: str, source: str, key: str) -> DataFrame:
     Two different files per hash are visible from the least and the greatest
     file name, so no set of files is collected.
     """
-    hashed = df.where(F.col(source).isNotNull()).select(
-        source, key, fingerprint(F.col(text)).alias("hash")
+    hashed = materialize(
+        df.where(F.col(source).isNotNull()).select(source, key, fingerprint(F.col(text)).alias("hash")), "hashes"
     )
     shared = (
         hashed.groupBy("hash")
@@ -80,7 +84,7 @@ def first_per_question(df: DataFrame, text: str, order: str) -> tuple[DataFrame,
 
     Returns (kept rows with their ``key``, (key, source) of later repeats).
     """
-    keyed = df.withColumn("key", question_key(F.col(text))).where("key <> ''")
+    keyed = materialize(once(df, key=question_key(F.col(text))).where("key <> ''"), "keyed")
     firsts = keyed.groupBy("key").agg(F.min(order).alias("_first"))
     marked = keyed.join(firsts, "key")
     kept = marked.where(F.col(order) == F.col("_first")).drop("_first")

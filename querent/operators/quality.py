@@ -13,10 +13,11 @@ SCORES = ["overall", "garbled_ratio", "repetition_ratio", "special_char_ratio"]
 
 def validate_chunks(chunks: DataFrame, remove_invalid: bool = False, **limits) -> DataFrame:
     """Chunks with their validation record flattened behind their own columns."""
-    checked = chunks.withColumn(
-        "_v",
-        validate(F.col("content"), F.col("question"), F.col("answer"), F.col("chunk_type"), **limits),
-    ).select(*chunks.columns, "_v.*")
+    record = validate(
+        F.col("content"), F.col("question"), F.col("answer"), F.col("chunk_type"), **limits
+    )
+    # Generated columns, so that a filter on them does not compute them again.
+    checked = chunks.select("*", F.inline(F.array(record)))
     return checked.where("is_valid") if remove_invalid else checked
 
 

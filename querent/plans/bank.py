@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import labels as lb
 from ..functions import segment as sg
 from ..functions import text as tx
+from ..functions.arrays import once
 from ..operators.dedup import first_per_question
 from ..operators.packing import pack_batches
 from ..operators.ranking import first_seen, with_ordinal
+from ..session import materialize
 from ..sources.banks import flatten_banks, item_text, parse_model_items
 
 
@@ -27,8 +29,8 @@ def raw_questions(banks: DataFrame) -> DataFrame:
 
 def candidates(raw: DataFrame) -> DataFrame:
     """Raw questions with their normal form and a noise flag."""
-    clean = raw.withColumn("question", tx.normalise_question(F.col("text"))).drop("text")
-    return clean.withColumn("noise", tx.is_question_noise(F.col("question")))
+    clean = once(raw, question=tx.normalise_question(F.col("text"))).drop("text")
+    return once(clean, noise=tx.is_question_noise(F.col("question")))
 
 
 def clean_batches(
@@ -51,10 +53,10 @@ def clean_batches(
         "file", F.nullif(F.col("hint"), F.lit("")).alias("hint"), F.col("pos").alias("_start"),
         F.posexplode(parse_model_items(F.col("output"))).alias("_at", "_item"),
     )
-    texts = items.select(
-        "file", "hint", (F.col("_start") * 64 + F.col("_at")).alias("pos"),
-        tx.normalise_question(item_text(F.col("_item"))).alias("question"),
-    ).where("question <> ''")
+    texts = once(
+        items.select("file", "hint", (F.col("_start") * 64 + F.col("_at")).alias("pos"), "_item"),
+        question=tx.normalise_question(item_text(F.col("_item"))),
+    ).drop("_item").where("question <> ''")
     return texts.where(~tx.is_question_noise(F.col("question")))
 
 
@@ -72,7 +74,7 @@ def build_bank(raw: DataFrame, cleaner: Callable[[DataFrame], DataFrame] | None
 
     Without a ``cleaner`` the normalised candidates go on as they are.
     """
-    cands = candidates(raw)
+    cands = materialize(candidates(raw), "candidates")
     kept = cands.where(~F.col("noise")).drop("noise")
     cleaned = clean_batches(kept, cleaner) if cleaner else kept
     rows = ordered(cleaned).withColumn("source", F.col("file"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import labels as lb
 from ..functions import segment as sg
 from ..functions import text as tx
-from ..functions.patterns import BLANK_LINE, INLINE, SPACE, WORD_CHARS
+from ..functions.arrays import once
+from ..functions.patterns import BLANK_LINE, DIGIT, INLINE, SPACE, WORD_CHARS
 from ..operators.packing import pack_batches
 from .registry import query
 from .text import RAW_ITEMS_SQL, q_noise, q_question, raw_items
@@ -171,7 +172,7 @@ def g02(spark, sf):
 @query("g03_pairs_by_paragraphs", using("v_docs", f""", {V_SPACED}, sp AS (SELECT doc_id, {NORMAL} AS t FROM v_spaced),
     pp AS (SELECT doc_id, i, {q_strip("p")} AS p FROM (SELECT doc_id, unnest(string_split_regex(t, {lit(BLANK_LINE)})) AS p,
         generate_subscripts(string_split_regex(t, {lit(BLANK_LINE)}), 1) AS i FROM sp)),
-    pq AS (SELECT *, p LIKE '%?' OR p LIKE '%？' OR regexp_matches(p, '^\p{{Nd}}+[.、]') OR regexp_matches(p, {lit('^#{1,4}' + SPACE + '*' + chr(92) + 'p{Nd}+')}) AS isq,
+    pq AS (SELECT *, p LIKE '%?' OR p LIKE '%？' OR regexp_matches(p, {lit(chr(94) + DIGIT + '+[.、]')}) OR regexp_matches(p, {lit('^#{1,4}' + SPACE + '*' + DIGIT + '+')}) AS isq,
         sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(p) - 2 AS at_ FROM pp),
     pg AS (SELECT *, count_if(isq) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS grp FROM pq),
     pb AS (SELECT doc_id, grp, max(CASE WHEN isq THEN p END) AS question, string_agg(CASE WHEN NOT isq AND p <> '' THEN p END, chr(10) || chr(10) ORDER BY i) AS answer,
@@ -313,7 +314,8 @@ def g17(spark, sf):
     items = raw_items(spark, sf).select(
         F.col("doc_id").alias("file"), (F.col("seq") % 2).cast("bigint").alias("hint"),
         (F.col("doc_id") * 100000 + F.col("seq")).alias("ord"),
-        tx.normalise_question(F.col("item")).alias("q"))
+        tx.normalise_question(F.col("item")).alias("q0"))
+    items = once(items, q=F.col("q0")).drop("q0")
     return pack_batches(items.where(~tx.is_question_noise(F.col("q"))), ["file", "hint"], "ord", "q", 800, 12)
 
 

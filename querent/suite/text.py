@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..functions.arrays import once
 from ..functions.patterns import (
     CJK_CHARS, INLINE, SPACE, SPACE_CHARS, WORD_CHARS,
 )
@@ -214,8 +215,7 @@ def t25(spark, sf):
 @query("t26_question_noise", f"""WITH i AS {RAW_ITEMS_SQL}, n AS (SELECT doc_id, seq, {q_question("item")} AS q FROM i)
     SELECT doc_id, seq::INTEGER AS seq, q AS question FROM n WHERE {q_noise("q")}""")
 def t26(spark, sf):
-    n = raw_items(spark, sf).select(
-        "doc_id", "seq", tx.normalise_question(F.col("item")).alias("question"))
+    n = once(raw_items(spark, sf), question=tx.normalise_question(F.col("item"))).drop("item")
     return n.where(tx.is_question_noise(F.col("question")))
 
 

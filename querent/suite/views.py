@@ -10,7 +10,17 @@ from ..functions.patterns import STRIP
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """One of the given tables.
+
+    Text tables are worked on row by row.  One that comes in fewer files than
+    there are cores is dealt out to all of them; a large table has files enough
+    and is left as it is.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and len(df.inputFiles()) < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
