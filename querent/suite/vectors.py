@@ -53,7 +53,7 @@ def v04(spark, sf):
 
 @query("v05_postfilter", using("v_index", f""", {_CENTRES}, w AS ({_top(10, _DOT)})
     SELECT query_id, chunk_id, score, position, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank
-    FROM w WHERE position = 3"""))
+    FROM w WHERE position = 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5"""))
 def v05(spark, sf):
     return vx.top_k_postfilter(vectors(spark, sf), centres(spark, sf), 5, F.col("position") == 3, ["position"]).where("rank <= 5")
 
