@@ -29,12 +29,12 @@ def dressed(spark, sf):
     t = F.col("text")
     for pattern, to in DRESS:
         t = F.regexp_replace(t, "(?md)" + pattern, to.replace("\\1", "$1"))
-    return docs(spark, sf).select("doc_id", "source_file", "category", t.alias("text"))
+    return once(docs(spark, sf), text=t).select("doc_id", "source_file", "category", "text")
 
 
 def spaced(spark, sf):
-    return dressed(spark, sf).withColumn(
-        "text", F.regexp_replace("text", _BLANKS[0], _BLANKS[1].replace("\\1", "$1")))
+    t = F.regexp_replace("text", _BLANKS[0], _BLANKS[1].replace("\\1", "$1"))
+    return once(dressed(spark, sf), text=t)
 
 
 def _sql_dress() -> str:
