@@ -1,4 +1,4 @@
-"""Headline queries: median of three runs after a warm-up, one JSON line."""
+"""Headline queries: median of BENCH_REPEATS runs after a warm-up, one JSON line."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ def run(fn, spark, sf: str) -> float:
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     load_all()
     if names == ["all"]:
         names = list(QUERIES)
