@@ -121,7 +121,7 @@ class SessionTimeout:
         self.handle = handle
         self.seen = handle.getValueState("seen", "first bigint, last bigint, n bigint")
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
         state = self.seen.get() if self.seen.exists() else None
@@ -138,7 +138,7 @@ class SessionTimeout:
         self.seen.update((first, last, n))
         yield pd.DataFrame({"session_id": [], "first_ms": [], "last_ms": [], "events": []})
 
-    def handleExpiredTimer(self, key, timers, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
         first, last, n = self.seen.get()
