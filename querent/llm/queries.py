@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .decontaminate import contamination
 from .sharding import plan_tree, shard_documents
+from .simhash import near_duplicates
+from .toxicity import score_documents
 from .warc import archive_round_trip
 
 QUERIES = {}
@@ -51,3 +54,44 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM digests JOIN firsts USING (payload_digest)""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read(spark, sf_dir, "pages"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+_WORDS = "regexp_extract_all(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+@query("op10_decontaminate", f"""
+WITH item_words AS (
+    SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS.format(x="text")} AS w
+    FROM benchmark WHERE text IS NOT NULL),
+item_windows AS (
+    SELECT item_id, least(len(w), 10) AS n, unnest(list_transform(
+        generate_series(1, greatest(1, len(w) - 9)), lambda i: array_to_string(w[i : i + least(len(w), 10) - 1], ' '))) AS win
+    FROM item_words WHERE len(w) > 0),
+doc_words AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(x="coalesce(text, '')")} AS w FROM documents),
+lengths AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+    SELECT r, n, unnest(generate_series(1, len(w) - n + 1)) AS i, w FROM doc_words, lengths WHERE len(w) >= n),
+cut AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS win FROM doc_windows),
+hits AS (SELECT r, cut.n, i, item_id FROM cut JOIN item_windows USING (win)),
+hit_words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (
+    SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT r, n, i FROM hits)) GROUP BY r),
+hit_items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
