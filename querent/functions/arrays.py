@@ -37,12 +37,35 @@ def last(arr: Column) -> Column:
     return F.get(arr, F.size(arr) - 1)
 
 
+def _running(values: Column, start: Column) -> Column:
+    return F.aggregate(values, F.array(start), lambda acc, v: F.concat(acc, F.array(last(acc) + v)))
+
+
 def prefix_sums(values: Column) -> Column:
-    """Running totals starting at 0: one entry more than ``values``."""
-    return F.aggregate(
-        values,
-        F.array(F.lit(0).cast("bigint")),
-        lambda acc, v: F.concat(acc, F.array(last(acc) + v.cast("bigint"))),
+    """Running totals starting at 0: one entry more than ``values``.
+
+    Long arrays go in pieces of about the square root of their length, so that
+    no growing array is copied for every element of the whole.
+    """
+    zero = F.lit(0).cast("bigint")
+    total = lambda part: F.aggregate(part, zero, lambda acc, v: acc + v)
+
+    def pieces(all_: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        cut = F.transform(
+            F.sequence(F.lit(0), F.ceil(F.size(all_) / width).cast("int") - 1),
+            lambda i: F.slice(all_, i * width + 1, width),
+        )
+        return bind(cut, lambda parts: bind(_running(F.transform(parts, total), zero), lambda starts: F.concat(
+            F.flatten(F.transform(parts, lambda p, i: bind(
+                _running(p, F.get(starts, i)), lambda sums: F.slice(sums, 1, F.size(sums) - 1)
+            ))),
+            F.array(last(starts)),
+        )))
+
+    return bind(
+        F.transform(values, lambda v: v.cast("bigint")),
+        lambda all_: F.when(F.size(all_) <= 64, _running(all_, zero)).otherwise(pieces(all_)),
     )
 
 
