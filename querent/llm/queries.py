@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lm_scoring
+from .ann import build_index, nearest
 from .common import read
 from .decontaminate import contamination
+from .html_extract import extract_pages
+from .mixing import mix
+from .pii import personal_data
 from .sharding import plan_tree, shard_documents
 from .simhash import near_duplicates
 from .toxicity import score_documents
@@ -26,6 +31,34 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op4_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
+@query("op5_ann")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return nearest(build_index(vectors), vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op7_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_html")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
+@query("op9_lm_scoring")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeness to the documents labelled as good, against all documents."""
+    good = read(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scoring.score_documents(read(spark, sf_dir, "documents"), good)
+
+
 @query("op1_sharding")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(read(spark, sf_dir, "documents"), plan_tree(16))
