@@ -1,9 +1,9 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 A bounded sample of labelled documents is the example set.  Its vocabulary is
-the words tied to the label beyond chance (a likelihood-ratio test on distinct
-documents, near copies counted once); their document frequencies come from all
-documents.  The examples lie in a block-max inverted index that every task
+the words and word beginnings that stand almost only in toxic documents, beyond
+chance (a likelihood-ratio test on distinct documents, near copies counted
+once); their document frequencies come from all documents.  The examples lie in a block-max inverted index that every task
 holds; a document visits blocks by falling upper bound and stops when no block
 left can reach its k-th neighbour, so neighbours are exact.  Neighbours vote
 with their cosine, each class weighted back from its sample to its size among
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 WORD = re.compile(r"[^\W_]+")
+#: Lengths of the word beginnings that are terms of their own.
+STEMS = (4, 5)
 THRESHOLD = 0.7
 BLOCK = 64
 
@@ -34,8 +36,40 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 != 1, F.lit(False))
 
 
+def features(text: str | None) -> Counter:
+    """Counts of words, and of word beginnings (marked ``*``)."""
+    found = Counter(WORD.findall((text or "").lower()))
+    for w, n in list(found.items()):
+        for k in STEMS:
+            if len(w) > k:
+                found[f"{w[:k]}*"] += n
+    return found
+
+
+@dataclass
+class Vocabulary:
+    """Places of terms, found in a text without building its other features."""
+
+    terms: list[str]
+
+    def __post_init__(self) -> None:
+        self.place = {t: i for i, t in enumerate(self.terms)}
+        self.stems = {t[:-1]: i for t, i in self.place.items() if t.endswith("*")}
+
+    def count(self, text: str | None) -> Counter:
+        found: Counter = Counter()
+        place, stems = self.place, self.stems
+        for w, n in Counter(WORD.findall((text or "").lower())).items():
+            if w in place:
+                found[place[w]] += n
+            for k in STEMS:
+                if w[:k] in stems and len(w) > k:
+                    found[stems[w[:k]]] += n
+        return found
+
+
 def _sample_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words with counts, and four min-hashes of three-word shingles."""
+    """Terms with counts, and four min-hashes of three-word shingles."""
     from zlib import crc32
 
     mixers = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -43,7 +77,7 @@ def _sample_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, counts, mins = [], [], []
         for text in batch["text"]:
             found = WORD.findall((text or "").lower())
-            tally = Counter(found)
+            tally = features(text)
             words.append(list(tally))
             counts.append(list(tally.values()))
             codes = np.fromiter((crc32(w.encode()) for w in found), np.uint64, len(found))
@@ -78,7 +112,7 @@ def _distinct(features: pd.DataFrame) -> set[int]:
 class Index:
     """Block-max inverted index over unit vectors of the examples."""
 
-    terms: dict[str, int]
+    terms: Vocabulary
     idf: np.ndarray
     blocks: list[np.ndarray]  # per term: blocks with postings
     most: list[np.ndarray]  # per term: largest weight in each of them
@@ -113,17 +147,16 @@ class Index:
             found, scores = found[top], scores[top]
         return found, scores
 
-    def vector(self, words: Counter) -> dict[int, float]:
-        raw = {self.terms[w]: (1 + np.log(n)) for w, n in words.items()}
-        raw = {t: v * self.idf[t] for t, v in raw.items()}
+    def vector(self, counts: Counter) -> dict[int, float]:
+        raw = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
         norm = np.sqrt(sum(v * v for v in raw.values()))
         return {t: v / norm for t, v in raw.items()}
 
     def score(self, text: str | None, k: int, smoothing: float) -> tuple[float, list[int]]:
-        words = Counter(w for w in WORD.findall((text or "").lower()) if w in self.terms)
-        if not words:
+        counts = self.terms.count(text)
+        if not counts:
             return self.silent, []
-        found, cosines = self.nearest(self.vector(words), k)
+        found, cosines = self.nearest(self.vector(counts), k)
         votes = cosines * self.value[found]
         # the prior counts like a distant example, so lone weak neighbours decide little
         score = (float(votes @ self.toxic[found]) + smoothing * self.prior) / (float(votes.sum()) + smoothing)
@@ -136,7 +169,8 @@ def _build(terms: list[str], idf: np.ndarray, sample: pd.DataFrame, postings: pd
     prior = sizes.get(1, 0) / total if total else 0.0
     kept = sample.groupby("toxic")["doc_id"].count().to_dict()
     per = {y: sizes.get(y, 0) / n for y, n in kept.items()}
-    place = {w: i for i, w in enumerate(terms)}
+    known = Vocabulary(terms)
+    place = known.place
     vectors: dict[int, dict[int, float]] = {}
     for doc_id, word, n in postings.itertuples(index=False):
         vectors.setdefault(int(doc_id), {})[place[word]] = (1 + np.log(n)) * idf[place[word]]
@@ -161,7 +195,7 @@ def _build(terms: list[str], idf: np.ndarray, sample: pd.DataFrame, postings: pd
         out["weights"].append(weights)
     without = {y: sum(1 for d, l in label.items() if l == y and d not in vectors) * per.get(y, 0) for y in (0, 1)}
     return Index(
-        place, idf, toxic=np.array([label[d] for d in ids], float),
+        known, idf, toxic=np.array([label[d] for d in ids], float),
         value=np.array([per[label[d]] for d in ids]) / max(per.values(), default=1.0),
         ids=np.array(ids, np.int64), prior=prior,
         silent=(without[1] + prior) / (without[0] + without[1] + 1), **out,
@@ -170,14 +204,14 @@ def _build(terms: list[str], idf: np.ndarray, sample: pd.DataFrame, postings: pd
 
 def train(
     docs: DataFrame, labels: DataFrame, toxic_examples: int = 4_000, clean_examples: int = 12_000,
-    max_terms: int = 4_096, least_gain: float = 24.0,
+    max_terms: int = 4_096, least_gain: float = 20.0, least_share: float = 0.8,
 ) -> Index:
     """Fit on a sample of at most ``toxic_examples`` and ``clean_examples`` documents.
 
     Examples are the labelled, learnable documents of smallest hashed id; a
     doc_id labelled twice counts as toxic if any label says so, null labels and
-    ids are left out.  ``least_gain`` is the likelihood-ratio statistic a word
-    needs.  Without examples of both labels every score is the label's rate.
+    ids are left out.  ``least_gain`` is the likelihood-ratio statistic a term
+    needs, ``least_share`` the share of toxic ones among the documents with it.  Without examples of both labels every score is the label's rate.
     """
     marks = (
         labels.where("toxic in (0, 1)").where(learnable(F.col("doc_id")))
@@ -205,13 +239,15 @@ def train(
     if not 0 < rate < 1:
         return _build([], np.empty(0), shown, pd.DataFrame(columns=["doc_id", "word", "n"]), sizes)
 
+    each = {y: sizes[y] / float((shown["toxic"] == y).sum()) for y in (0, 1)}
+
     def gain(count: Column, share: float) -> Column:
         return F.when(count > 0, count * F.log(count / (F.col("n") * share))).otherwise(0.0)
 
     ranked = (
         features.select("toxic", F.explode("words").alias("word")).groupBy("word")
         .agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("a") > F.col("n") * rate)
+        .where(F.col("a") * each[1] >= least_share * (F.col("a") * each[1] + (F.col("n") - F.col("a")) * each[0]))
         .withColumn("gain", 2 * (gain(F.col("a"), rate) + gain(F.col("n") - F.col("a"), 1 - rate)))
         .where(F.col("gain") >= least_gain)
         .orderBy(F.desc("gain"), "word").limit(max_terms).select("word")
@@ -228,15 +264,15 @@ def train(
 
 def _idf(docs: DataFrame, terms: list[str]) -> np.ndarray:
     """Smoothed inverse document frequency over all of ``docs``."""
-    place = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(terms)})
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(terms))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = place.value
+        known = shared.value
         seen: Counter = Counter()
         for batch in batches:
             seen[-1] += len(batch)
             for text in batch["text"]:
-                seen.update({terms[w] for w in WORD.findall((text or "").lower()) if w in terms})
+                seen.update(known.count(text).keys())
         yield pd.DataFrame({"term": list(seen.keys()), "n": list(seen.values())}, dtype="int64")
 
     counts = docs.select("text").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
