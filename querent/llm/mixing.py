@@ -189,7 +189,8 @@ def mix(
             ).alias("block"),
         )
     )
-    return Mix(sized, slots, targets, block_words)
+    # written, so that Spark knows its size when it chooses how to join it
+    return Mix(sized, materialize(slots, "slots"), targets, block_words)
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
