@@ -145,7 +145,7 @@ def _subtree_pair(depth: int, budget: int):
     return join
 
 
-def near_links(prints: DataFrame, budget: int = BUDGET, subtree: int = 1 << 15) -> DataFrame:
+def near_links(prints: DataFrame, budget: int = BUDGET, subtree: int = 1 << 13) -> DataFrame:
     """Links ``a, b`` that connect what ``budget`` or fewer differing bits connect.
 
     ``prints`` holds distinct fingerprints.  Depth grows with their number, so a
