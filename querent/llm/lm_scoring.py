@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .decontaminate import words_of
 
-VOCABULARY = 2_048
+#: Bounds the model: its table has the square of this many entries.
+VOCABULARY = 1_024
 UNKNOWN, START = 0, 1
 _FLUSH = 200_000
 
@@ -90,16 +91,20 @@ def pair_counts(encoded: DataFrame, size: int) -> DataFrame:
     )
 
 
-def losses(counts: np.ndarray, size: int, weight: float) -> np.ndarray:
+def losses(pairs: np.ndarray, counts: np.ndarray, size: int, weight: float) -> np.ndarray:
     """Negative log probability of each (previous, next) pair under a bigram model.
 
     Bigrams fall back on unigrams with ``weight`` pseudo-counts, unigrams on the
-    uniform distribution with half a count each.
+    uniform distribution with half a count each.  What is never seen is a sum of
+    two terms, so the table is filled without copies of its size.
     """
-    table = counts.reshape(size, size).astype(np.float64)
-    single = table.sum(0)
+    before, after = pairs // size, pairs % size
+    single = np.bincount(after, counts, size)
     single = (single + 0.5) / (single.sum() + 0.5 * size)
-    return -np.log((table + weight * single) / (table.sum(1, keepdims=True) + weight)).ravel()
+    total = np.bincount(before, counts, size) + weight
+    table = np.add.outer(np.log(total).astype(np.float32), -np.log(weight * single).astype(np.float32)).ravel()
+    table[pairs] = np.log(total[before]) - np.log(counts + weight * single[after])
+    return table
 
 
 def score_documents(
@@ -118,12 +123,10 @@ def score_documents(
     wanted = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("wanted", F.lit(True))
     counts = pair_counts(
         encoded.join(wanted, "doc_id", "left").select("ids", F.coalesce("wanted", F.lit(False)).alias("wanted")), size
-    ).toPandas()  # at most size * size rows
-    tables = []
-    for name in ("target", "background"):
-        table = np.zeros(size * size, np.int64)
-        table[counts["pair"].to_numpy()] = counts[name].to_numpy()
-        tables.append(losses(table, size, weight).astype(np.float32))
+    ).toArrow()  # at most size * size rows
+    pairs = counts["pair"].to_numpy()
+    tables = [losses(pairs, counts[name].to_numpy(), size, weight) for name in ("target", "background")]
+    del counts, pairs
     shared = spark.sparkContext.broadcast(tuple(tables))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
