@@ -11,7 +11,7 @@ and every task may hold it.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,27 +25,74 @@ from .decontaminate import words_of
 VOCABULARY = 1_024
 UNKNOWN, START = 0, 1
 _FLUSH = 200_000
+#: Words a task counts at a time.
+_HELD = 1_000_000
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: Counter = Counter()
-    for batch in batches:
-        for text in batch["text"]:
-            seen.update(words_of(text))
-            if len(seen) >= _FLUSH:
-                yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
-                seen = Counter()
-    yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())}).astype({"n": "int64"})
+def _rows(counts: list[tuple[bytes | None, int]]) -> pd.DataFrame:
+    return pd.DataFrame(counts, columns=["word", "n"]).astype({"n": "int64"})
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words of all of ``docs``, ties by word; ``size`` counts the two marks."""
-    top = (
-        docs.select("text").mapInPandas(_count_words, "word binary, n long")
-        .groupBy("word").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word").limit(size - 2)
-    )
-    return [bytes(r["word"]) for r in top.collect()]
+def _count(keep: int | None, only: Callable[[], frozenset[bytes]] | None = None):
+    """Word counts of a task's texts, in portions of bounded memory.
+
+    A portion hands on its ``keep`` most frequent words, and under no word the
+    largest count it held back.
+    """
+
+    def portion(seen: Counter) -> pd.DataFrame:
+        if keep is None or len(seen) <= keep:
+            return _rows(list(seen.items()))
+        top = seen.most_common(keep + 1)
+        return _rows([*top[:keep], (None, top[keep][1])])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = only() if only else None
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                words = words_of(text)
+                seen.update(words if wanted is None else filter(wanted.__contains__, words))
+                if len(seen) >= _HELD:
+                    yield portion(seen)
+                    seen = Counter()
+        yield portion(seen)
+
+    return run
+
+
+def vocabulary(docs: DataFrame, size: int = VOCABULARY, spread: int = 16) -> list[bytes]:
+    """The most frequent words of all of ``docs``, ties by word; ``size`` counts the two marks.
+
+    Exact, without shuffling every rare word: tasks hand on their ``spread *
+    size`` most frequent words, and the sum of what they held back bounds every
+    count.  Words that may be among the most frequent are then counted in all
+    documents.  Should a word held back reach that far too, all words are
+    counted.
+    """
+    n = size - 2
+    texts = docs.select("text")
+
+    def summed(count) -> DataFrame:
+        return texts.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+    def first(counts: DataFrame) -> list:
+        return counts.orderBy(F.desc("n"), "word").limit(n).collect()
+
+    some = materialize(summed(_count(spread * size)), "words")
+    back = some.where("word is null").select("n").collect()
+    back = back[0]["n"] if back else 0
+    known = some.where("word is not null")
+    least = [r["n"] for r in first(known)]
+    if back and (len(least) < n or least[-1] <= back):
+        return [bytes(r["word"]) for r in first(summed(_count(None)))]
+    if back:
+        floor = least[-1] - back
+        # at most one word for each ``floor`` words of the texts, and never more than the tasks named
+        close = frozenset(bytes(r["word"]) for r in known.where(F.col("n") >= floor).select("word").collect())
+        shared = docs.sparkSession.sparkContext.broadcast(close)
+        known = summed(_count(None, lambda: shared.value))
+    return [bytes(r["word"]) for r in first(known)]
 
 
 def encode(docs: DataFrame, words: list[bytes]) -> DataFrame:

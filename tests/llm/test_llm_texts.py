@@ -288,6 +288,21 @@ def test_cross_entropy_difference(spark, odd):
     assert lm_scoring.score_documents(odd.limit(0), good.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size, spread", [(20, 1), (200, 1), (200, 16), (40_000, 1)])
+def test_vocabulary_is_exact(given, size, spread):
+    words = Counter()
+    for r in given.select("text").collect():
+        words.update(lm_scoring.words_of(r["text"]))
+    want = sorted(words, key=lambda w: (-words[w], w))[: size - 2]
+    assert lm_scoring.vocabulary(given.repartition(6), size, spread) == want
+
+
+def test_vocabulary_of_even_words(spark):
+    # what the tasks hold back reaches as far as what they name: all words are counted
+    docs = spark.createDataFrame([(f"w{i} w{i + 1}",) for i in range(300)], "text string").repartition(5)
+    assert lm_scoring.vocabulary(docs, 12, 1) == sorted(f"w{i}".encode() for i in range(1, 300))[:10]
+
+
 # decontamination
 
 
