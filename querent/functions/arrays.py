@@ -69,25 +69,15 @@ def prefix_sums(values: Column) -> Column:
     )
 
 
-def top_by_count(found: Column, k: int) -> Column:
-    """Distinct strings by falling frequency, ties by first occurrence."""
-    return bind(
-        found,
-        lambda all_: F.transform(
-            F.slice(
-                F.array_sort(
-                    F.transform(
-                        F.array_distinct(all_),
-                        lambda w, i: F.struct(
-                            (-F.size(F.filter(all_, lambda x: x == w))).alias("c"),
-                            i.alias("i"),
-                            w.alias("w"),
-                        ),
-                    )
-                ),
-                1,
-                k,
+def top_by_count(found: Column, k: int | None) -> Column:
+    """Distinct strings by falling frequency, ties by first occurrence; the first ``k`` or all."""
+    ranked = lambda all_: F.array_sort(
+        F.transform(
+            F.array_distinct(all_),
+            lambda w, i: F.struct(
+                (-F.size(F.filter(all_, lambda x: x == w))).alias("c"), i.alias("i"), w.alias("w")
             ),
-            lambda s: s["w"],
-        ),
+        )
     )
+    some = lambda all_: ranked(all_) if k is None else F.slice(ranked(all_), 1, k)
+    return bind(found, lambda all_: F.transform(some(all_), lambda s: s["w"]))

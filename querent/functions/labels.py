@@ -160,19 +160,19 @@ def keyword_pattern(words: list[str]) -> str:
 
 
 def default_keywords() -> list[str]:
-    return lx.words(lx.TECH_WORDS) + lx.TECH_PHRASES
+    return list(lx.TECH_WORDS)
 
 
 def keywords(
     c: Column,
-    k: int = 10,
+    k: int | None = 10,
     words: list[str] | None = None,
     term_patterns: list[str] = lx.TERM_PATTERNS,
     stop_words: list[str] | None = None,
 ) -> Column:
-    """Top words of one text by frequency, ties by first occurrence."""
+    """Top words of one text by frequency, ties by first occurrence; all without ``k``."""
     pattern = keyword_pattern(default_keywords() if words is None else words)
-    stop = lx.words(lx.STOP_WORDS) if stop_words is None else stop_words
+    stop = lx.STOP_WORDS if stop_words is None else stop_words
     found = [F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(1))]
     found += [
         F.filter(

@@ -20,21 +20,28 @@ def with_fingerprint(df: DataFrame, text: str, name: str = "hash") -> DataFrame:
     return df.withColumn(name, fingerprint(F.col(text)))
 
 
+_STEP = 1 << 64
+_LAST = (1 << 63) - 1
+
+
 def _rank(text: str, order: str) -> Column:
-    """Longer is better; among equals the earlier row."""
-    return F.struct(F.length(text).alias("len"), (-F.col(order)).alias("neg"))
+    """Longer is better; among equals the earlier row.
+
+    One number, so that a hash aggregate can keep the greatest of a group.
+    """
+    wide = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    return F.length(text).cast("decimal(38,0)") * wide(_STEP) + (wide(_LAST) - F.col(order))
 
 
 def keep_longest(df: DataFrame, text: str, order: str) -> DataFrame:
     """One row per normalised text: the longest, the first among equals.
 
-    Only hash, length and row id are shuffled for the choice; ``order`` must be
-    unique, since survivors are joined back on it.
+    Only hash and rank are shuffled for the choice; ``order`` must be a unique
+    integer, since survivors are joined back on it.
     """
-    slim = df.select(
-        fingerprint(F.col(text)).alias("hash"), _rank(text, order).alias("r")
-    )
-    winners = slim.groupBy("hash").agg(F.max("r").alias("r")).select((-F.col("r.neg")).alias(order))
+    slim = df.select(fingerprint(F.col(text)).alias("hash"), _rank(text, order).alias("r"))
+    place = F.lit(str(_LAST)).cast("decimal(38,0)") - F.col("r") % F.lit(str(_STEP)).cast("decimal(38,0)")
+    winners = slim.groupBy("hash").agg(F.max("r").alias("r")).select(place.cast(df.schema[order].dataType).alias(order))
     return df.join(winners, order, "left_semi")
 
 

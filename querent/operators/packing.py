@@ -1,11 +1,11 @@
 """Greedy batches of ordered rows, for groups of any size.
 
 A batch closes when the next item would exceed the character limit or the batch
-holds the maximal number of items.  Small groups are folded inside one row.  A
-large group is cut into blocks of consecutive rows; since no batch holds more
-than ``max_items`` rows, a block can be entered at ``max_items`` positions only,
-so a short table of (entry -> exit, batches) describes it completely.  The
-tables of a group are chained, then every block numbers its own rows.
+holds the maximal number of items.  A group is cut into blocks of consecutive
+rows; since no batch holds more than ``max_items`` rows, a block can be entered
+at ``max_items`` positions only, so a short table of (entry -> exit, batches)
+describes it completely.  The tables of a group are chained, then every block
+numbers its own rows.  All groups go this way, whatever their size.
 """
 
 from __future__ import annotations
@@ -16,35 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import last
-from .ranking import BLOCK_ROWS, with_ordinal
+from ..session import materialize
+from .ranking import with_ordinal
 
-
-def _fold_small(slim: DataFrame, keys: list[str], max_chars: int, max_items: int) -> DataFrame:
-    grouped = slim.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_o", "_len"))).alias("_items")
-    )
-
-    def step(acc, x):
-        full = (acc["n"] > 0) & (
-            (acc["len"] + x["_len"] + 2 > max_chars) | (acc["n"] >= max_items)
-        )
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(
-            batch.alias("batch"),
-            F.when(full, F.lit(1)).otherwise(acc["n"] + 1).alias("n"),
-            F.when(full, x["_len"]).otherwise(acc["len"] + x["_len"] + 2).alias("len"),
-            F.concat(acc["out"], F.array(F.struct(x["_o"].alias("_o"), batch.alias("batch")))).alias("out"),
-        )
-
-    order_type = slim.schema["_o"].dataType.simpleString()
-    start = F.struct(
-        F.lit(1).cast("bigint").alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("len"),
-        F.expr(f"cast(array() as array<struct<_o:{order_type},batch:bigint>>)").alias("out"),
-    )
-    folded = grouped.select(
-        *keys, F.aggregate("_items", start, step, lambda acc: acc["out"]).alias("_out")
-    )
-    return folded.select(*keys, F.inline("_out"))
+BLOCK_ROWS = 50_000
 
 
 def _next_start(lens: np.ndarray, max_chars: int, max_items: int) -> np.ndarray:
@@ -57,10 +32,25 @@ def _next_start(lens: np.ndarray, max_chars: int, max_items: int) -> np.ndarray:
     return np.minimum(np.maximum(fresh, idx + 1), np.minimum(idx + max_items, n))
 
 
-def _pack_large(
-    slim: DataFrame, keys: list[str], max_chars: int, max_items: int, block_rows: int
+def _exits(nxt: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every position where the chain of batches leaves ``n`` rows, and after how many."""
+    size = max(int(nxt.max(initial=0)), n) + 1
+    goal = np.arange(size)
+    goal[:n] = nxt[:n]
+    steps = (np.arange(size) < n).astype(np.int64)
+    while (goal[:n] < n).any():  # each round doubles the steps taken
+        steps = steps + steps[goal]
+        goal = goal[goal]
+    return goal, steps
+
+
+def pack_batches(
+    df: DataFrame, keys: list[str], order: str, text: str, max_chars: int = 2500, max_items: int = 50,
+    block_rows: int = BLOCK_ROWS, parts: int | None = None,
 ) -> DataFrame:
-    ranked = with_ordinal(slim, keys, "_o", name="_i", rows_per_block=block_rows)
+    """(keys, order, batch): batch numbers from 1 inside every group."""
+    slim = df.select(*keys, F.col(order).alias("_o"), F.length(text).cast("bigint").alias("_len"))
+    ranked = materialize(with_ordinal(slim, keys, "_o", name="_i", parts=parts), "ranked")
     pos = F.col("_i") - 1
     own = ranked.withColumn("_b", F.floor(pos / block_rows)).withColumn("_halo", F.lit(False))
     halo = own.where((pos % block_rows < max_items) & (F.col("_b") > 0)).withColumn(
@@ -84,24 +74,15 @@ def _pack_large(
 
     def table(key, pdf: pd.DataFrame) -> pd.DataFrame:
         _, n, nxt, first = moves(pdf)
-        leave = np.zeros(n, np.int64)
-        count = np.zeros(n, np.int64)
-        for i in range(n - 1, -1, -1):
-            j = nxt[i]
-            leave[i], count[i] = (j - n, 1) if j >= n else (leave[j], count[j] + 1)
-        out, made = [], []
-        for e in range(max_items + 1):
-            if e == max_items:
-                j = first
-                o, m = (j - n, 1) if j >= n else (int(leave[j]), int(count[j]) + 1)
-            elif e >= n:
-                o, m = e - n, 0
-            else:
-                o, m = int(leave[e]), int(count[e])
-            out.append(o)
-            made.append(m)
+        goal, steps = _exits(nxt, n)
+        entry = np.arange(max_items)
+        inside = np.minimum(entry, n)
+        leave = np.where(entry < n, goal[inside], entry) - n
+        made = np.where(entry < n, steps[inside], 0)
+        after = (first - n, 1) if first >= n else (goal[first] - n, steps[first] + 1)
         return pd.DataFrame(
-            [[*key, out, made]], columns=[*keys, "_b", "_exit", "_made"]
+            [[*key, [*leave.tolist(), int(after[0])], [*made.tolist(), int(after[1])]]],
+            columns=[*keys, "_b", "_exit", "_made"],
         )
 
     tables = blocks.groupBy(*keys, "_b").applyInPandas(
@@ -122,20 +103,18 @@ def _pack_large(
     entries = (
         tables.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("_b", "_exit", "_made"))).alias("_t"))
-        .select(*keys, F.posexplode(F.aggregate("_t", start, chain, lambda a: a["at"])).alias("_b", "_s"))
+        .select(*keys, F.posexplode(F.aggregate("_t", start, chain, lambda a: F.slice(a["at"], 1, F.size(a["at"]) - 1))).alias("_b", "_s"))
         .select(*keys, F.col("_b").cast("bigint").alias("_b"), F.col("_s.e").alias("_entry"), F.col("_s.m").alias("_before"))
     )
     o_type = slim.schema["_o"].dataType.simpleString()
 
     def number(key, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame({**{k: [] for k in keys}, "_o": [], "batch": []})
         pdf, n, nxt, first = moves(rows)
         e, before = int(entry["_entry"].iloc[0]), int(entry["_before"].iloc[0])
         marks = np.zeros(n, np.int64)
         i = 0 if e == max_items else e
         jump = first if e == max_items else None
-        while i < n:
+        while i < n:  # one step per batch
             marks[i] = 1
             i, jump = (jump, None) if jump is not None else (int(nxt[i]), None)
         mine = pdf.iloc[:n]
@@ -147,28 +126,5 @@ def _pack_large(
         blocks.groupBy(*keys, "_b")
         .cogroup(entries.groupBy(*keys, "_b"))
         .applyInPandas(number, f"{key_ddl}, _o {o_type}, batch bigint")
+        .select(*keys, F.col("_o").alias(order), "batch")
     )
-
-
-def pack_batches(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    text: str,
-    max_chars: int = 2500,
-    max_items: int = 50,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """(keys, order, batch): batch numbers from 1 inside every group."""
-    slim = df.select(*keys, F.col(order).alias("_o"), F.length(text).cast("bigint").alias("_len"))
-    sizes = slim.groupBy(*keys).agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > block_rows)
-    if large.isEmpty():
-        out = _fold_small(slim, keys, max_chars, max_items)
-    else:
-        big = large.select(*keys)
-        small = slim.join(big, keys, "left_anti")
-        out = _fold_small(small, keys, max_chars, max_items).unionByName(
-            _pack_large(slim.join(big, keys, "left_semi"), keys, max_chars, max_items, block_rows)
-        )
-    return out.select(*keys, F.col("_o").alias(order), "batch")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.quality import issue_kind, validate
 from ..functions.scores import exact_avg
 
+_SORTED = 10_000
 SCORES = ["overall", "garbled_ratio", "repetition_ratio", "special_char_ratio"]
 
 
@@ -49,21 +50,28 @@ def invalid_samples(checked: DataFrame, n: int = 20, order: str = "ord") -> Data
 def hash_take(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """The ``n`` rows with the smallest seeded hash, without one big sort.
 
-    Rows are counted per four-digit hash prefix (at most 65,536 counts reach
-    the driver).  Prefixes that fit whole are kept by a filter; only the prefix
-    the n-th row falls into is sorted.
+    Rows are counted per hash prefix, four digits more in each round (at most
+    65,536 counts reach the driver), and only inside the prefix that the n-th
+    row falls into, until that holds at most ``_SORTED`` rows.  Prefixes that fit
+    whole are kept by a filter; only the last one is sorted.
     """
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
-    prefix = F.substr("_h", F.lit(1), F.lit(4))
-    counts = hashed.groupBy(prefix.alias("p")).count().collect()
-    taken, edge = 0, None
-    for p, c in sorted((r["p"], r["count"]) for r in counts):
-        if taken + c > n:
-            edge = p
+    taken, edge, digits = 0, "", 0
+    while digits < 32:
+        digits += 4
+        prefix = F.substr("_h", F.lit(1), F.lit(digits))
+        inside = hashed.where(F.col("_h").startswith(edge)) if edge else hashed
+        counts = inside.groupBy(prefix.alias("p")).count().collect()
+        for p, c in sorted((r["p"], r["count"]) for r in counts):
+            if taken + c > n:
+                edge = p
+                break
+            taken += c
+        else:
+            return df
+        if c <= _SORTED:
             break
-        taken += c
-    if edge is None:
-        return df
+    prefix = F.substr("_h", F.lit(1), F.lit(digits))
     whole = hashed.where(prefix < edge)
     part = hashed.where(prefix == edge).orderBy("_h", key).limit(n - taken)
     return whole.unionByName(part).drop("_h")

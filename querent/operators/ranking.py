@@ -1,8 +1,9 @@
 """Order-dependent work inside groups of any size.
 
-A plain window puts a whole group into one task.  Here the rows of a group are
-first cut into blocks along the order column, each block is handled by itself,
-and only one summary row per block meets in a second, small window.
+A plain window puts a whole group into one task.  Here all rows are dealt out by
+ranges of (group, order, tie), so a large group spans several parts, equal order
+values included; each part is handled by itself, and only one summary row per
+group and part meets in a second, small window.
 """
 
 from __future__ import annotations
@@ -10,122 +11,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 200_000
+from ..session import materialize
 
 
-def block_of(df: DataFrame, order: str, rows_per_block: int = BLOCK_ROWS) -> Column | None:
-    """Block number of a row: position of its order value among quantiles.
+def _ranged(df: DataFrame, keys: list[str], order: list[str], parts: int | None) -> DataFrame:
+    """``df`` with ``_b``: its part along the order of every group.
 
-    One pass computes the quantiles of a numeric order column; how many depends
-    on the row count, so a block stays near ``rows_per_block`` rows.  A table
-    that fits one block needs no blocks: None.
+    Written once: ranges are drawn from a sample, so a plan computed twice might
+    cut differently.  Rows equal in all order columns are told apart by where
+    they came from, which lets them be cut too.
     """
-    total = df.count()
-    blocks = -(-total // rows_per_block)
-    if blocks <= 1:
-        return None
-    blocks = min(blocks, 10_000)
-    points = [i / blocks for i in range(1, blocks)]
-    cuts = df.agg(F.percentile_approx(order, points, 10 * blocks).alias("q")).first()["q"]
-    cuts = sorted(set(cuts))
-    width = F.array(*[F.lit(c) for c in cuts]) if len(cuts) <= 200 else F.lit(cuts)
-    return F.size(F.filter(width, lambda c: c < F.col(order)))
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_s", F.monotonically_increasing_id()).repartitionByRange(n, *keys, *order, "_s")
+    return materialize(dealt.withColumn("_b", F.spark_partition_id()).drop("_s"), "ranged")
 
 
-def with_ordinal(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    tie: str | None = None,
-    name: str = "ordinal",
-    rows_per_block: int = BLOCK_ROWS,
-) -> DataFrame:
-    """1-based position of every row inside its group."""
-    ordering = [order] + ([tie] if tie else [])
-    block = block_of(df, order, rows_per_block)
-    if block is None:
-        plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*ordering))
-        return df.withColumn(name, plain.cast("bigint"))
-    blocked = df.withColumn("_b", block)
-    counts = blocked.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_b").alias("_ob"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+def _carry(ranged: DataFrame, keys: list[str], per_part: Column, before: Column) -> tuple[DataFrame, Column]:
+    """(keys, part, _carry): what the earlier parts of a group hand on."""
+    window = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranged.groupBy(*keys, "_b").agg(per_part.alias("_part")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_ob"),
+        before.over(window).alias("_carry"),
     )
     same = F.col("_b") == F.col("_ob")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return carried, same
+
+
+def with_ordinal(
+    df: DataFrame, keys: list[str], order: str, tie: str | None = None, name: str = "ordinal",
+    parts: int | None = None,
+) -> DataFrame:
+    """1-based position of every row inside its group."""
+    ordering = [order] + ([tie] if tie else [])
+    ranged = _ranged(df, keys, ordering, parts)
+    carried, same = _carry(ranged, keys, F.count("*"), F.sum("_part"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*ordering))
     return (
-        blocked.withColumn("_r", inside)
-        .join(offsets, same)
-        .withColumn(name, F.col("_r") + F.col("_off"))
+        ranged.withColumn("_r", inside).join(carried, same)
+        .withColumn(name, F.col("_r") + F.coalesce("_carry", F.lit(0)))
         .select(*df.columns, name)
     )
 
 
 def with_best_before(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    rank: Column,
-    name: str = "best_before",
-    rows_per_block: int = BLOCK_ROWS,
+    df: DataFrame, keys: list[str], order: str, rank: Column, name: str = "best_before", parts: int | None = None,
 ) -> DataFrame:
     """Greatest ``rank`` among the earlier rows of the group, null for the first."""
-    ranked = df.withColumn("_rank", rank)
-    block = block_of(df, order, rows_per_block)
-    if block is None:
-        plain = F.max("_rank").over(
-            Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return ranked.withColumn(name, plain).select(*df.columns, name)
-    blocked = ranked.withColumn("_b", block)
-    tops = blocked.groupBy(*keys, "_b").agg(F.max("_rank").alias("_top"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_b").alias("_ob"),
-        F.max("_top").over(before).alias("_carry"),
-    )
-    same = F.col("_b") == F.col("_ob")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    ranged = _ranged(df.withColumn("_rank", rank), keys, [order], parts)
+    carried, same = _carry(ranged, keys, F.max("_rank"), F.max("_part"))
     inside = F.max("_rank").over(
         Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        blocked.withColumn("_in", inside)
-        .join(carried, same)
+        ranged.withColumn("_in", inside).join(carried, same)
         .withColumn(name, F.greatest("_in", "_carry"))
         .select(*df.columns, name)
     )
 
 
+def _first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """First row per group; Spark drops later ones before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """Last row per group; partial aggregation keeps a hot group cheap."""
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    row = F.struct(*order, *rest)
-    return (
-        df.groupBy(*keys)
-        .agg(F.max_by(row, F.struct(*order)).alias("_row"))
-        .select(*keys, "_row.*")
-        .select(*df.columns)
-    )
+    """Last row per group; a null order counts as the earliest."""
+    return _first_row(df, keys, [F.desc(c) for c in order])
 
 
 def first_seen(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """First row per group by the given order."""
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    row = F.struct(*order, *rest)
-    return (
-        df.groupBy(*keys)
-        .agg(F.min_by(row, F.struct(*order)).alias("_row"))
-        .select(*keys, "_row.*")
-        .select(*df.columns)
-    )
+    """First row per group by the given order, nulls first."""
+    return _first_row(df, keys, [F.asc(c) for c in order])
 
 
 def top_per_group(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
