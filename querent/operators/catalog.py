@@ -17,14 +17,14 @@ def path_key(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\\", "/"), "/+", "/")
 
 
-def text_samples(documents: DataFrame, max_chars: int = 4000) -> DataFrame:
-    """(path_key, sample): Markdown if there is any, else the full text."""
+def text_samples(documents: DataFrame, max_chars: int | None = 4000) -> DataFrame:
+    """(path_key, sample): Markdown if there is any, else the full text; all of it without ``max_chars``."""
     text = tx.strip(
         F.coalesce(F.nullif(F.col("markdown_text"), F.lit("")), F.col("full_text"), F.lit(""))
     )
+    sample = text if max_chars is None else F.substr(text, F.lit(1), F.lit(max_chars))
     return documents.select(
-        path_key(F.col("source_path")).alias("path_key"),
-        F.substr(text, F.lit(1), F.lit(max_chars)).alias("sample"),
+        path_key(F.col("source_path")).alias("path_key"), sample.alias("sample")
     ).where("sample <> ''")
 
 

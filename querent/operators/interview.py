@@ -14,8 +14,8 @@ DIMENSIONS = ["technical_accuracy", "clarity", "depth_breadth"]
 
 # --- evaluations ------------------------------------------------------------------
 def with_persona(rows: DataFrame, personas: DataFrame, key: str) -> DataFrame:
-    """Persona columns by key; the personas are a handful of configured rows."""
-    return rows.join(F.broadcast(personas), key, "left")
+    """Persona columns by key; Spark broadcasts the personas if they are as few as usual."""
+    return rows.join(personas, key, "left")
 
 
 def evaluate(rows: DataFrame, digits: int | None = 2) -> DataFrame:
@@ -117,7 +117,7 @@ def global_statistics(sessions: DataFrame, answers: DataFrame, evaluations: Data
 def session_statistics(evaluations: DataFrame, digits: int | None = 2) -> DataFrame:
     r = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
     return evaluations.groupBy("session_id").agg(
-        *[r(sc.exact_avg(F.col(d))).alias(f"avg_{d}") for d in DIMENSIONS],
+        *[r(sc.exact_avg(F.col(d))).alias(f"avg_{d}") for d in (*DIMENSIONS, "keyword_coverage") if d in evaluations.columns],
         r(sc.exact_avg(F.col("total_score"))).alias("avg_total_score"),
         F.count("*").alias("total_count"),
         F.count_if(F.col("total_score") >= 6).alias("pass_count"),
@@ -178,11 +178,20 @@ def answer_digest(
     )
 
 
+def whole_digests(digests: DataFrame) -> DataFrame:
+    """(session_id, digest): the pages of a session in order, as one report wants them."""
+    pages = F.array_sort(F.collect_list(F.struct("page", "digest")))
+    return digests.groupBy("session_id").agg(
+        F.array_join(F.transform(pages, lambda p: p["digest"]), "\n").alias("digest")
+    )
+
+
 def history(reports: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Session history for a list view."""
+    """Session history for a list view, with job and persona where the sessions have them."""
+    about = [c for c in ("job_type", "personality_name") if c in sessions.columns]
     return reports.select(
         "session_id", "avg_total_score", "total_count", "pass_rate", "total_minutes"
-    ).join(sessions.select("session_id", F.col("start_time").alias("interview_date")), "session_id")
+    ).join(sessions.select("session_id", F.col("start_time").alias("interview_date"), *about), "session_id")
 
 
 def list_sessions(sessions: DataFrame, status: str | None = None, limit: int = 50, order: str = "created_at") -> DataFrame:
@@ -192,9 +201,9 @@ def list_sessions(sessions: DataFrame, status: str | None = None, limit: int = 5
 
 # --- question choice --------------------------------------------------------------------
 def hash_number(*parts: Column) -> Column:
-    """Non-negative number from the md5 of the joined parts."""
+    """Number below 2**60 from the md5 of the joined parts."""
     text = F.concat_ws(":", *[p.cast("string") for p in parts])
-    return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(8)), 16, 10).cast("bigint")
+    return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(15)), 16, 10).cast("bigint")
 
 
 def search_questions(questions: DataFrame, keyword: str, k: int = 10, order: str = "question_id") -> DataFrame:

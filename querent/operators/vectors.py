@@ -8,16 +8,19 @@ and a task hands on at most k rows per query.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import path_exists
+
 # A query block travels to every task; beyond this size queries go block by block.
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
-TILE_BYTES = 128 * 1024 * 1024
-SCORE_DIGITS = 6
+# Products of matrices may differ from sums by row in the last digits.
+_SLACK = 1e-9
 
 
 # --- build ------------------------------------------------------------------------
@@ -39,7 +42,7 @@ def embed(rows: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]]
             matrix = np.concatenate(parts) if parts else np.zeros((0, 0))
             yield pd.Series(list(matrix), index=texts.index)
 
-    return rows.withColumn("embedding", normalise(encode(F.col(text))))
+    return rows.withColumn("embedding", normalise(encode(F.col(text))).cast("array<float>"))
 
 
 def norm(v: Column) -> Column:
@@ -74,17 +77,31 @@ def index_rows(chunks: DataFrame) -> DataFrame:
     return out.select(*kept)
 
 
-def append_new(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
-    """Append the chunks the index does not hold; running twice adds nothing."""
+def append_new(
+    chunks: DataFrame, path: str, key: str = "chunk_id", prepare: Callable[[DataFrame], DataFrame] = index_rows
+) -> None:
+    """Append the chunks the index does not hold; running twice adds nothing.
+
+    ``prepare`` makes index rows of chunks.  It sees only what is new, so a
+    model called there is called once per chunk.
+    """
     spark = chunks.sparkSession
     fresh = chunks.dropDuplicates([key])
-    try:
-        held = spark.read.parquet(path).select(key)
-        fresh = fresh.join(held, key, "left_anti")
-    except Exception as error:  # the first run finds no index
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    fresh.write.mode("append").parquet(path)
+    if path_exists(spark, path):
+        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
+    prepare(fresh).write.mode("append").parquet(path)
+
+
+def get_by_ids(index: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The index rows of the given ids."""
+    return index.join(ids.select(key), key, "left_semi")
+
+
+def clear_index(spark: SparkSession, path: str) -> None:
+    """Delete all rows; the index stays readable and empty."""
+    if path_exists(spark, path):
+        schema = spark.read.parquet(path).schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
 def dimension_report(index: DataFrame, dim: int) -> DataFrame:
@@ -110,21 +127,25 @@ def metadata_filter(**conditions) -> Column | None:
 
 
 # --- search -----------------------------------------------------------------------------
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row indices of the k best per query, ties by id; scores are rounded."""
+def _best(matrix: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query and row numbers of the k best per query, ties by id, and their scores.
+
+    The matrix product picks who can be among the k; these are scored again row
+    by row, so that equal vectors get equal scores.
+    """
+    scores = matrix @ vectors.T
     n = scores.shape[1]
-    if n > 4 * k:
-        # Everything not worse than the k-th score, so that ties stay complete.
+    if n > k:
         kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero(scores >= kth)
+        rows, cols = np.nonzero(scores >= kth - _SLACK * np.maximum(1.0, np.abs(kth)))
     else:
-        rows, cols = np.divmod(np.arange(scores.size), n)
-    order = np.lexsort((ids[cols], -scores[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
+        rows, cols = np.divmod(np.arange(scores.size), max(n, 1))
+    exact = (matrix[rows] * vectors[cols]).sum(axis=1)
+    order = np.lexsort((ids[cols], -exact, rows))
+    rows, cols, exact = rows[order], cols[order], exact[order]
     first = np.searchsorted(rows, np.arange(scores.shape[0]))
-    rank = np.arange(len(rows)) - first[rows]
-    keep = rank < k
-    return rows[keep], cols[keep]
+    keep = np.arange(len(rows)) - first[rows] < k
+    return rows[keep], cols[keep], exact[keep]
 
 
 def _scan_block(index: DataFrame, block: list, k: int, id_col: str, keep: list[str], probes: dict | None) -> DataFrame:
@@ -152,12 +173,10 @@ def _scan_block(index: DataFrame, block: list, k: int, id_col: str, keep: list[s
                 if len(who) == 0:
                     continue
                 vectors = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                scores = np.round(matrix[who] @ vectors.T, SCORE_DIGITS) + 0.0
-                ids = part[id_col].to_numpy()
-                rows, cols = _best(ids, scores, k)
+                rows, cols, scores = _best(matrix[who], vectors, part[id_col].to_numpy(), k)
                 found = part.iloc[cols][[id_col, *extra]].reset_index(drop=True)
                 found.insert(0, "_q", who[rows])
-                found["score"] = scores[rows, cols]
+                found["score"] = scores
                 held = found if held is None else pd.concat([held, found], ignore_index=True)
                 if len(held) > 8 * k * len(query_ids):
                     held = _trim(held)
@@ -179,58 +198,30 @@ def _final(found: DataFrame, k: int, id_col: str) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _tiled(index: DataFrame, queries: DataFrame, blocks: int, tiles: int, k: int, id_col: str, keep: list[str]) -> DataFrame:
-    """Many queries against a large index: every (query block, index tile) pair
-    meets once in a group of bounded size."""
-    extra = [c for c in keep if c != id_col]
-    fields = {f.name: f.dataType.simpleString() for f in index.schema.fields}
-    q_type = queries.schema["query_id"].dataType.simpleString()
-    ddl = f"query_id {q_type}, `{id_col}` {fields[id_col]}, score double" + "".join(f", `{c}` {fields[c]}" for c in extra)
-    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
-    q = queries.withColumn("_b", part("query_id", blocks)).withColumn(
-        "_t", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<bigint>")))
-    x = index.select(*dict.fromkeys([id_col, "embedding", *extra])).withColumn("_t", part(id_col, tiles)).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", id_col, "score", *extra]
-        if left.empty or right.empty:
-            return pd.DataFrame({n: [] for n in names})
-        a = np.stack(left["embedding"].to_numpy()).astype(np.float64)
-        b = np.stack(right["embedding"].to_numpy()).astype(np.float64)
-        scores = np.round(a @ b.T, SCORE_DIGITS) + 0.0
-        rows, cols = _best(right[id_col].to_numpy(), scores, k)
-        out = right.iloc[cols][[id_col, *extra]].reset_index(drop=True)
-        out["query_id"] = left["query_id"].to_numpy()[rows]
-        out["score"] = scores[rows, cols]
-        return out[names]
-
-    return q.groupBy("_b", "_t").cogroup(x.groupBy("_b", "_t")).applyInPandas(meet, ddl)
+def _by_block(queries: DataFrame, block_bytes: int, scan: Callable[[list], DataFrame], none: DataFrame) -> DataFrame:
+    """Union of ``scan`` over blocks of queries of bounded size: one scan of the index each."""
+    size = queries.agg(F.coalesce(F.sum(F.size("embedding")) * 8, F.lit(0))).first()[0]
+    blocks = -(-size // block_bytes)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks)))
+    held = (queries.where(part == i).collect() for i in range(blocks))
+    return reduce(DataFrame.unionByName, [scan(b) for b in held if b], none)
 
 
 def top_k(
     index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", keep: list[str] | None = None,
-    block_bytes: int = QUERY_BLOCK_BYTES, tile_bytes: int = TILE_BYTES,
+    block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
-    """Exact inner-product top-k for all queries at once.
+    """Exact inner-product top-k for all queries at once; ranks go by unrounded scores.
 
-    ``queries`` has query_id and embedding.  A batch that fits ``block_bytes``
-    is shipped to the scan of the index; a larger one is cut into blocks that
-    meet tiles of the index in bounded groups.
+    ``queries`` has query_id and embedding.  They are shipped to scans of the
+    index in blocks of about ``block_bytes``, a scan for each block.
     """
     keep = keep or []
     queries = queries.select("query_id", "embedding")
-    size, width = queries.agg(
-        F.coalesce(F.sum(F.size("embedding")) * 8, F.lit(0)), F.coalesce(F.max(F.size("embedding")) * 8, F.lit(8))
-    ).first()
-    if size <= block_bytes:
-        found = _scan_block(index, queries.collect(), k, id_col, keep, None) if size else None
-        if found is None:
-            return _final(_tiled(index, queries, 1, 1, k, id_col, keep), k, id_col)
-    else:
-        blocks = max(1, -(-size // block_bytes))
-        tiles = max(1, -(-index.count() * width // tile_bytes))
-        found = _tiled(index, queries, int(blocks), int(tiles), k, id_col, keep)
+    none = _scan_block(index.limit(0), [], k, id_col, keep, None).withColumn(
+        "query_id", F.col("query_id").cast(queries.schema["query_id"].dataType)
+    )
+    found = _by_block(queries, block_bytes, lambda block: _scan_block(index, block, k, id_col, keep, None), none)
     return _final(found, k, id_col)
 
 
@@ -251,6 +242,23 @@ def top_k_postfilter(index: DataFrame, queries: DataFrame, k: int, where: Column
 
 
 # --- cells: approximate search on large indexes -------------------------------------------
+def train_cells(index: DataFrame, n: int, rounds: int = 10, sample_rows: int = 50_000, id_col: str = "chunk_id") -> np.ndarray:
+    """Centres of ``n`` cells: k-means on the ``sample_rows`` rows of smallest hashed id.
+
+    The sample bounds what the driver holds; every row is put into a cell by
+    ``nearest_cells`` whatever the sample was.
+    """
+    rows = index.select(id_col, "embedding").orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).collect()
+    points = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    centres = points[: min(n, len(points))].copy()
+    for _ in range(rounds):
+        own = ((points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)).argmin(1)
+        for c in range(len(centres)):
+            if (own == c).any():
+                centres[c] = points[own == c].mean(0)
+    return centres
+
+
 def nearest_cells(vectors: DataFrame, centres: np.ndarray, n: int = 1, name: str = "cell") -> DataFrame:
     """Number(s) of the nearest centres per vector; the centres are a small matrix."""
     centres = np.asarray(centres, dtype=np.float64)
@@ -259,7 +267,7 @@ def nearest_cells(vectors: DataFrame, centres: np.ndarray, n: int = 1, name: str
     def cells(v: pd.Series) -> pd.Series:
         if v.empty:
             return pd.Series([], dtype=object)
-        scores = np.round(np.stack(v.to_numpy()).astype(np.float64) @ centres.T, SCORE_DIGITS)
+        scores = np.stack(v.to_numpy()).astype(np.float64) @ centres.T
         order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
         return pd.Series(list(order.astype(np.int32)))
 
@@ -267,16 +275,28 @@ def nearest_cells(vectors: DataFrame, centres: np.ndarray, n: int = 1, name: str
     return vectors.withColumn(name, F.get(out, F.lit(0)) if n == 1 else out)
 
 
-def top_k_cells(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 5, probes: int = 4, id_col: str = "chunk_id", keep: list[str] | None = None) -> DataFrame:
+def top_k_cells(
+    index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 5, probes: int = 4, id_col: str = "chunk_id",
+    keep: list[str] | None = None, block_bytes: int = QUERY_BLOCK_BYTES,
+) -> DataFrame:
     """Top-k among the ``probes`` cells nearest to each query.
 
     ``index`` carries a ``cell`` column; stored partitioned by it, only probed
     folders are read.  With as many probes as centres the result is exact.
+    Queries go in blocks as in ``top_k``.
     """
-    block = nearest_cells(queries.select("query_id", "embedding"), centres, max(2, probes), "cells").collect()
-    wanted = {r["query_id"]: set(r["cells"][:probes]) for r in block}
-    every = sorted({c for cs in wanted.values() for c in cs})
-    return _final(_scan_block(index.where(F.col("cell").isin(*every)), block, k, id_col, keep or [], wanted), k, id_col)
+    celled = nearest_cells(queries.select("query_id", "embedding"), centres, max(2, probes), "cells")
+    keep = keep or []
+
+    def scan(block: list) -> DataFrame:
+        wanted = {r["query_id"]: set(r["cells"][:probes]) for r in block}
+        every = sorted({c for cs in wanted.values() for c in cs})
+        return _scan_block(index.where(F.col("cell").isin(*every)), block, k, id_col, keep, wanted)
+
+    none = _scan_block(index.limit(0), [], k, id_col, keep, None).withColumn(
+        "query_id", F.col("query_id").cast(queries.schema["query_id"].dataType)
+    )
+    return _final(_by_block(celled, block_bytes, scan, none), k, id_col)
 
 
 # --- hits ----------------------------------------------------------------------------------

@@ -54,7 +54,7 @@ def clean_batches(
         F.posexplode(parse_model_items(F.col("output"))).alias("_at", "_item"),
     )
     texts = once(
-        items.select("file", "hint", (F.col("_start") * 64 + F.col("_at")).alias("pos"), "_item"),
+        items.select("file", "hint", F.struct(F.col("_start").alias("start"), F.col("_at").alias("at")).alias("pos"), "_item"),
         question=tx.normalise_question(item_text(F.col("_item"))),
     ).drop("_item").where("question <> ''")
     return texts.where(~tx.is_question_noise(F.col("question")))
@@ -88,8 +88,8 @@ def category_sizes(unique: DataFrame) -> DataFrame:
 
 
 def category_pages(unique: DataFrame, page_size: int = 1000) -> DataFrame:
-    """(category, page, questions): ordered lists, cut into pages of bounded size."""
-    placed = with_ordinal(unique.select("category", "question", F.xxhash64("key").alias("_k")), ["category"], "_k")
+    """(category, page, questions): lists in order of first sight, cut into pages of bounded size."""
+    placed = with_ordinal(unique.select("category", "question", "ord"), ["category"], "ord")
     return placed.groupBy("category", F.floor((F.col("ordinal") - 1) / page_size).alias("page")).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("ordinal", "question"))), lambda s: s["question"]

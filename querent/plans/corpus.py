@@ -1,5 +1,5 @@
-"""Corpus jobs as lazy compositions: each returns DataFrames, nothing runs here
-unless a table is written."""
+"""Corpus jobs as compositions of DataFrames.  What several results of a job
+share is written once; everything else is lazy."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from ..operators import catalog as ct
 from ..operators import dedup as dd
 from ..operators import quality as ql
 from ..operators import vectors as vx
+from ..session import materialize, path_exists
 from ..sources import sinks as sk
 
 QUESTION_BANK = "题库"
@@ -148,13 +149,16 @@ def label_chunks(chunks: DataFrame, keyword_options: dict | None = None) -> Data
 
 def quality_gate(chunks: DataFrame, order: str, remove_invalid: bool = True, **limits) -> dict[str, DataFrame]:
     """Checked rows, the survivors of the check and of exact duplicate removal,
-    the duplicate log and the report tables."""
-    checked = ql.validate_chunks(chunks, **limits)
+    the duplicate log (``duplicates()``), a review sample (``review()``) and the
+    report tables.  The check is made once and written."""
+    checked = materialize(ql.validate_chunks(chunks, **limits), "checked")
     valid = (checked.where("is_valid") if remove_invalid else checked).select(*chunks.columns)
+    final = dd.keep_longest(valid, "content", order)
     return {
         "checked": checked,
-        "final": dd.keep_longest(valid, "content", order),
-        "duplicates": dd.duplicate_log(valid, "content", order),
+        "final": final,
+        "duplicates": lambda: dd.duplicate_log(valid, "content", order),
+        "review": lambda ratio=0.1: ql.review_sample(final, order, ratio),
         "scores": ql.score_summary(checked),
         "issues": ql.issue_summary(checked),
     }
@@ -163,15 +167,9 @@ def quality_gate(chunks: DataFrame, order: str, remove_invalid: bool = True, **l
 def build_index(chunks: DataFrame, path: str, encoder, dim: int, text: str = "content") -> DataFrame:
     """Embed the chunks the index lacks and append them; returns the index."""
     spark = chunks.sparkSession
-    try:
-        held = spark.read.parquet(path).select("chunk_id", "embedding")
-        vx.check_dimension(held, dim)
-        fresh = ct.new_rows(chunks, held)
-    except Exception as error:  # the first run finds no index
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        fresh = chunks
-    vx.append_new(vx.index_rows(vx.embed(fresh, text, encoder)), path)
+    if path_exists(spark, path):
+        vx.check_dimension(spark.read.parquet(path).select("chunk_id", "embedding"), dim)
+    vx.append_new(chunks, path, prepare=lambda new: vx.index_rows(vx.embed(new, text, encoder)))
     return spark.read.parquet(path)
 
 
@@ -182,11 +180,16 @@ def repair_round(
 
     ``extractor`` gets the failed rows and adds ``direct`` and ``fallback``
     attempts.  Rows it cannot help go to the retry queue; the others replace
-    their document and are chunked anew.
+    their document and are chunked anew.  The extractor runs once: its answers
+    are written before they are used.
     """
     failed = sk.retry_rows(documents, "full_text", types)
-    tried = extractor(failed).withColumn(
-        "_best", tx.best_attempt(F.lit(None).cast("string"), F.col("direct"), F.col("fallback"))
+    tried = materialize(
+        extractor(failed).select(
+            "source_path", "file_type",
+            tx.best_attempt(F.lit(None).cast("string"), F.col("direct"), F.col("fallback")).alias("_best"),
+        ),
+        "repaired",
     )
     repaired = tried.where(F.col("_best").isNotNull()).select("source_path", F.col("_best").alias("full_text"))
     queue = tried.where(F.col("_best").isNull()).select(

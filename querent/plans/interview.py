@@ -17,8 +17,8 @@ def session_report(
     newest = iv.latest_evaluations(evaluations)
     counted = iv.report_set(newest, answers)
     reports = iv.session_reports(sessions, counted, digits)
-    digests = iv.answer_digest(answers, newest, order, question)
-    with_digest = reports.join(digests.where("page = 0").drop("page"), "session_id", "left").withColumn(
+    digests = iv.whole_digests(iv.answer_digest(answers, newest, order, question))
+    with_digest = reports.join(digests, "session_id", "left").withColumn(
         "digest", F.coalesce("digest", F.lit("No answer records"))
     )
     c = F.col

@@ -166,7 +166,7 @@ def normalise_items(items: DataFrame, category: str, order: str, display=lx.CATE
     )
     made_id = F.concat(
         F.lit("json_"), F.coalesce(F.nullif(F.col(category), F.lit("")), F.lit("all")), F.lit("_"),
-        F.lpad((F.col(order) + 1).cast("string"), 6, "0"),
+        F.format_string("%06d", F.col(order).cast("bigint") + 1),
     )
     source = F.coalesce(
         F.nullif(_get(it, "$.source_file", "string"), F.lit("")),

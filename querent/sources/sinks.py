@@ -26,12 +26,12 @@ def write_flat_bank(rows: DataFrame, path: str) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A small report as one JSON-lines file."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A report as JSON lines."""
+    df.write.mode("overwrite").json(path)
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
 def review_lines(df: DataFrame) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions import scores as sc
 from ..operators import quality as ql
 from ..operators.interview import KEYS
+from ..operators.ranking import latest
 from ..operators.vectors import append_new, embed, index_rows
+from ..session import path_exists
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -34,7 +36,7 @@ def index_stream(chunks: DataFrame, path: str, checkpoint: str, encoder, text: s
     """Embed and append only chunk ids the index has not seen."""
 
     def add(batch: DataFrame, _: int) -> None:
-        append_new(index_rows(embed(batch, text, encoder)), path)
+        append_new(batch, path, prepare=lambda new: index_rows(embed(new, text, encoder)))
 
     return _start(chunks.writeStream.foreachBatch(add), checkpoint, available_now)
 
@@ -45,25 +47,25 @@ def evaluation_stream(answers: DataFrame, path: str, checkpoint: str, scorer: Ca
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(KEYS)
-        try:
+        if path_exists(spark, path):
             fresh = fresh.join(spark.read.parquet(path).select(*KEYS), KEYS, "left_anti")
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
         scorer(fresh).write.mode("append").parquet(path)
 
     return _start(answers.writeStream.foreachBatch(add), checkpoint, available_now)
 
 
-def session_progress(events: DataFrame, late: str = "30 days") -> DataFrame:
+def session_progress(events: DataFrame, late: str = "30 days", span: str | None = None) -> DataFrame:
     """Per session: first and last event, number asked, last kind of event.
 
     ``events`` has session_id, ts (timestamp), kind.  The watermark bounds how
-    late an event may come.
+    late an event may come.  With a ``span`` progress is kept per session and
+    span of time (``day`` for "1 day"), and the state of a span ends when the
+    watermark has passed it; ``whole_sessions`` puts the spans together.
     """
+    keys = ["session_id"] + ([F.window("ts", span)["start"].alias("day")] if span else [])
     return (
         events.withWatermark("ts", late)
-        .groupBy("session_id")
+        .groupBy(*keys)
         .agg(
             F.min("ts").alias("start_time"),
             F.max("ts").alias("last_time"),
@@ -82,36 +84,62 @@ def with_limits(progress: DataFrame, minutes: float, questions: int) -> DataFram
     )
 
 
-def progress_stream(events: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep the current progress row of every session that changed.
+def whole_sessions(progress: DataFrame) -> DataFrame:
+    """Progress per session from stored rows (session_id, day, …, batch): the row of
+    the highest batch counts for each day, and the days of a session add up."""
+    now = latest(progress, ["session_id", "day"], "batch")
+    return now.groupBy("session_id").agg(
+        F.min("start_time").alias("start_time"), F.max("last_time").alias("last_time"), F.sum("asked").alias("asked"),
+        F.max_by("last_kind", F.struct("last_time", "last_kind")).alias("last_kind"),
+    )
+
 
-    Each batch appends the changed sessions with its number; readers take the
-    row of the highest batch per session.
+def progress_stream(
+    events: DataFrame, path: str, checkpoint: str, available_now: bool = True, late: str = "30 days", span: str = "1 day"
+) -> StreamingQuery:
+    """Keep the current progress row of every session and day that changed.
+
+    Each batch writes the changed rows under its number, over what an earlier
+    try of the same batch left; ``whole_sessions`` reads them.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    writer = session_progress(events).writeStream.outputMode("update").foreachBatch(add)
+    writer = session_progress(events, late, span).writeStream.outputMode("update").foreachBatch(add)
     return _start(writer, checkpoint, available_now)
 
 
 def quality_stream(chunks: DataFrame, valid_path: str, invalid_path: str, checkpoint: str, available_now: bool = True, **limits) -> StreamingQuery:
-    """Validate chunks and part them into two tables."""
+    """Validate chunks and part them into two tables, one folder per batch.
 
-    def split(batch: DataFrame, _: int) -> None:
+    A batch that is run again after a failure overwrites its own folders, so no
+    row doubles.
+    """
+
+    def split(batch: DataFrame, number: int) -> None:
         checked = ql.validate_chunks(batch, **limits).persist()
-        checked.where("is_valid").write.mode("append").parquet(valid_path)
-        checked.where(~F.col("is_valid")).write.mode("append").parquet(invalid_path)
+        checked.where("is_valid").write.mode("overwrite").parquet(f"{valid_path}/batch={number}")
+        checked.where(~F.col("is_valid")).write.mode("overwrite").parquet(f"{invalid_path}/batch={number}")
         checked.unpersist()
 
     return _start(chunks.writeStream.foreachBatch(split), checkpoint, available_now)
 
 
+def _intervals(times, silence: int) -> list[tuple[int, int, int]]:
+    """(first, last, number) of runs of sorted times without a longer silence."""
+    import numpy as np
+
+    cuts = np.flatnonzero(np.diff(times) > silence) + 1
+    return [(int(x[0]), int(x[-1]), len(x)) for x in np.split(times, cuts) if len(x)]
+
+
 class SessionTimeout:
     """Emit a session once it has been silent for a while (event time).
 
-    State per session: first and last event and how many there were.
+    State per session: first and last event and how many there were.  Events
+    behind a silence begin a new session, whether or not the end of the old one
+    has been told yet.
     """
 
     def __init__(self, silence_ms: int):
@@ -122,21 +150,26 @@ class SessionTimeout:
         self.seen = handle.getValueState("seen", "first bigint, last bigint, n bigint")
 
     def handleInputRows(self, key, rows, timerValues):
+        import numpy as np
         import pandas as pd
 
-        state = self.seen.get() if self.seen.exists() else None
-        first, last, n = state if state else (None, None, 0)
-        for pdf in rows:
-            ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
-            low, high = int(ms.min()), int(ms.max())
-            first = low if first is None else min(first, low)
-            last = high if last is None else max(last, high)
-            n += len(pdf)
+        times = np.sort(np.concatenate([pdf["ts"].astype("datetime64[ms]").astype("int64").to_numpy() for pdf in rows]))
+        runs = _intervals(times, self.silence_ms)
+        if self.seen.exists():
+            runs = sorted([*runs, tuple(self.seen.get())])
+        joined = [runs[0]]
+        for first, last, n in runs[1:]:
+            if first - joined[-1][1] <= self.silence_ms:
+                a, b, m = joined.pop()
+                first, last, n = a, max(b, last), m + n
+            joined.append((first, last, n))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last + self.silence_ms)
-        self.seen.update((first, last, n))
-        yield pd.DataFrame({"session_id": [], "first_ms": [], "last_ms": [], "events": []})
+        self.handle.registerTimer(joined[-1][1] + self.silence_ms)
+        self.seen.update(joined[-1])
+        yield pd.DataFrame(
+            [(key[0], *run) for run in joined[:-1]], columns=["session_id", "first_ms", "last_ms", "events"]
+        ).astype("int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd

@@ -69,8 +69,8 @@ def t35(spark, sf):
         "doc_id", "i", bk.item_text(F.col("item")).alias("text"))
 
 
-@query("q01_normalise_items", f"""WITH {_PARTS}, r AS (SELECT lang AS category_key, doc_id * 100000 + i AS ord, {q_strip("s")} AS content,
-        CASE WHEN i % 2 = 1 THEN 'a ' || i ELSE '' END AS reference_answer, CASE WHEN i % 2 = 1 AND i % 3 = 0 THEN 'c' || i ELSE concat('json_', lang, '_', CASE WHEN length(CAST(doc_id * 100000 + i + 1 AS VARCHAR)) >= 6 THEN substr(CAST(doc_id * 100000 + i + 1 AS VARCHAR), 1, 6) ELSE lpad(CAST(doc_id * 100000 + i + 1 AS VARCHAR), 6, '0') END) END AS question_id,
+@query("q01_normalise_items", f"""WITH {_PARTS}, r AS (SELECT lang AS category_key, doc_id * 4294967296 + i AS ord, {q_strip("s")} AS content,
+        CASE WHEN i % 2 = 1 THEN 'a ' || i ELSE '' END AS reference_answer, CASE WHEN i % 2 = 1 AND i % 3 = 0 THEN 'c' || i ELSE concat('json_', lang, '_', format('{{:06d}}', doc_id * 4294967296 + i + 1)) END AS question_id,
         lang AS job_category FROM s),
     a AS (SELECT *, row_number() OVER (PARTITION BY category_key, content ORDER BY ord) AS x FROM r WHERE content <> ''),
     b AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY category_key, ord) AS y FROM a WHERE x = 1)
@@ -82,12 +82,12 @@ def q01(spark, sf):
         F.when(F.col("i") % 4 == 1, F.col("s")).alias("question"), F.when(F.col("i") % 4 == 3, F.col("s")).alias("content"),
         F.concat(F.lit(" a "), F.col("i").cast("string")).alias("answer"),
         F.when(F.col("i") % 3 == 0, F.concat(F.lit("c"), F.col("i").cast("string"))).alias("chunk_id")))
-    items = s.select("lang", (F.col("doc_id") * 100000 + F.col("i")).alias("ord"),
+    items = s.select("lang", (F.col("doc_id") * 4294967296 + F.col("i")).alias("ord"),
                      F.parse_json(F.when(F.col("i") % 2 == 0, quoted).otherwise(obj)).alias("item"))
     return bk.normalise_items(items, "lang", "ord")
 
 
-@query("q02_normalise_rows", f"""WITH {_PARTS}, r AS (SELECT doc_id * 100000 + i AS ord, CAST(doc_id AS VARCHAR) AS question_id,
+@query("q02_normalise_rows", f"""WITH {_PARTS}, r AS (SELECT doc_id * 4294967296 + i AS ord, CAST(doc_id AS VARCHAR) AS question_id,
         CASE i % 3 WHEN 0 THEN 'LLM' WHEN 1 THEN 'other' END AS category_key, {q_strip("s")} AS content, source FROM s),
     f AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY ord) AS x FROM r WHERE content <> '')
     SELECT ord, question_id, category_key, CASE category_key WHEN 'LLM' THEN 'LLM大模型' ELSE category_key END AS category_name, content,
@@ -96,7 +96,7 @@ def q01(spark, sf):
 def q02(spark, sf):
     s = table(spark, sf, "documents").select("doc_id", "source", F.posexplode(F.split("text", r"\.", -1)).alias("i", "s"))
     rows = s.select(
-        (F.col("doc_id") * 100000 + F.col("i")).alias("ord"), F.col("doc_id").alias("id"),
+        (F.col("doc_id") * 4294967296 + F.col("i")).alias("ord"), F.col("doc_id").alias("id"),
         F.when(F.col("i") % 3 == 0, " LLM ").when(F.col("i") % 3 == 1, "other").otherwise("  ").alias("category"),
         F.col("s").alias("question"), "source")
     return bk.normalise_rows(rows, "ord")
@@ -108,10 +108,10 @@ def raw(spark, sf):
         "doc_id", F.concat("source", F.lit(".json")).alias("file"),
         F.when(F.col("lang") == "fr", "Oracle").when(F.col("lang") == "es", "web3").otherwise(F.col("lang")).alias("hint"),
         F.posexplode(F.split("text", r"\.", -1)).alias("i", "text"))
-    return s.select("file", "hint", (F.col("doc_id") * 100000 + F.col("i")).alias("pos"), "text").where("text <> ''")
+    return s.select("file", "hint", (F.col("doc_id") * 4294967296 + F.col("i")).alias("pos"), "text").where("text <> ''")
 
 
-_BUILT = f"""{_PARTS}, r0 AS (SELECT source || '.json' AS file, CASE lang WHEN 'fr' THEN 'Oracle' WHEN 'es' THEN 'web3' ELSE lang END AS hint, doc_id * 100000 + i AS pos, {q_question("s")} AS q FROM s WHERE s <> ''),
+_BUILT = f"""{_PARTS}, r0 AS (SELECT source || '.json' AS file, CASE lang WHEN 'fr' THEN 'Oracle' WHEN 'es' THEN 'web3' ELSE lang END AS hint, doc_id * 4294967296 + i AS pos, {q_question("s")} AS q FROM s WHERE s <> ''),
     c0 AS (SELECT *, {q_noise("q")} AS noise FROM r0), k0 AS (SELECT *, {q_key("q")} AS key FROM c0 WHERE NOT noise),
     g0 AS (SELECT *, min(pos) OVER (PARTITION BY file, hint) AS g FROM k0),
     u0 AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY file, g, pos) AS rn FROM g0 WHERE key <> ''),
@@ -128,6 +128,13 @@ def a11(spark, sf):
     return pb.category_sizes(pb.build_bank(raw(spark, sf))["unique"])
 
 
+@query("a11_category_lists", f"""WITH {_BUILT}, o AS (SELECT category, q, row_number() OVER (PARTITION BY category ORDER BY file, g, pos) - 1 AS k FROM b0)
+    SELECT category, (k // 1000)::BIGINT AS page, string_agg(q, chr(10) ORDER BY k) AS questions FROM o GROUP BY category, k // 1000""")
+def a11_lists(spark, sf):
+    pages = pb.category_pages(pb.build_bank(raw(spark, sf))["unique"])
+    return pages.withColumn("questions", F.array_join("questions", "\n"))
+
+
 @query("a10_bank_report", f"""WITH RECURSIVE {_BUILT}, o AS (SELECT file, hint, q, row_number() OVER (PARTITION BY file, hint ORDER BY pos) AS k FROM c0 WHERE NOT noise),
     w AS (SELECT file, hint, k, 1 AS batch, length(q) + 2 AS used, 1 AS n FROM o WHERE k = 1
         UNION ALL SELECT o.file, o.hint, o.k,

@@ -44,8 +44,9 @@ def t37(spark, sf):
 @query("t38_keyword_coverage", """WITH k AS (SELECT doc_id, len(string_split(text, '.')) - 1 AS h, length(text) - length(replace(text, chr(10), '')) AS m FROM documents)
     SELECT doc_id, CASE WHEN h + m = 0 THEN 1e0 ELSE CAST(h AS DOUBLE) / (h + m) END AS coverage FROM k""")
 def t38(spark, sf):
-    hit = F.slice(F.split("text", r"\.", -1), 2, 100000000)
-    missed = F.slice(F.split("text", "\n", -1), 2, 100000000)
+    rest = lambda parts: F.slice(parts, F.lit(2), F.size(parts))
+    hit = rest(F.split("text", r"\.", -1))
+    missed = rest(F.split("text", "\n", -1))
     return table(spark, sf, "documents").select("doc_id", sc.keyword_coverage(hit, missed, RAW).alias("coverage"))
 
 
@@ -215,6 +216,13 @@ def a07(spark, sf):
     return reports(spark, sf)
 
 
+@query("a07_keyword_coverage", using("v_sessions v_latest", f""", c AS (SELECT session_id, {q_avg("clarity / 10")} AS cov FROM v_latest GROUP BY session_id)
+    SELECT v.session_id, coalesce(cov, 0) AS avg_keyword_coverage FROM v_sessions v LEFT JOIN c ON c.session_id = v.session_id"""))
+def a07_coverage(spark, sf):
+    n = newest(spark, sf).withColumn("keyword_coverage", F.col("clarity") / 10)
+    return iv.session_reports(sessions(spark, sf), n, RAW).select("session_id", "avg_keyword_coverage")
+
+
 @query("a08_category_counts", using("v_questions", f""" SELECT category_key AS key, CASE category_key {" ".join(
     f"WHEN {lit(k)} THEN {lit(v)}" for k, v in lx.CATEGORY_DISPLAY.items())} ELSE category_key END AS name, count(*) AS count
     FROM v_questions GROUP BY category_key"""))
@@ -239,9 +247,12 @@ def a14(spark, sf):
 
 
 @query("a15_history", using("v_sessions v_latest", f""", {_REPORTS} SELECT r.session_id, r.avg_total_score, r.total_count, r.pass_rate,
-    r.total_minutes, v.start_time AS interview_date FROM reports r JOIN v_sessions v ON r.session_id = v.session_id"""))
+    r.total_minutes, v.start_time AS interview_date,
+    concat('job', r.session_id % 4) AS job_type, concat('p', r.session_id % 3) AS personality_name FROM reports r JOIN v_sessions v ON r.session_id = v.session_id"""))
 def a15(spark, sf):
-    return iv.history(reports(spark, sf), sessions(spark, sf))
+    about = sessions(spark, sf).withColumn("job_type", F.concat(F.lit("job"), F.col("session_id") % 4)).withColumn(
+        "personality_name", F.concat(F.lit("p"), F.col("session_id") % 3))
+    return iv.history(reports(spark, sf), about)
 
 
 # --- listing and choice -------------------------------------------------------------------
@@ -264,7 +275,7 @@ def k03(spark, sf):
 
 def _h(*parts: str) -> str:
     joined = " || ':' || ".join(parts)
-    return f"(concat('0x', substr(md5({joined}), 1, 8)))::BIGINT"
+    return f"(concat('0x', substr(md5({joined}), 1, 15)))::BIGINT"
 
 
 _BANK = f"""bank AS (SELECT question_id, category_key, row_number() OVER (PARTITION BY category_key ORDER BY {_h("'bank'", "question_id")}, question_id) - 1 AS p,
@@ -295,11 +306,13 @@ def asked_rows(spark, sf):
         F.col("user_id").alias("session_id"), (F.col("event_id") % 40).alias("question_id")).distinct()
 
 
-@query("j09_unasked", using("v_questions v_sessions", f""", {_BANK}, {_ASKED}, pool AS (SELECT session_id, question_id FROM live l JOIN bank b ON l.category_key = b.category_key)
+@query("j09_unasked", using("v_questions v_sessions", f""", {_BANK}, {_ASKED}, s AS (SELECT DISTINCT l.session_id, l.category_key, n, {_h("'pool'", "session_id")} % n AS f FROM live l JOIN bank b ON l.category_key = b.category_key),
+    w AS (SELECT *, unnest(range(0, least(20, n))) AS place FROM s),
+    pool AS (SELECT w.session_id, b.question_id FROM w JOIN bank b ON b.category_key = w.category_key AND b.p = (w.f + w.place) % w.n)
     SELECT session_id, question_id FROM pool p WHERE NOT EXISTS (SELECT 1 FROM asked a WHERE a.session_id = p.session_id AND a.question_id = p.question_id)"""))
 def j09(spark, sf):
     bank = iv.shuffled_bank(questions(spark, sf).select("question_id", "category_key"), "bank")
-    pool = iv.draw(with_category(spark, sf), bank, F.lit(1000000), "pool")
+    pool = iv.draw(with_category(spark, sf), bank, F.lit(20), "pool")
     return iv.unasked(pool, asked_rows(spark, sf)).select("session_id", "question_id")
 
 

@@ -12,7 +12,6 @@ from ..functions.patterns import SPACE, SPACE_CHARS, WORD_CHARS
 from ..operators import interview as iv
 from ..operators import quality as op
 from ..operators import vectors as vx
-from ..operators.ranking import latest
 from ..plans import bank as pb
 from ..plans import corpus as pc
 from ..plans import interview as pi
@@ -26,9 +25,9 @@ from .dedup import HASHED
 from .interview import RAW, _SESSION_STATS, _ZERO, scored
 from .quality import LIMITS, _CHECKED, checked
 from .registry import query
-from .segment import _sql_dress, dressed, q_force, spaced
+from .segment import MARKED, V_DRESSED, V_SPACED, _sql_dress, dressed, q_chunks, q_force, shown_chunks, spaced
 from .text import _LINES, _NOISE
-from .vectors import LETTERS, letter_encoder
+from .vectors import LETTERS, letter_encoder, shown
 from .views import (
     answers, docs, evaluations, lit, q_any, q_case, q_strip, q_sub, sessions, table, using,
 )
@@ -200,14 +199,19 @@ def p2(spark, sf):
     return pc.extract_and_clean(d, words).select("doc_id", "outcome", "full_text", "markdown_text")
 
 
-@query("p3_parse_and_chunk")
+_BANK = ["src0", "src3", "src6", "src9", "src12", "src15", "src18"]
+_IS_BANK = f"category IN ({', '.join(map(lit, _BANK))})"
+
+
+@query("p3_parse_and_chunk", using("v_docs", f""", {V_SPACED}, v_bank AS (SELECT doc_id, source_file, CASE WHEN {_IS_BANK} THEN {lit(pc.QUESTION_BANK)} ELSE category END AS category,
+        {_IS_BANK} AS bank, doc_id % 2 = 0 AND text <> '' AS md, text FROM v_spaced WHERE {q_strip("text")} <> ''), {q_chunks("v_bank")} SELECT * FROM chunks"""))
 def p3(spark, sf):
     """All documents dressed with markers; a third of the sources are question banks."""
     d = spaced(spark, sf)
-    bank = F.col("category").isin("src0", "src3", "src6", "src9", "src12", "src15", "src18")
-    return pc.parse_and_chunk(d.select(
-        F.col("source_file").alias("source_path"), F.when(bank, pc.QUESTION_BANK).otherwise(F.col("category")).alias("category"),
-        F.col("text").alias("full_text"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("markdown_text")))
+    return shown_chunks(pc.parse_and_chunk(d.select(
+        F.col("source_file").alias("source_path"),
+        F.when(F.col("category").isin(*_BANK), pc.QUESTION_BANK).otherwise(F.col("category")).alias("category"),
+        F.col("text").alias("full_text"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("markdown_text"))))
 
 
 @query("p3_plain_chunks", using("v_docs", f""", src AS (SELECT doc_id AS id, {q_strip("text")} AS t FROM v_docs WHERE length({q_strip("text")}) > 1500), {q_force("src", "f")},
@@ -249,10 +253,10 @@ _VEC = "[" + ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS
 
 
 @query("p6_build_index", f"""WITH e AS (SELECT doc_id AS chunk_id, source, lang, {_VEC} AS v FROM documents), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM e),
-    m AS (SELECT chunk_id, lang, CASE WHEN n > 0 THEN list_transform(v, lambda x: x / n) ELSE v END AS u FROM n),
+    m AS (SELECT chunk_id, lang, CASE WHEN n > 0 THEN list_transform(v, lambda x: CAST(x / n AS FLOAT)) ELSE list_transform(v, lambda x: CAST(x AS FLOAT)) END AS u FROM n),
     q(query_id, q) AS (VALUES {", ".join(f"({i}, [{', '.join('1e0' if j == i else '0e0' for j in range(len(LETTERS)))}])" for i in range(len(LETTERS)))})
-    SELECT query_id::BIGINT AS query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
-        FROM (SELECT query_id, chunk_id, round(list_dot_product(u, q), 6) + 0e0 AS score FROM q, m)) WHERE rank <= 5""")
+    SELECT query_id::BIGINT AS query_id, chunk_id, round(score, 6) + 0e0 AS score, rank::INTEGER AS rank FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+        FROM (SELECT query_id, chunk_id, list_dot_product(CAST(u AS DOUBLE[]), q) AS score FROM q, m)) WHERE rank <= 5""")
 def p6(spark, sf):
     """Index built in two runs that overlap, then searched once per letter."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("source_file"))
@@ -260,7 +264,7 @@ def p6(spark, sf):
     pc.build_index(d.where("chunk_id % 3 = 0"), path, letter_encoder, len(LETTERS))
     index = pc.build_index(d, path, letter_encoder, len(LETTERS))
     eye = [(i, [float(i == j) for j in range(len(LETTERS))]) for i in range(len(LETTERS))]
-    return vx.top_k(index, spark.createDataFrame(eye, "query_id bigint, embedding array<double>"), 5)
+    return shown(vx.top_k(index, spark.createDataFrame(eye, "query_id bigint, embedding array<double>"), 5))
 
 
 @query("p7_repair_round", using("v_docs", f""", {_FAILED}, x AS (SELECT *, {q_strip('full_text')} = '' AND file_type IN ('.pdf', '.docx') AS bad FROM f)
@@ -273,12 +277,13 @@ def p7(spark, sf):
     return pc.repair_round(d, [".pdf", ".docx"], again)["documents"].select("doc_id", "full_text")
 
 
-@query("p7_new_chunks")
+@query("p7_new_chunks", using("v_docs", f""", {_FAILED}, v_again AS (SELECT f.doc_id, f.source_file, d.category, false AS bank, false AS md, f.text FROM f JOIN v_docs d ON d.doc_id = f.doc_id
+        WHERE {q_strip('full_text')} = '' AND file_type IN ('.pdf', '.docx') AND length({q_strip('f.text')}) > 0), {q_chunks("v_again")} SELECT * FROM chunks"""))
 def p7_chunks(spark, sf):
     d = with_failures(spark, sf)
     again = lambda rows: rows.select(
         "source_path", "file_type", F.col("whole").alias("direct"), F.lit(None).cast("string").alias("fallback"))
-    return pc.repair_round(d, [".pdf", ".docx"], again)["new_chunks"].drop("metadata")
+    return shown_chunks(pc.repair_round(d, [".pdf", ".docx"], again)["new_chunks"])
 
 
 @query("p8_session_report", using("v_sessions v_latest v_answers", f""", rs AS (SELECT * FROM v_latest l WHERE EXISTS (SELECT 1 FROM v_answers a
@@ -292,7 +297,12 @@ def p8(spark, sf):
     return r.drop("status", "total_minutes", "minutes_per_question", "note", "prompt")
 
 
-@query("q04_extract_questions")
+@query("q04_extract_questions", using("v_docs", f""", {V_DRESSED}, {CLEANED.replace("v_docs", "v_dressed")},
+    v_clean AS (SELECT c.doc_id, CASE WHEN coalesce(m, '') <> '' THEN m ELSE c.t END AS text FROM cleaned c LEFT JOIN marked k ON k.doc_id = c.doc_id
+        JOIN v_dressed d ON d.doc_id = c.doc_id WHERE d.category <> 'src7' AND {q_strip("d.text")} <> ''),
+    {MARKED.replace("v_dressed", "v_clean")}, qs AS (SELECT doc_id, pos, CASE WHEN {q_strip("qtext")} <> '' THEN {q_strip("qtext")} ELSE {q_strip("head")} END AS question
+        FROM hd WHERE mk IS NOT NULL), qn AS (SELECT doc_id AS ord, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER AS seq, question FROM qs WHERE question <> '')
+    SELECT ord, seq, question FROM qn WHERE length(question) >= 4 QUALIFY row_number() OVER (PARTITION BY question ORDER BY ord, seq) = 1"""))
 def q04(spark, sf):
     d = dressed(spark, sf).select(
         F.col("source_file").alias("source_path"), "category", F.col("doc_id").alias("ord"), F.col("text").alias("full_text"),
@@ -339,7 +349,7 @@ def st3(spark, sf):
     src, schema = _landing(e, "events")
     out = scratch_path(spark, "progress")
     st.progress_stream(st.read_stream(spark, src, schema), out, scratch_path(spark, "state")).awaitTermination()
-    now = latest(spark.read.parquet(out), ["session_id"], "batch")
+    now = st.whole_sessions(spark.read.parquet(out))
     return st.with_limits(now, 42000, 60).select("session_id", "asked", "last_kind", "minutes", "should_end")
 
 

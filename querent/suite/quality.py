@@ -84,7 +84,7 @@ def t22(spark, sf):
 # Lower limits than the defaults, since the prose is mostly sound.
 LIMITS = {"garbled_max": 0.02, "repetition_max": 0.01, "special_max": 0.05}
 _CHECK_SRC = f"""src AS (SELECT doc_id AS id, text AS t, 'text' AS kind, NULL AS question, NULL AS answer FROM documents
-        UNION ALL SELECT -1 - (conv_id * 1000 + turn), answer, 'qa', question, answer FROM qa)"""
+        UNION ALL SELECT -1 - (conv_id * 4294967296 + turn), answer, 'qa', question, answer FROM qa)"""
 _CHECKED = f"""WITH qa AS ({_QA}), {_CHECK_SRC}, {_REPEAT},
     m AS (SELECT s.*, {_GARBLED} AS g, {_SPECIAL} AS sp, rep.r FROM src s JOIN rep ON s.id = rep.id),
     iss AS (SELECT *, list_filter([
@@ -107,7 +107,7 @@ def checked(spark, sf):
         F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("text").alias("chunk_type"),
         null.alias("question"), null.alias("answer"))
     turns = qa_records(spark, sf).select(
-        (-1 - (F.col("conv_id") * 1000 + F.col("turn"))).alias("id"), F.col("answer").alias("content"),
+        (-1 - (F.col("conv_id") * 4294967296 + F.col("turn"))).alias("id"), F.col("answer").alias("content"),
         F.lit("qa").alias("chunk_type"), "question", "answer")
     return op.validate_chunks(whole.unionByName(turns), **LIMITS)
 

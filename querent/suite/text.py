@@ -241,13 +241,13 @@ def t29(spark, sf):
 
 
 # Category rules meet real hits when a document's first words act as file name.
-@query("t30_bank_category", f"""WITH n AS (SELECT doc_id, lower(concat(substr(text, 1, 80), ' ', lang)) AS name FROM documents)
+@query("t30_bank_category", f"""WITH n AS (SELECT doc_id, lower(concat(text, ' ', lang)) AS name FROM documents)
     SELECT doc_id, {q_case("name", [*lx.BANK_CATEGORY, ("en-bank", ["the", "nd"]), ("fr-bank", ["eau"])], lit(lx.BANK_CATEGORY_DEFAULT))} AS category FROM n""")
 def t30(spark, sf):
     from ..functions.labels import bank_category
     return table(spark, sf, "documents").select(
         "doc_id",
-        bank_category(F.substr("text", F.lit(1), F.lit(80)), F.col("lang"),
+        bank_category(F.col("text"), F.col("lang"),
                       [*lx.BANK_CATEGORY, ("en-bank", ["the", "nd"]), ("fr-bank", ["eau"])]).alias("category"))
 
 

@@ -24,38 +24,43 @@ def centres(spark, sf):
         F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("embedding"))
 
 
+def shown(found):
+    """Scores as they are compared; ranks are made of the unrounded ones."""
+    return found.withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
 _DOT = "list_dot_product(CAST(i.embedding AS DOUBLE[]), c.embedding)"
 
 
 def _top(k: int, score: str, where: str = "true") -> str:
     return f"""SELECT * FROM (SELECT query_id, chunk_id, score, position, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
-        FROM (SELECT c.query_id, i.chunk_id, i.position, round({score}, 6) + 0e0 AS score FROM centres c, v_index i WHERE {where})) WHERE rank <= {k}"""
+        FROM (SELECT c.query_id, i.chunk_id, i.position, {score} AS score FROM centres c, v_index i WHERE {where})) WHERE rank <= {k}"""
 
 
-@query("v03_top_k", using("v_index", f", {_CENTRES} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM ({_top(5, _DOT)})"))
+@query("v03_top_k", using("v_index", f", {_CENTRES} SELECT query_id, chunk_id, round(score, 6) + 0e0 AS score, rank::INTEGER AS rank FROM ({_top(5, _DOT)})"))
 def v03(spark, sf):
-    return vx.top_k(vectors(spark, sf), centres(spark, sf), 5)
+    return shown(vx.top_k(vectors(spark, sf), centres(spark, sf), 5))
 
 
-@query("j10_top_k_tiled", using("v_index", f", {_CENTRES} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM ({_top(7, _DOT)})"))
+@query("j10_top_k_tiled", using("v_index", f", {_CENTRES} SELECT query_id, chunk_id, round(score, 6) + 0e0 AS score, rank::INTEGER AS rank FROM ({_top(7, _DOT)})"))
 def j10(spark, sf):
-    """The same search by blocks of queries and tiles of the index."""
-    return vx.top_k(vectors(spark, sf), centres(spark, sf), 7, block_bytes=2000, tile_bytes=80_000)
+    """The same search, one scan of the index for each block of queries."""
+    return shown(vx.top_k(vectors(spark, sf), centres(spark, sf), 7, block_bytes=2000))
 
 
 _COS = f"{_DOT} / (sqrt(list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[]))) * sqrt(list_dot_product(c.embedding, c.embedding)))"
 
 
-@query("v04_cosine_filtered", using("v_index", f", {_CENTRES} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM ({_top(5, _COS, 'i.position IN (1, 3)')})"))
+@query("v04_cosine_filtered", using("v_index", f", {_CENTRES} SELECT query_id, chunk_id, round(score, 6) + 0e0 AS score, rank::INTEGER AS rank FROM ({_top(5, _COS, 'i.position IN (1, 3)')})"))
 def v04(spark, sf):
-    return vx.top_k_cosine(vectors(spark, sf), centres(spark, sf), 5, F.col("position").isin(1, 3))
+    return shown(vx.top_k_cosine(vectors(spark, sf), centres(spark, sf), 5, F.col("position").isin(1, 3)))
 
 
 @query("v05_postfilter", using("v_index", f""", {_CENTRES}, w AS ({_top(10, _DOT)})
-    SELECT query_id, chunk_id, score, position, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank
+    SELECT query_id, chunk_id, round(score, 6) + 0e0 AS score, position, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank
     FROM w WHERE position = 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5"""))
 def v05(spark, sf):
-    return vx.top_k_postfilter(vectors(spark, sf), centres(spark, sf), 5, F.col("position") == 3, ["position"]).where("rank <= 5")
+    return shown(vx.top_k_postfilter(vectors(spark, sf), centres(spark, sf), 5, F.col("position") == 3, ["position"]))
 
 
 @query("v06_metadata_filter", using("v_index", " SELECT chunk_id FROM v_index WHERE position = 2 AND len(embedding) = 64"))
@@ -69,6 +74,22 @@ def v07(spark, sf):
     return vectors(spark, sf).groupBy("position").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_id"))
 
 
+@query("v07_get_by_id", using("v_index", " SELECT chunk_id, position FROM v_index WHERE chunk_id % 7 = 0"))
+def v07_get(spark, sf):
+    v = vectors(spark, sf)
+    return vx.get_by_ids(v, v.where("chunk_id % 7 = 0").select("chunk_id")).select("chunk_id", "position")
+
+
+@query("v07_clear", using("v_index", " SELECT count(*) AS before, 0::BIGINT AS after FROM v_index"))
+def v07_clear(spark, sf):
+    """A stored index counted, cleared and counted again."""
+    path = scratch_path(spark, "index")
+    vx.append_new(vectors(spark, sf), path)
+    before = spark.read.parquet(path).agg(F.count("*").alias("before")).first()[0]
+    vx.clear_index(spark, path)
+    return spark.read.parquet(path).agg(F.lit(before).alias("before"), F.count("*").alias("after"))
+
+
 @query("v08_dimension_report", using("v_index", " SELECT len(embedding)::INTEGER AS width, count(*) AS n, len(embedding) = 64 AS fits FROM v_index GROUP BY 1, 3"))
 def v08(spark, sf):
     return vx.dimension_report(vectors(spark, sf), 64)
@@ -87,10 +108,10 @@ _VEC = "[" + ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS
 
 @query("v01_embed", f"""WITH e AS (SELECT doc_id, {_VEC} AS v FROM documents), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM e),
     d AS (SELECT doc_id, unnest(v) AS x, generate_subscripts(v, 1) AS dim, n FROM n)
-    SELECT doc_id, (dim - 1)::INTEGER AS dim, round(CASE WHEN n > 0 THEN x / n ELSE x END, 9) AS x FROM d""")
+    SELECT doc_id, (dim - 1)::INTEGER AS dim, round(CAST(CAST(CASE WHEN n > 0 THEN x / n ELSE x END AS FLOAT) AS DOUBLE), 6) AS x FROM d""")
 def v01(spark, sf):
     e = vx.embed(table(spark, sf, "documents").select("doc_id", "text"), "text", letter_encoder)
-    return e.select("doc_id", F.posexplode("embedding").alias("dim", "x")).select("doc_id", "dim", F.round("x", 9).alias("x"))
+    return e.select("doc_id", F.posexplode("embedding").alias("dim", "x")).select("doc_id", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 @query("v02_append_index", """SELECT doc_id AS chunk_id, source AS source_file, '' AS question, 0 AS question_num, concat('["', lang, '"]') AS keywords FROM documents""")
@@ -101,8 +122,8 @@ def v02(spark, sf):
         F.lit(None).cast("string").alias("question"), F.lit(None).cast("int").alias("question_num"),
         F.array("lang").alias("keywords"), F.create_map(F.lit("a"), F.col("lang")).alias("other"))
     path = scratch_path(spark, "index")
-    vx.append_new(vx.index_rows(d.where("lang = 'en'")), path)
-    vx.append_new(vx.index_rows(d), path)
+    vx.append_new(d.where("lang = 'en'"), path)
+    vx.append_new(d, path)
     return spark.read.parquet(path)
 
 
@@ -119,14 +140,22 @@ def v09(spark, sf):
     return vx.hits_to_questions(h)
 
 
-@query("v10_cells_all_probes", using("v_index", f", {_CENTRES} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM ({_top(5, _DOT)})"))
+@query("v10_cells_all_probes", using("v_index", f", {_CENTRES} SELECT query_id, chunk_id, round(score, 6) + 0e0 AS score, rank::INTEGER AS rank FROM ({_top(5, _DOT)})"))
 def v10(spark, sf):
     """Cell-pruned search with every cell probed equals the exact one; recall at
     fewer probes is tested."""
     c = centres(spark, sf)
     matrix = np.array([r["embedding"] for r in c.orderBy("query_id").collect()])
     index = vx.nearest_cells(vectors(spark, sf), matrix)
-    return vx.top_k_cells(index, c, matrix, 5, probes=len(matrix))
+    return shown(vx.top_k_cells(index, c, matrix, 5, probes=len(matrix)))
+
+
+@query("v10_trained_cells", using("v_index", f", {_CENTRES} SELECT query_id, chunk_id, round(score, 6) + 0e0 AS score, rank::INTEGER AS rank FROM ({_top(5, _DOT)})"))
+def v10_trained(spark, sf):
+    """Cells of trained centres, all of them probed."""
+    found = vectors(spark, sf)
+    matrix = vx.train_cells(found, 12)
+    return shown(vx.top_k_cells(vx.nearest_cells(found, matrix), centres(spark, sf), matrix, 5, probes=len(matrix)))
 
 
 @query("u03_multi_query_union", using("v_index", f", {_CENTRES} SELECT DISTINCT chunk_id FROM ({_top(30, _DOT)})"))

@@ -12,13 +12,13 @@ from ..functions.patterns import STRIP
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """One of the given tables.
 
-    Text tables are worked on row by row.  One that comes in fewer files than
-    there are cores is dealt out to all of them; a large table has files enough
-    and is left as it is.
+    Text tables are worked on row by row.  One that Spark reads in fewer tasks
+    than there are cores (a single row group, say) is dealt out to all of them,
+    which changes no result; a large table is left as it is.
     """
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages") and len(df.inputFiles()) < cores:
+    if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores)
     return df
 
@@ -51,7 +51,7 @@ def evaluations(spark: SparkSession, sf: str) -> DataFrame:
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     followup = F.col("turn") % 4 == 2
     return table(spark, sf, "conversations").where("role = 'user'").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        (F.col("conv_id") * 4294967296 + F.col("turn")).alias("id"),
         F.col("conv_id").alias("session_id"),
         F.col("turn").alias("question_id"),
         F.col("text").alias("user_answer"),
@@ -111,7 +111,7 @@ VIEWS = {
         least(CAST(10 AS DOUBLE), value / 8) AS clarity,
         least(CAST(10 AS DOUBLE), value / 12) AS depth_breadth,
         event_type = 'error' AS failed FROM events""",
-    "v_answers": """SELECT conv_id * 100 + turn AS id, conv_id AS session_id, turn AS question_id,
+    "v_answers": """SELECT conv_id * 4294967296 + turn AS id, conv_id AS session_id, turn AS question_id,
         text AS user_answer, turn % 4 = 2 AS is_followup,
         CASE WHEN turn % 4 = 2 THEN turn - 2 END AS parent_question_id
         FROM conversations WHERE role = 'user'""",

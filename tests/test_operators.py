@@ -22,16 +22,41 @@ def test_blocks_do_not_change_ordinals_or_running_best(spark):
     df = spark.range(2000).select(
         F.col("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("k"),
         F.pmod(F.xxhash64("id"), F.lit(50)).alias("v"))
-    for block in (10**6, 100):
-        ordinals = ranking.with_ordinal(df, ["k"], "id", rows_per_block=block)
-        best = ranking.with_best_before(df, ["k"], "id", F.struct("v", "id"), rows_per_block=block)
+    for parts in (1, 20):
+        ordinals = ranking.with_ordinal(df, ["k"], "id", parts=parts)
+        best = ranking.with_best_before(df, ["k"], "id", F.struct("v", "id"), parts=parts)
         state = (sorted(map(tuple, ordinals.collect())), sorted(map(tuple, best.select("id", "best_before.v").collect())))
-        if block == 10**6:
+        if parts == 1:
             want = state
         else:
             assert state == want
 
 
+def test_equal_orders_of_one_group_are_split(spark):
+    df = spark.range(200_000).select("id", F.lit(1).alias("k"), F.lit(7).alias("o"))
+    ranged = ranking._ranged(df, ["k"], ["o"], 16)
+    sizes = [r["count"] for r in ranged.groupBy("_b").count().collect()]
+    assert max(sizes) < 200_000 / 16 * 2
+    got = ranking.with_ordinal(df, ["k"], "o", parts=16).agg(F.min("ordinal"), F.max("ordinal"), F.count_distinct("ordinal"))
+    assert tuple(got.first()) == (1, 200_000, 200_000)
+
+
+def test_a_large_group_packs_in_time(spark):
+    import time
+
+    df = spark.range(200_000).select(F.lit(1).alias("k"), F.col("id").alias("o"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("t"))
+    start = time.time()
+    row = packing.pack_batches(df, ["k"], "o", "t").agg(F.count("*"), F.max("batch")).first()
+    assert row[0] == 200_000 and 200_000 / 60 < row[1] < 200_000 / 40
+    assert time.time() - start < 30
+
+
+def test_null_orders_come_first(spark):
+    df = spark.createDataFrame([(1, 2, "a"), (1, None, "b"), (None, 1, "c"), (None, 3, "d")], "k int, o int, v string")
+    assert {r["v"] for r in ranking.first_seen(df, ["k"], "o").collect()} == {"b", "c"}
+    assert {r["v"] for r in ranking.latest(df, ["k"], "o").collect()} == {"a", "d"}
+
+
 def test_large_groups_pack_like_small_ones(spark):
     rnd = random.Random(3)
     rows = [(i % 7 and 0 or i % 2, i, "x" * rnd.randint(0, 90)) for i in range(1500)]
@@ -167,7 +192,7 @@ def test_upsert_moves_and_drops_partitions(spark):
     path, schema = scratch_path(spark, "t"), "k int, v int, d string"
     tb.write_table(spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 1, "b")], schema), path, "d")
     tb.upsert(spark, path, schema, spark.createDataFrame([(1, 2, "b"), (2, 0, "b")], schema), "k", "v", "d")
-    assert sorted(map(tuple, tb.read_table(spark, path, schema).collect())) == [(1, 2, "b"), (2, 1, "b"), (3, 1, "b")]
+    assert sorted(map(tuple, tb.read_table(spark, path, schema).collect())) == [(1, 2, "b"), (2, 0, "b"), (3, 1, "b")]
     tb.delete_keys(spark, path, schema, spark.createDataFrame([(1,), (2,), (3,)], "k int"), "k", "d")
     assert spark.read.schema(schema).parquet(path).count() == 0
 
