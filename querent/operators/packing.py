@@ -56,36 +56,44 @@ def pack_batches(
     halo = own.where((pos % block_rows < max_items) & (F.col("_b") > 0)).withColumn(
         "_b", F.col("_b") - 1
     ).withColumn("_halo", F.lit(True))
-    blocks = own.unionByName(halo)
-    kt = {k: slim.schema[k].dataType.simpleString() for k in keys}
-    key_ddl = ", ".join(f"`{k}` {t}" for k, t in kt.items())
+    # a call of Python gets about one block of rows: many small groups or one block of a large one
+    calls = max(1, -(-ranked.count() // block_rows))
+    blocks = own.unionByName(halo).withColumn("_call", F.pmod(F.xxhash64(*keys, "_b"), F.lit(calls)))
+    key_ddl = ", ".join(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys)
+
+    def groups(pdf: pd.DataFrame):
+        """Rows by group, block and order, and where each block begins and ends."""
+        codes = pdf.groupby([*keys, "_b"], sort=False, dropna=False).ngroup().to_numpy()
+        order = np.lexsort((pdf["_i"].to_numpy(), codes))
+        starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        return pdf.iloc[order], starts, np.append(starts[1:], len(pdf))
 
     # The first batch of a group is the only one whose first item carries the
     # separator, so its end differs; entry `max_items` stands for that start.
-    def moves(pdf: pd.DataFrame):
-        pdf = pdf.sort_values("_i", kind="stable")
-        lens = pdf["_len"].to_numpy(np.int64)
-        n = int((~pdf["_halo"]).sum())
+    def moves(lens: np.ndarray):
         nxt = _next_start(lens, max_chars, max_items)
-        lead = np.cumsum(lens + 2)
-        first = int(np.searchsorted(lead, max_chars, side="right"))
-        first = max(1, min(first, max_items, len(lens)))
-        return pdf, n, nxt, first
-
-    def table(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, n, nxt, first = moves(pdf)
-        goal, steps = _exits(nxt, n)
-        entry = np.arange(max_items)
-        inside = np.minimum(entry, n)
-        leave = np.where(entry < n, goal[inside], entry) - n
-        made = np.where(entry < n, steps[inside], 0)
-        after = (first - n, 1) if first >= n else (goal[first] - n, steps[first] + 1)
-        return pd.DataFrame(
-            [[*key, [*leave.tolist(), int(after[0])], [*made.tolist(), int(after[1])]]],
-            columns=[*keys, "_b", "_exit", "_made"],
-        )
+        first = int(np.searchsorted(np.cumsum(lens[: max_items + 1] + 2), max_chars, side="right"))
+        return nxt, max(1, min(first, max_items, len(lens)))
 
-    tables = blocks.groupBy(*keys, "_b").applyInPandas(
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, starts, ends = groups(pdf)
+        lens, inside_block = pdf["_len"].to_numpy(np.int64), ~pdf["_halo"].to_numpy(bool)
+        entry = np.arange(max_items)
+        exits, mades = [], []
+        for s, e in zip(starts, ends, strict=True):
+            n = int(inside_block[s:e].sum())
+            nxt, first = moves(lens[s:e])
+            goal, steps = _exits(nxt, n)
+            inside = np.minimum(entry, n)
+            leave = np.where(entry < n, goal[inside], entry) - n
+            made = np.where(entry < n, steps[inside], 0)
+            after = (first - n, 1) if first >= n else (goal[first] - n, steps[first] + 1)
+            exits.append([*leave.tolist(), int(after[0])])
+            mades.append([*made.tolist(), int(after[1])])
+        out = pdf[[*keys, "_b"]].iloc[starts].reset_index(drop=True)
+        return out.assign(_exit=exits, _made=mades)
+
+    tables = blocks.groupBy("_call").applyInPandas(
         table, f"{key_ddl}, _b bigint, _exit array<bigint>, _made array<bigint>"
     )
 
@@ -104,27 +112,33 @@ def pack_batches(
         tables.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("_b", "_exit", "_made"))).alias("_t"))
         .select(*keys, F.posexplode(F.aggregate("_t", start, chain, lambda a: F.slice(a["at"], 1, F.size(a["at"]) - 1))).alias("_b", "_s"))
-        .select(*keys, F.col("_b").cast("bigint").alias("_b"), F.col("_s.e").alias("_entry"), F.col("_s.m").alias("_before"))
+        .select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").cast("bigint").alias("_eb"),
+            F.col("_s.e").alias("_entry"), F.col("_s.m").alias("_before"),
+        )
     )
-    o_type = slim.schema["_o"].dataType.simpleString()
-
-    def number(key, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        pdf, n, nxt, first = moves(rows)
-        e, before = int(entry["_entry"].iloc[0]), int(entry["_before"].iloc[0])
-        marks = np.zeros(n, np.int64)
-        i = 0 if e == max_items else e
-        jump = first if e == max_items else None
-        while i < n:  # one step per batch
-            marks[i] = 1
-            i, jump = (jump, None) if jump is not None else (int(nxt[i]), None)
-        mine = pdf.iloc[:n]
-        out = mine[[*keys, "_o"]].copy()
-        out["batch"] = before + np.cumsum(marks)
-        return out
+    same = F.col("_b") == F.col("_eb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, starts, ends = groups(pdf)
+        lens, inside_block = pdf["_len"].to_numpy(np.int64), ~pdf["_halo"].to_numpy(bool)
+        entry, before = pdf["_entry"].to_numpy(np.int64), pdf["_before"].to_numpy(np.int64)
+        batch = np.zeros(len(pdf), np.int64)
+        for s, e in zip(starts, ends, strict=True):
+            n = int(inside_block[s:e].sum())
+            nxt, first = moves(lens[s:e])
+            i, jump = (0, first) if entry[s] == max_items else (int(entry[s]), None)
+            while i < n:  # one step per batch
+                batch[s + i] = 1
+                i, jump = (jump, None) if jump is not None else (int(nxt[i]), None)
+            batch[s:e] = before[s] + np.cumsum(batch[s:e])
+        return pdf[[*keys, "_o"]].assign(batch=batch)[inside_block]
 
+    o_type = slim.schema["_o"].dataType.simpleString()
     return (
-        blocks.groupBy(*keys, "_b")
-        .cogroup(entries.groupBy(*keys, "_b"))
-        .applyInPandas(number, f"{key_ddl}, _o {o_type}, batch bigint")
+        blocks.join(entries, same).drop(*entries.columns[: len(keys) + 1])
+        .groupBy("_call").applyInPandas(number, f"{key_ddl}, _o {o_type}, batch bigint")
         .select(*keys, F.col("_o").alias(order), "batch")
     )
