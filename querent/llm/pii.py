@@ -106,12 +106,18 @@ PLAUSIBLE = {
 
 
 def _contexts(place: Column) -> Column:
-    """Lexical patterns around a place: two words before it; one on either side."""
+    """Lexical patterns around a place: two words before it; one on either side.
+
+    A side without words makes no pattern.
+    """
     tidy = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
     left, right = tidy(place["left"]), tidy(place["right"])
-    two = F.regexp_extract(left, r"(\S+)\s+(\S*\s*)$", 0)
-    one = F.concat_ws(" _ ", F.regexp_extract(left, r"(\S+)\s*$", 1), F.regexp_extract(right, r"^\s*(\S+)", 1))
-    return F.array(F.concat(F.lit("before "), two), F.concat(F.lit("around "), one))
+    two = F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1)
+    before, after = F.regexp_extract(left, r"(\S+)\s*$", 1), F.regexp_extract(right, r"^\s*(\S+)", 1)
+    return F.array_compact(F.array(
+        F.when(two != "", F.concat(F.lit("before "), two)),
+        F.when((before != "") & (after != ""), F.concat(F.lit("around "), before, F.lit(" _ "), after)),
+    ))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -150,8 +156,10 @@ def find_spans(docs: DataFrame) -> DataFrame:
             F.lower(p["value"]).alias("value"), F.lit(seed).alias("seed"), _contexts(p).alias("contexts"),
         ))
 
-    apart = lambda places: F.filter(places, lambda p: ~F.exists(
-        "base", lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])
+    # candidates share no character with a base span and are no part of a longer token
+    apart = lambda places: F.filter(places, lambda p: ~(
+        F.exists("base", lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"]))
+        | p["left"].rlike("[0-9A-Za-z]$") | p["right"].rlike("^[0-9A-Za-z]")
     ))
     every = [marks(i, F.col(k), True) for i, k in enumerate(KINDS)]
     every += [marks(i, apart(F.col(f"{k}_like")), False) for i, k in enumerate(KINDS)]
