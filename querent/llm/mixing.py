@@ -25,7 +25,7 @@ from .common import blocks_for, fresh, prefix_sums
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
-BLOCK_WORDS = 128
+BLOCK_WORDS = 64
 SHARD_SLOTS = 16_384
 SEED = 0
 
