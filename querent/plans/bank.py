@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
+from ..functions import scores as sc
 from ..functions import segment as sg
 from ..functions import text as tx
 from ..functions.arrays import once
+from ..operators import catalog as ct
 from ..operators.dedup import first_per_question
 from ..operators.packing import pack_batches
 from ..operators.ranking import first_seen, with_ordinal
@@ -129,6 +131,59 @@ def extract_questions(documents: DataFrame, min_length: int = 0, dedup: bool = T
     return first_seen(found, ["question"], "ord", "seq") if dedup else found
 
 
+def extract_with_model(
+    documents: DataFrame, extractor: Callable[[DataFrame], DataFrame], max_chars: int = 6000,
+    max_sections: int | None = None, min_length: int = 0, dedup: bool = True, resume_words: dict | None = None,
+) -> dict[str, DataFrame]:
+    """Questions that an external model finds in sections of catalogued documents.
+
+    ``documents`` has source_path, category, ord, full_text, is_template,
+    errors.  ``extractor`` gets (source_path, ord, section_index, section,
+    prompt) and adds ``output``, null where the request failed; it runs once.
+    Returns the questions (first occurrence kept) and the documents that gave
+    none, with the reason.
+    """
+    cleaned = once(documents, _c=tx.clean_lines(F.coalesce("full_text", F.lit(""))))
+    marked = once(cleaned, _m=tx.to_markdown(F.col("_c")))
+    cut = sg.split_sections(F.col("_m"), max_chars)
+    sections = once(marked, _s=cut if max_sections is None else F.slice(cut, 1, max_sections))
+    reason = (
+        F.when(F.col("is_template"), "template")
+        .when(F.size("errors") > 0, "extract_failed")
+        .when(tx.is_empty(F.col("full_text")), "empty")
+        .when(tx.is_resume_text(F.col("source_path"), F.col("_c"), **(resume_words or {})), "resume_template")
+        .when(F.col("_m") == "", "no_text")
+        .when(F.size("_s") == 0, "no_sections")
+    )
+    ready = materialize(
+        sections.select("source_path", "category", "ord", reason.alias("reason"), F.col("_s").alias("sections")), "sections"
+    )
+    asked = ready.where("reason is null").select(
+        "source_path", "category", "ord", F.posexplode("sections").alias("_at", "section")
+    ).withColumn("section_index", F.col("_at") + 1).drop("_at")
+    answered = materialize(
+        extractor(asked.withColumn("prompt", sc.fill(sc.EXTRACTION_PROMPT, section=F.col("section")))), "answers"
+    )
+    found = answered.where("output is not null").select(
+        "source_path", "category", "ord", "section_index",
+        F.posexplode(parse_model_items(F.col("output"))).alias("seq", "_item"),
+    ).withColumn("question", tx.strip_list_mark(item_text(F.col("_item")))).drop("_item").where(
+        (F.col("question") != "") & (F.length("question") >= min_length)
+    )
+    with_any = found.select("ord").distinct().withColumn("_any", F.lit(True))
+    failed = answered.groupBy("ord").agg(F.bool_or(F.col("output").isNull()).alias("_failed"))
+    outcome = ready.join(with_any, "ord", "left").join(failed, "ord", "left").where("_any is null").select(
+        "source_path", "category", "ord", F.coalesce("_failed", F.lit(False)).alias("_failed"),
+        F.coalesce("reason", F.when(F.col("_failed"), "request_failed").otherwise("no_questions")).alias("reason"),
+    )
+    return {
+        "questions": first_seen(found, ["question"], "ord", "section_index", "seq") if dedup else found,
+        "unprocessed": ct.unprocessed(
+            outcome.where(~F.col("_failed")).drop("_failed"), outcome.where("_failed").drop("_failed")
+        ),
+    }
+
+
 def raw_sections(sections: DataFrame, items: DataFrame, min_answer: int = 20) -> DataFrame:
     """Sections without an accepted pair, with the reason.
 

@@ -12,6 +12,7 @@ from ..functions.patterns import SPACE, SPACE_CHARS, WORD_CHARS
 from ..operators import interview as iv
 from ..operators import quality as op
 from ..operators import vectors as vx
+from ..operators.catalog import LABELS, label_statistics
 from ..plans import bank as pb
 from ..plans import corpus as pc
 from ..plans import interview as pi
@@ -25,7 +26,7 @@ from .dedup import HASHED
 from .interview import RAW, _SESSION_STATS, _ZERO, scored
 from .quality import LIMITS, _CHECKED, checked
 from .registry import query
-from .segment import MARKED, V_DRESSED, V_SPACED, _sql_dress, dressed, q_chunks, q_force, shown_chunks, spaced
+from .segment import DEMO_WORDS, MARKED, V_DRESSED, V_SPACED, _q_keywords as q_keywords, _sql_dress, dressed, q_chunks, q_force, q_sections, shown_chunks, spaced
 from .text import _LINES, _NOISE
 from .vectors import LETTERS, letter_encoder, shown
 from .views import (
@@ -230,13 +231,31 @@ def p3_plain(spark, sf):
     return both.select(F.split_part("source_path", F.lit("/"), F.lit(2)).cast("bigint").alias("doc_id"), "content")
 
 
-@query("p4_label_chunks", using("v_docs", f""" SELECT doc_id AS chunk_id, '面试题' AS content_category, {q_case("lower(text)", lx.POSITION_BY_CONTENT, "'通用'")} AS position,
-    '进阶' AS difficulty, CASE WHEN lang = 'es' OR split_part(text, '.', 1) = '' THEN '知识点' WHEN contains(lower(text), 'function') OR contains(lower(text), 'def ') OR contains(text, '```') THEN '代码题'
-    WHEN len(string_split(text, chr(10))) - 1 > 3 THEN '对比题' ELSE '概念题' END AS question_type FROM v_docs"""))
+_P4 = f"""s AS (SELECT doc_id AS id, CASE WHEN lang <> 'es' THEN split_part(text, '.', 1) END AS q, replace(text, chr(10), chr(10) || '- ') AS a FROM v_docs),
+    kq AS ({q_keywords("s", "q", 5)}), ka AS ({q_keywords("s", "a", 10)}),
+    u AS (SELECT id, w, min(o) AS o FROM (SELECT id, w, place AS o FROM kq UNION ALL SELECT id, w, 100 + place FROM ka) GROUP BY id, w),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o) AS rn FROM u),
+    kw AS (SELECT s.id, coalesce(string_agg(w, ',' ORDER BY o), '') AS keywords FROM s LEFT JOIN r ON s.id = r.id AND rn <= 10 GROUP BY s.id),
+    lab AS (SELECT doc_id AS chunk_id, '面试题' AS content_category, {q_case("lower(text)", lx.POSITION_BY_CONTENT, "'通用'")} AS position,
+        '进阶' AS difficulty, CASE WHEN lang = 'es' OR split_part(text, '.', 1) = '' THEN '知识点' WHEN contains(lower(text), 'function') OR contains(lower(text), 'def ') OR contains(text, '```') THEN '代码题'
+        WHEN len(string_split(text, chr(10))) - 1 > 3 THEN '对比题' ELSE '概念题' END AS question_type, keywords FROM v_docs JOIN kw ON id = doc_id)"""
+
+
+def labels_of_all(spark, sf):
+    return pc.label_chunks(chunk_rows(spark, sf), {"words": DEMO_WORDS})
+
+
+@query("p4_label_chunks", using("v_docs", f", {_P4} SELECT * FROM lab"))
 def p4(spark, sf):
-    """The default word lists on all documents as chunks."""
-    c = chunk_rows(spark, sf)
-    return pc.label_chunks(c).select("chunk_id", "content_category", "position", "difficulty", "question_type")
+    """The default word lists on all documents as chunks, with keywords of a list of its own."""
+    return labels_of_all(spark, sf).select(
+        "chunk_id", "content_category", "position", "difficulty", "question_type", F.array_join("keywords", ",").alias("keywords"))
+
+
+@query("p4_label_statistics", using("v_docs", f", {_P4} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS label, {c} AS value, count(*) AS n FROM lab GROUP BY 2" for c in LABELS)))
+def p4_statistics(spark, sf):
+    return label_statistics(labels_of_all(spark, sf))
 
 
 _NORMED = q_strip(q_sub(q_sub("lower(t)", SPACE + "+", " "), f"[^{WORD_CHARS}{SPACE_CHARS}]"))
@@ -249,6 +268,15 @@ def p5(spark, sf):
     return pc.quality_gate(rows, "id", **LIMITS)["final"].select("id")
 
 
+@query("p5_review_sample", f"""{_CHECKED}, v AS (SELECT c.id, s.t, md5({_NORMED}) AS h FROM checked c JOIN src s ON s.id = c.id WHERE is_valid),
+    r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY length(t) DESC, id) AS rn FROM v)
+    SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5(concat('review', id)), id) AS k, count(*) OVER () AS n FROM r WHERE rn = 1) WHERE k <= greatest(1, floor(n * 0.1e0))""")
+def p5_review(spark, sf):
+    """A tenth of what the gate lets through, the same every run."""
+    rows = checked(spark, sf).drop("is_valid", "issues", *op.SCORES)
+    return pc.quality_gate(rows, "id", **LIMITS)["review"]().select("id")
+
+
 _VEC = "[" + ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE)" for c in LETTERS) + "]"
 
 
@@ -310,6 +338,40 @@ def q04(spark, sf):
     return pb.extract_questions(d, 4).select("ord", "seq", "question")
 
 
+_ASKED = f"""{V_DRESSED}, {CLEANED.replace("v_docs", "v_dressed")},
+    v_asked AS (SELECT d.doc_id, CASE WHEN d.category = 'src7' THEN 'template' WHEN d.doc_id % 13 = 0 THEN 'extract_failed' WHEN {q_strip("d.text")} = '' THEN 'empty'
+        WHEN coalesce(m, '') = '' THEN 'no_text' END AS reason, coalesce(m, '') AS text FROM v_dressed d LEFT JOIN marked k ON k.doc_id = d.doc_id),
+    v_live AS (SELECT doc_id, text FROM v_asked WHERE reason IS NULL), {q_sections("v_live", 900)},
+    told AS (SELECT doc_id AS ord, seq + 1 AS section_index, {q_strip(q_sub(q_strip(q_sub("split_part(section, chr(10), 1)", tx.LIST_MARK, flags="")), SPACE + "+", " "))} AS question
+        FROM sections WHERE seq < 5 AND (doc_id + seq + 1) % 7 <> 0),
+    accepted AS (SELECT * FROM told WHERE length(question) >= 4)"""
+
+
+def asked_model(spark, sf):
+    """A stand-in for the model: the first line of a section, and some requests that fail."""
+    d = dressed(spark, sf).select(
+        F.col("source_file").alias("source_path"), "category", F.col("doc_id").alias("ord"), F.col("text").alias("full_text"),
+        (F.col("category") == "src7").alias("is_template"),
+        F.when(F.col("doc_id") % 13 == 0, F.array(F.lit("broken"))).otherwise(F.expr("cast(array() as array<string>)")).alias("errors"))
+    answer = F.concat(F.lit("```json\n"), F.to_json(F.array(F.substring_index("section", "\n", 1))), F.lit("\n```"))
+    model = lambda rows: rows.withColumn("output", F.when((F.col("ord") + F.col("section_index")) % 7 != 0, answer))
+    return pb.extract_with_model(d, model, max_chars=900, max_sections=5, min_length=4)
+
+
+@query("q04_model_questions", using("v_docs", f""", {_ASKED} SELECT ord, section_index, question FROM accepted
+    QUALIFY row_number() OVER (PARTITION BY question ORDER BY ord, section_index) = 1"""))
+def q04_model(spark, sf):
+    return asked_model(spark, sf)["questions"].select("ord", "section_index", "question")
+
+
+@query("q04_unprocessed", using("v_docs", f""", {_ASKED}, f AS (SELECT doc_id, bool_or((doc_id + seq + 1) % 7 = 0) AS failed FROM sections WHERE seq < 5 GROUP BY doc_id)
+    SELECT a.doc_id AS ord, CASE WHEN coalesce(failed, false) THEN 'failed' ELSE 'skipped' END AS status,
+        coalesce(reason, CASE WHEN failed THEN 'request_failed' WHEN f.doc_id IS NULL THEN 'no_sections' ELSE 'no_questions' END) AS reason
+    FROM v_asked a LEFT JOIN f ON f.doc_id = a.doc_id WHERE a.doc_id NOT IN (SELECT ord FROM accepted)"""))
+def q04_unprocessed(spark, sf):
+    return asked_model(spark, sf)["unprocessed"].select("ord", "status", "reason")
+
+
 # --- streams -------------------------------------------------------------------------
 def _landing(df, name):
     """The rows as the files a stream would find, in several pieces."""

@@ -414,20 +414,25 @@ def g16(spark, sf):
         sg.pack_paragraphs(tx.paragraphs(F.col("text")), F.lit(600))).alias("seq", "content"))
 
 
-@query("g15_split_sections", using("v_docs", f""", {V_SPACED}, sl AS ({q_lines("v_spaced", "text")}),
+def q_sections(view: str, size: int) -> str:
+    """CTE ``sections``(doc_id, seq, section): heading sections of ``view``(doc_id, text), parts of at most ``size``."""
+    return f"""sl AS ({q_lines(view, "text")}),
     sk AS (SELECT *, regexp_matches(line, {lit('^' + INLINE + '*#')}) AND NOT regexp_matches(line, {lit('^' + INLINE + '*#+' + INLINE + '*' + sg.STEP)}) AS mk FROM sl),
     sh AS (SELECT *, count_if(mk) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS grp FROM sk),
     ss AS (SELECT doc_id * 4294967296 + grp AS id, string_agg(CASE WHEN mk THEN {q_strip("line")} END, '') AS title,
         {q_strip("string_agg(CASE WHEN NOT mk THEN line END, chr(10) ORDER BY pos)")} AS body FROM sh GROUP BY doc_id, grp HAVING count_if(NOT mk) > 0),
     st AS (SELECT id, body, CASE WHEN title IS NOT NULL THEN title || chr(10) || chr(10) ELSE '' END AS head,
         CASE WHEN title IS NOT NULL THEN {q_strip("title || chr(10) || chr(10) || body")} ELSE body END AS t FROM ss),
-    qp AS (SELECT id AS doc_id, head, 900 - length(head) AS lim, p, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM (
+    qp AS (SELECT id AS doc_id, head, {size} - length(head) AS lim, p, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM (
         SELECT id, head, i, {q_strip("p")} AS p FROM (SELECT id, head, unnest(string_split_regex(body, {lit(BLANK_LINE)})) AS p,
-            generate_subscripts(string_split_regex(body, {lit(BLANK_LINE)}), 1) AS i FROM st WHERE length(t) > 900)) WHERE p <> ''), {q_pack("qp", "qb", "q.lim")},
+            generate_subscripts(string_split_regex(body, {lit(BLANK_LINE)}), 1) AS i FROM st WHERE length(t) > {size})) WHERE p <> ''), {q_pack("qp", "qb", "q.lim")},
     cut AS (SELECT b.doc_id AS id, bin, {q_strip("any_value(head) || string_agg(b.p, chr(10) || chr(10) ORDER BY b.k)")} AS section
             FROM qb b JOIN qp ON qp.doc_id = b.doc_id AND qp.k = b.k GROUP BY b.doc_id, bin
-        UNION ALL SELECT id, 0, t FROM st WHERE length(t) <= 900)
-    SELECT id // 4294967296 AS doc_id, (row_number() OVER (PARTITION BY id // 4294967296 ORDER BY id, bin) - 1)::INTEGER AS seq, section FROM cut WHERE section <> ''"""))
+        UNION ALL SELECT id, 0, t FROM st WHERE length(t) <= {size}),
+    sections AS (SELECT id // 4294967296 AS doc_id, (row_number() OVER (PARTITION BY id // 4294967296 ORDER BY id, bin) - 1)::INTEGER AS seq, section FROM cut WHERE section <> '')"""
+
+
+@query("g15_split_sections", using("v_docs", f", {V_SPACED}, {q_sections('v_spaced', 900)} SELECT * FROM sections"))
 def g15(spark, sf):
     return spaced(spark, sf).select("doc_id", F.posexplode(sg.split_sections(F.col("text"), 900)).alias("seq", "section"))
 
