@@ -73,7 +73,8 @@ def _sample_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from zlib import crc32
 
     mixers = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-    for batch in batches:
+    # a few rows at a time: a row's terms take many times the room of its text
+    for batch in (b.iloc[at : at + 128] for b in batches for at in range(0, len(b), 128)):
         words, counts, mins = [], [], []
         for text in batch["text"]:
             found = WORD.findall((text or "").lower())
@@ -227,7 +228,7 @@ def train(
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(
             _sample_features,
             "doc_id long, toxic int, words array<string>, counts array<long>, mins array<long>",
-        ).dropDuplicates(["doc_id"]),
+        ).dropDuplicates(["doc_id"]).coalesce(8),  # a bounded table: few files
         "toxicity-sample",
     )
     kept = _distinct(features.select("doc_id", "mins").toPandas())
