@@ -166,7 +166,10 @@ def near_links(prints: DataFrame, budget: int = BUDGET, subtree: int = 1 << 13)
 
 
 def clusters(prints: DataFrame) -> DataFrame:
-    """``print, component_id``: the smallest doc_id of the component, null where all are null.
+    """``print, root, component_id``: the smallest doc_id of the component, null where all are null.
+
+    ``root`` is a fingerprint of the component and its own: a doc_id that occurs
+    with several texts may be the smallest of several components.
 
     ``prints`` has doc_id and print, one row per document.
     """
@@ -176,7 +179,7 @@ def clusters(prints: DataFrame) -> DataFrame:
         "print", "first", F.coalesce("root", "print").alias("root")
     )
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return placed.join(least, "root").select("print", "component_id")
+    return placed.join(least, "root").select("print", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -203,9 +206,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "code"))
     kept = (
         marks.join(clusters(marks.select("doc_id", "print")), "print")
-        # by component_id and, where it is null, by print
-        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("print")).alias("alone"))
-        .agg(first.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.code").alias("_code"))
+        .groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.code").alias("_code"))
     )
     coded = docs.withColumn(code, F.xxhash64("text"))
     return (
