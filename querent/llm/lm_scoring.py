@@ -1,30 +1,37 @@
 """Cross-entropy difference of a target and a background bigram model.
 
-Both models share one vocabulary (the most frequent words of all documents,
-``<unk>`` and a start mark), order and smoothing; they differ in what they
-count: the target documents, or all documents.  Documents are turned into word
-ids once and written; counts are summed within tasks before they are shuffled.
-A model is a table over pairs of ids, so its size is bounded by the vocabulary's
-and every task may hold it.
+Both models share one vocabulary (all words of the documents, or the most
+frequent ones where a size is asked for), order and smoothing; they differ in
+what they count: the target documents, or all documents.  No task holds a
+model.  Words are 64-bit hashes; the places where a word stands are dealt to
+buckets by the word, whose number grows with the corpus, and a bucket counts
+and scores its own words, bigrams and contexts.  What a word or bigram with
+about a thousandth of all places or more adds is scored where the text is read,
+from counts every task holds (there can only be about a thousand of them), so no
+bucket is hot.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .decontaminate import words_of
 
-#: Bounds the model: its table has the square of this many entries.
-VOCABULARY = 1_024
 UNKNOWN, START = 0, 1
-_FLUSH = 200_000
+#: Words and bigrams with a share of one in so many places are counted ahead.
+SHARE = 1_024
+#: Places in a bucket, and places a task holds while it deals them out.
+BUCKET, PORTION = 1 << 20, 1 << 21
 #: Words a task counts at a time.
 _HELD = 1_000_000
 
@@ -61,7 +68,7 @@ def _count(keep: int | None, only: Callable[[], frozenset[bytes]] | None = None)
     return run
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, spread: int = 16) -> list[bytes]:
+def vocabulary(docs: DataFrame, size: int, spread: int = 16) -> list[bytes]:
     """The most frequent words of all of ``docs``, ties by word; ``size`` counts the two marks.
 
     Exact, without shuffling every rare word: tasks hand on their ``spread *
@@ -95,67 +102,284 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY, spread: int = 16) -> lis
     return [bytes(r["word"]) for r in first(known)]
 
 
-def encode(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """``doc_id, ids``: 16-bit word ids of each document, the start mark first."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(words)})
+class _Codes(dict):
+    """Hashes of words; those outside ``only`` are unknown."""
+
+    def __init__(self, only: frozenset[bytes] | None) -> None:
+        self.only = only
+
+    def __missing__(self, word: bytes) -> int:
+        code = UNKNOWN if self.only is not None and word not in self.only else xxhash.xxh64_intdigest(word)
+        if len(self) < _HELD:
+            self[word] = code
+        return code
+
+
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    out = before * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(32)
+    out += word
+    out *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return out ^ (out >> np.uint64(29))
+
+
+@dataclass
+class _Places:
+    """Documents, and the places of their words one after the other."""
+
+    code: np.ndarray
+    wanted: np.ndarray
+    n: np.ndarray
+    word: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        ends = np.cumsum(self.n)
+        self.first, self.last = np.zeros(len(self.word), bool), np.zeros(len(self.word), bool)
+        some = self.n > 0
+        self.first[(ends - self.n)[some]] = True
+        self.last[ends[some] - 1] = True
+        before = np.concatenate((np.zeros(1, np.uint64), self.word[:-1]))[: len(self.word)]
+        before[self.first] = START
+        self.before = before
+        self.pair = _pair(before, self.word)
+
+
+def _places(batches: Iterator[pd.DataFrame], only: frozenset[bytes] | None) -> Iterator[_Places]:
+    """Portions of bounded size, apart from what a single document exceeds it by."""
+    codes, held, n = _Codes(only), [], 0
+
+    def portion() -> _Places:
+        code, wanted, words = zip(*held, strict=True)
+        return _Places(
+            np.array(code, np.int64), np.array(wanted, bool), np.array([len(w) for w in words], np.int64),
+            np.concatenate(words),
+        )
+
+    for batch in batches:
+        for code, wanted, text in zip(batch["code"], batch["wanted"], batch["text"], strict=True):
+            words = words_of(text)
+            held.append((code, wanted, np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))))
+            n += len(words)
+            if n >= PORTION or len(held) >= PORTION:
+                yield portion()
+                held, n = [], 0
+    if held:
+        yield portion()
+
+
+def _find(among: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Place of each value in the sorted ``among``, -1 where it is not."""
+    if not len(among):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return np.where(among[at] == values, at, -1)
+
+
+def _frequent(keyed: DataFrame, only, share: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of frequent words and of frequent bigrams, sorted, and the number of distinct words.
+
+    A portion names what has one in ``share`` of its places.  What the portions
+    that name it count together reaches that share of all places for ``share``
+    words and bigrams at most, and all others stay below twice that share.  A
+    frequent bigram is of frequent words.  Distinct words meet by ranges of
+    hashes, more of them the more documents there are.
+    """
+
+    parts = max(1, keyed.count() >> 12)
+    bounds = np.array([(i << 64) // parts for i in range(parts)], np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for batch in batches:
-            ids = [
-                np.array([START, *(known.get(w, UNKNOWN) for w in words_of(t))], np.uint16).tobytes()
-                for t in batch["text"]
-            ]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids})
+        for p in _places(batches, only()):
+            rows = []
+            for kind, values in enumerate((p.word, p.pair)):
+                each, n = np.unique(values, return_counts=True)
+                n[n * share < max(1, len(values))] = 0
+                if kind:
+                    each, n = each[n > 0], n[n > 0]
+                ends = [*np.searchsorted(each, bounds).tolist(), len(each)]
+                for part, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    if y > x:
+                        often = np.flatnonzero(n[x:y]).astype(np.int32)
+                        rows.append((kind, part, each[x:y].tobytes(), often.tobytes(), n[x:y][often].tobytes()))
+            size = np.array([len(p.word)])
+            rows.append((4, 0, np.zeros(1, np.uint64).tobytes(), np.zeros(1, np.int32).tobytes(), size.tobytes()))
+            yield pd.DataFrame(rows, columns=["kind", "part", "codes", "often", "n"])
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        codes = [np.frombuffer(b, np.uint64) for b in rows["codes"]]
+        often = np.concatenate([c[np.frombuffer(b, np.int32)] for c, b in zip(codes, rows["often"], strict=True)])
+        n = np.concatenate([np.frombuffer(b, np.int64) for b in rows["n"]])
+        kind = int(rows["kind"].iloc[0])
+        out = pd.DataFrame({"kind": kind, "k": often.view(np.int64), "n": n}).groupby(["kind", "k"], as_index=False).sum()
+        distinct = len(np.unique(np.concatenate(codes)))
+        return pd.concat([out, pd.DataFrame({"kind": [2 + kind], "k": [0], "n": [distinct]})])
+
+    seen = materialize(
+        keyed.mapInPandas(run, "kind int, part int, codes binary, often binary, n binary")
+        .groupBy("kind", "part").applyInPandas(merge, "kind int, k long, n long"),
+        "frequent",
+    )
+    distinct = seen.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    places = seen.where("kind = 4").agg(F.sum("n")).first()[0] or 0
+    named = seen.where("kind < 2").where(F.col("n") * share >= places).collect()
+    words, pairs = (np.sort(np.array([r["k"] for r in named if r["kind"] == k], np.int64).view(np.uint64)) for k in (0, 1))
+    return words, pairs, distinct
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary")
 
+@dataclass
+class _Ahead:
+    """Counts every task holds: totals and those of frequent words and bigrams, target first."""
 
-def _pairs(ids: bytes, size: int) -> np.ndarray:
-    codes = np.frombuffer(ids, np.uint16).astype(np.int64)
-    return codes[:-1] * size + codes[1:]
+    words: np.ndarray
+    pairs: np.ndarray
+    n: np.ndarray  # 2 x words
+    context: np.ndarray  # 2 x words: how often another word follows
+    pair_n: np.ndarray  # 2 x pairs
+    places: np.ndarray
+    docs: np.ndarray  # with a word
+    size: int
+    weight: float
 
+    def single(self, n: np.ndarray, model: int) -> np.ndarray:
+        """``weight`` times the probability of a word that stands ``n`` times."""
+        return self.weight * (n + 0.5) / (self.places[model] + 0.5 * self.size)
 
-def pair_counts(encoded: DataFrame, size: int) -> DataFrame:
-    """``pair, target, background``: how often each pair of ids stands in either set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target, background = np.zeros(size * size, np.int64), np.zeros(size * size, np.int64)
-        for batch in batches:
-            for ids, wanted in zip(batch["ids"], batch["wanted"], strict=True):
-                pairs = _pairs(ids, size)
-                np.add.at(background, pairs, 1)
-                if wanted:
-                    np.add.at(target, pairs, 1)
-        pair = np.flatnonzero(background)
-        for at in range(0, len(pair), _FLUSH):
-            part = pair[at : at + _FLUSH]
-            yield pd.DataFrame({"pair": part, "target": target[part], "background": background[part]})
+def _count_ahead(keyed: DataFrame, only, words: np.ndarray, pairs: np.ndarray, size: int, weight: float) -> _Ahead:
+    """Exact counts of the frequent words and bigrams, and totals."""
+    w, q = len(words), len(pairs)
 
-    return (
-        encoded.select("ids", "wanted").mapInPandas(run, "pair int, target long, background long")
-        .groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((2, 2 * w + q + 2), np.int64)
+        for p in _places(batches, only()):
+            at, pair = _find(words, p.word), _find(pairs, p.pair)
+            for m, own in enumerate((p.wanted[p.doc], np.ones(len(p.word), bool))):
+                sums[m, :w] += np.bincount(at[own & (at >= 0)], minlength=w)[:w]
+                sums[m, w : 2 * w] += np.bincount(at[own & (at >= 0) & ~p.last], minlength=w)[:w]
+                sums[m, 2 * w : 2 * w + q] += np.bincount(pair[own & (pair >= 0)], minlength=q)[:q]
+                sums[m, -2] += own.sum()
+                sums[m, -1] += (p.first & own).sum()
+        yield pd.DataFrame({"at": np.arange(sums.shape[1]), "target": sums[0], "background": sums[1]})
+
+    rows = (
+        keyed.mapInPandas(run, "at long, target long, background long")
+        .groupBy("at").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).collect()
+    )
+    sums = np.zeros((2, 2 * w + q + 2), np.int64)
+    for r in rows:
+        sums[:, r["at"]] = r["target"], r["background"]
+    return _Ahead(
+        words, pairs, sums[:, :w], sums[:, w : 2 * w], sums[:, 2 * w : 2 * w + q], sums[:, -2], sums[:, -1], size, weight
     )
 
 
-def losses(pairs: np.ndarray, counts: np.ndarray, size: int, weight: float) -> np.ndarray:
-    """Negative log probability of each (previous, next) pair under a bigram model.
+_DEALT = "bucket int, base long, words binary, runs binary, pairs binary, marks binary, docs binary, sums binary"
+#: Bytes of a bigram beside those of its word.
+_LOW = 6
+
+
+def _deal(only, ahead, buckets: int):
+    """Places by bucket; with them, once a document, its length and what is scored ahead."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: _Ahead = ahead()
+        task = TaskContext.get().partitionId()
+        for turn, p in enumerate(_places(batches, only())):
+            base = task << 42 | turn << 22  # documents are numbered by task, portion and place in it
+            at, pair = _find(known.words, p.word), _find(known.pairs, p.pair)
+            n = len(p.code)
+            sums = [p.n.astype(float)]
+            for m in (0, 1):
+                loss = np.zeros(len(p.word))
+                own = pair >= 0
+                loss[own] = -np.log(known.pair_n[m][pair[own]] + known.single(known.n[m][at[own]], m))
+                own = (at >= 0) & ~p.last
+                loss[own] += np.log(known.context[m][at[own]] + known.weight)
+                loss[p.first] += np.log(known.docs[m] + known.weight)
+                sums.append(np.bincount(p.doc, loss, n))
+            rows = [((task + turn) % buckets, base, *[b""] * 4, p.code.tobytes(), np.array(sums).tobytes())]
+            number = np.uint16 if n <= 1 << 16 else np.uint32
+            left = np.flatnonzero(pair < 0)
+            bucket = (np.where(at[left] >= 0, p.pair[left], p.word[left]) >> np.uint64(20)) % np.uint64(buckets)
+            order = np.lexsort((p.word[left], bucket))
+            left, bucket = left[order], bucket[order].astype(np.int64)
+            ends = np.searchsorted(bucket, np.arange(buckets + 1))
+            for b in np.unique(bucket).tolist():
+                mine = left[ends[b] : ends[b + 1]]
+                words, runs = np.unique(p.word[mine], return_counts=True)
+                low = p.pair[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_LOW]
+                marks = np.packbits([p.last[mine], p.wanted[p.doc[mine]]], axis=1)
+                rows.append((
+                    b, base, words.tobytes(), runs.astype(np.int32).tobytes(), low.tobytes(), marks.tobytes(),
+                    p.doc[mine].astype(number).tobytes(), b"",
+                ))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _DEALT.split(", ")])
+
+    return run
+
+
+def _score(ahead):
+    """Sums by document of what the places of one bucket add."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        known: _Ahead = ahead()
+        direct = rows["sums"].map(len) > 0
+        out = []
+        for base, codes, sums in rows.loc[direct, ["base", "docs", "sums"]].itertuples(index=False):
+            out.append((base, codes, b"", sums))
+        rows = rows[~direct]
+        if len(rows):
+            parts = []
+            for r in rows.itertuples():
+                runs = np.frombuffer(r.runs, np.int32)
+                n = int(runs.sum())
+                low = np.zeros((n, 8), np.uint8)
+                low[:, :_LOW] = np.frombuffer(r.pairs, np.uint8).reshape(n, _LOW)
+                words = np.repeat(np.frombuffer(r.words, np.uint64), runs)
+                last, wanted = np.unpackbits(np.frombuffer(r.marks, np.uint8).reshape(2, -1), axis=1, count=n).astype(bool)
+                docs = np.frombuffer(r.docs, np.uint16 if len(r.docs) == 2 * n else np.uint32)
+                parts.append((words, _pair(low.view("<u8").ravel(), words), last, wanted, r.base + docs.astype(np.int64)))
+            word, pair, last, wanted, doc = (np.concatenate(v) for v in zip(*parts, strict=True))
+            del rows, parts
+            pair = np.unique(pair, return_inverse=True)[1]
+            each, word = np.unique(word, return_inverse=True)
+            at = _find(known.words, each)
+            docs, doc = np.unique(doc, return_inverse=True)
+            sums = []
+            for m, own in enumerate((wanted.astype(float), np.ones(len(word)))):
+                n = np.where(at >= 0, known.n[m][at] if len(known.words) else 0, np.bincount(word, own))
+                loss = -np.log(np.bincount(pair, own)[pair] + known.single(n, m)[word])
+                # the context of a frequent word is scored ahead
+                follow = np.where(at >= 0, 0, np.log(np.bincount(word, own * ~last) + known.weight))
+                sums.append(np.bincount(doc, loss + np.where(last, 0, follow[word])))
+            # back by portion, whose documents stand together
+            portions, starts = np.unique(docs >> 22, return_index=True)
+            for portion, x, y in zip(portions.tolist(), starts, [*starts[1:], len(docs)], strict=True):
+                numbers = (docs[x:y] - (portion << 22)).astype(np.int32)
+                part = np.array([v[x:y] for v in sums], np.float32)
+                out.append((portion << 22, b"", numbers.tobytes(), part.tobytes()))
+        return pd.DataFrame(out, columns=["base", "codes", "docs", "sums"])
+
+    return run
 
-    Bigrams fall back on unigrams with ``weight`` pseudo-counts, unigrams on the
-    uniform distribution with half a count each.  What is never seen is a sum of
-    two terms, so the table is filled without copies of its size.
-    """
-    before, after = pairs // size, pairs % size
-    single = np.bincount(after, counts, size)
-    single = (single + 0.5) / (single.sum() + 0.5 * size)
-    total = np.bincount(before, counts, size) + weight
-    table = np.add.outer(np.log(total).astype(np.float32), -np.log(weight * single).astype(np.float32)).ravel()
-    table[pairs] = np.log(total[before]) - np.log(counts + weight * single[after])
-    return table
+
+def _gather(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums of the documents of one portion, from what its buckets and the scan hand on."""
+    direct = rows["codes"].map(len) > 0
+    first = rows[direct].iloc[0]
+    n, *sums = np.frombuffer(first["sums"]).reshape(3, -1).copy()
+    for docs, part in zip(rows["docs"][~direct], rows["sums"][~direct], strict=True):
+        docs = np.frombuffer(docs, np.int32)  # each once
+        for total, some in zip(sums, np.frombuffer(part, np.float32).reshape(2, -1), strict=True):
+            total[docs] += some
+    return pd.DataFrame({
+        "code": np.frombuffer(first["codes"], np.int64), "n": n.astype(np.int64), "t": sums[0], "b": sums[1]
+    })
 
 
 def score_documents(
-    docs: DataFrame, targets: DataFrame, size: int = VOCABULARY, weight: float = 20.0
+    docs: DataFrame, targets: DataFrame, size: int | None = None, weight: float = 20.0, share: int = SHARE
 ) -> DataFrame:
     """``doc_id, n_words, target_loss, background_loss, score`` of every row of ``docs``.
 
@@ -164,32 +388,38 @@ def score_documents(
     background loss: the lower, the more a document is like the target.  A text
     without words (or null) has losses and score 0.  Rows of ``docs`` that share
     a doc_id are all scored and counted.
+
+    Bigrams fall back on unigrams with ``weight`` pseudo-counts, unigrams on the
+    uniform distribution with half a count each.  The vocabulary is all words
+    and two marks, or with ``size`` so many of the most frequent, others being
+    ``<unk>``.
     """
     spark = docs.sparkSession
-    encoded = materialize(encode(docs, vocabulary(docs, size)), "encoded")
     wanted = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("wanted", F.lit(True))
-    counts = pair_counts(
-        encoded.join(wanted, "doc_id", "left").select("ids", F.coalesce("wanted", F.lit(False)).alias("wanted")), size
-    ).toArrow()  # at most size * size rows
-    pairs = counts["pair"].to_numpy()
-    tables = [losses(pairs, counts[name].to_numpy(), size, weight) for name in ("target", "background")]
-    del counts, pairs
-    shared = spark.sparkContext.broadcast(tuple(tables))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target, background = shared.value
-        for batch in batches:
-            rows = []
-            for ids in batch["ids"]:
-                pairs = _pairs(ids, size)
-                t, b = (
-                    (float(x[pairs].mean(dtype=np.float64)) if len(pairs) else 0.0) for x in (target, background)
-                )
-                rows.append((len(pairs), t, b, t - b))
-            out = pd.DataFrame(rows, columns=["n_words", "target_loss", "background_loss", "score"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield out
-
-    return encoded.mapInPandas(
-        run, "doc_id long, n_words long, target_loss double, background_loss double, score double"
+    # rows of one code have one doc_id and text, so one result
+    keyed = materialize(
+        docs.select("doc_id", "text").join(wanted, "doc_id", "left").select(
+            "doc_id", F.xxhash64("doc_id", "text").alias("code"), F.coalesce("wanted", F.lit(False)).alias("wanted"), "text"
+        ),
+        "keyed",
+    )
+    shared = size and spark.sparkContext.broadcast(frozenset(vocabulary(docs, size)))
+    only = lambda: shared.value if shared else None
+    texts = keyed.select("code", "wanted", "text")
+    words, pairs, distinct = _frequent(texts, only, share)
+    held = spark.sparkContext.broadcast(_count_ahead(texts, only, words, pairs, size or distinct + 2, weight))
+    ahead = lambda: held.value
+    buckets = -(-int(held.value.places[1]) // BUCKET) or 1
+    sums = (
+        texts.mapInPandas(_deal(only, ahead, buckets), _DEALT)
+        .groupBy("bucket").applyInPandas(_score(ahead), "base long, codes binary, docs binary, sums binary")
+        .groupBy("base").applyInPandas(_gather, "code long, n long, t double, b double")
+        # rows of one code have equal sums
+        .groupBy("code").agg(F.min(F.struct("n", "t", "b")).alias("s"))
+    )
+    mean = lambda c: F.when(F.col("s.n") > 0, F.col(f"s.{c}") / F.col("s.n")).otherwise(0.0)
+    return (
+        keyed.select("doc_id", "code").join(sums, "code")
+        .select("doc_id", F.col("s.n").alias("n_words"), mean("t").alias("target_loss"), mean("b").alias("background_loss"))
+        .withColumn("score", F.col("target_loss") - F.col("background_loss"))
     )
