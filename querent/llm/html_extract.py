@@ -48,6 +48,8 @@ ASIDE_NAMES = frozenset(
     "popup promo promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe "
     "toolbar widget".split()
 )
+#: Elements that hold the content, whatever they are named.
+WHOLE = frozenset("html body main article".split())
 CLOSED_BY = {
     "p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
     "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]),
@@ -60,7 +62,7 @@ LEAST, MOST = -4.0, 1.0
 class Part:
     """A tag or a stretch of text between two tags."""
 
-    kind: str  # feature: "<tag" or "in tag" with a mark for asides
+    kind: str  # feature: "<tag" or "in tag", with a mark in asides
     words: int  # 0 for tags
     text: str
     breaks: bool
@@ -104,6 +106,7 @@ def parse(page: str) -> list[Part]:
         if not tag:
             continue
         end, rest = bool(m["end"] or m["end2"]), m["rest"] or m["rest2"] or ""
+        within = asides > 0  # an aside's own tags go with it
         if end:
             if depth[tag] > 0:
                 while stack[-1].tag != tag:
@@ -112,10 +115,13 @@ def parse(page: str) -> list[Part]:
         else:
             while stack and tag in CLOSED_BY.get(stack[-1].tag, ()):
                 pop()
+            within = asides > 0
         inside = depth["article"] + depth["main"] > 0
-        parts.append(Part(f"<{tag}", 0, "", tag in BLOCKS or tag == "br", asides > 0, inside))
+        head = tag == "header" and inside and not asides
+        aside = not end and (tag in ASIDE and not head or tag not in WHOLE and not head and _named_aside(rest))
+        kind = f"<{tag}{' aside' if within or aside else ''}"
+        parts.append(Part(kind, 0, "", tag in BLOCKS or tag == "br", within or aside, inside))
         if not end and tag not in VOID and not rest.endswith("/"):
-            aside = tag in ASIDE and not (tag == "header" and inside and not asides) or _named_aside(rest)
             stack.append(_Open(tag, aside))
             depth[tag] += 1
             asides += aside
@@ -139,10 +145,10 @@ class Weights:
         if kind not in self._known:
             inside, outside = self.counts.get(kind, (0, 0))
             odds = float(np.log((inside + 1) / (outside + 1)))
-            if kind[0] == "<":
+            if kind.endswith(" aside"):  # left out after the scan, so it may stand inside the run
+                self._known[kind] = 0.0
+            elif kind[0] == "<":
                 self._known[kind] = min(-0.1, max(LEAST, odds))
-            elif kind.endswith(" aside"):
-                self._known[kind] = min(-1.0, max(LEAST, odds))
             else:  # words in places never seen count as text
                 self._known[kind] = min(MOST, max(LEAST, odds)) if inside + outside else 0.5
         return self._known[kind]
