@@ -25,7 +25,7 @@ from .corpus import DIFFICULTY, _CLASSED, _FILES, _STATS, WORDS, chunk_rows, lab
 from .dedup import HASHED
 from .interview import RAW, _SESSION_STATS, _ZERO, scored
 from .quality import LIMITS, _CHECKED, checked
-from .registry import query
+from .registry import TWINS, query
 from .segment import DEMO_WORDS, MARKED, V_DRESSED, V_SPACED, _q_keywords as q_keywords, _sql_dress, dressed, q_chunks, q_force, q_sections, shown_chunks, spaced
 from .text import _LINES, _NOISE
 from .vectors import LETTERS, letter_encoder, shown
@@ -347,7 +347,7 @@ _ASKED = f"""{V_DRESSED}, {CLEANED.replace("v_docs", "v_dressed")},
     accepted AS (SELECT * FROM told WHERE length(question) >= 4)"""
 
 
-def asked_model(spark, sf):
+def asked_model(spark, sf, max_sections=5):
     """A stand-in for the model: the first line of a section, and some requests that fail."""
     d = dressed(spark, sf).select(
         F.col("source_file").alias("source_path"), "category", F.col("doc_id").alias("ord"), F.col("text").alias("full_text"),
@@ -355,7 +355,7 @@ def asked_model(spark, sf):
         F.when(F.col("doc_id") % 13 == 0, F.array(F.lit("broken"))).otherwise(F.expr("cast(array() as array<string>)")).alias("errors"))
     answer = F.concat(F.lit("```json\n"), F.to_json(F.array(F.substring_index("section", "\n", 1))), F.lit("\n```"))
     model = lambda rows: rows.withColumn("output", F.when((F.col("ord") + F.col("section_index")) % 7 != 0, answer))
-    return pb.extract_with_model(d, model, max_chars=900, max_sections=5, min_length=4)
+    return pb.extract_with_model(d, model, max_chars=900, max_sections=max_sections, min_length=4)
 
 
 @query("q04_model_questions", using("v_docs", f""", {_ASKED} SELECT ord, section_index, question FROM accepted
@@ -372,6 +372,17 @@ def q04_unprocessed(spark, sf):
     return asked_model(spark, sf)["unprocessed"].select("ord", "status", "reason")
 
 
+# the same two over all sections of a document
+@query("q04_model_questions_whole", TWINS["q04_model_questions"].replace("seq < 5 AND ", ""))
+def q04_model_whole(spark, sf):
+    return asked_model(spark, sf, None)["questions"].select("ord", "section_index", "question")
+
+
+@query("q04_unprocessed_whole", TWINS["q04_unprocessed"].replace("seq < 5 AND ", "").replace(" WHERE seq < 5", ""))
+def q04_unprocessed_whole(spark, sf):
+    return asked_model(spark, sf, None)["unprocessed"].select("ord", "status", "reason")
+
+
 # --- streams -------------------------------------------------------------------------
 def _landing(df, name):
     """The rows as the files a stream would find, in several pieces."""

@@ -25,3 +25,9 @@ def test_twin(spark, con, name):
 def test_names():
     assert set(TWINS) <= set(QUERIES)
     assert not [n for n in QUERIES if "pipeline" in n or n.startswith("op")]
+
+
+def test_questions_of_all_sections(spark):
+    asked = QUERIES["q04_model_questions_whole"](spark, SF).select("section_index").collect()
+    assert max(r["section_index"] for r in asked) > 5
+    assert "seq <" not in TWINS["q04_model_questions_whole"] + TWINS["q04_unprocessed_whole"]
