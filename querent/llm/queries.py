@@ -10,11 +10,13 @@ from .ann import build_index, nearest
 from .common import read
 from .decontaminate import contamination
 from .html_extract import extract_pages
+from .manifest import verify_documents
 from .mixing import mix
 from .pii import personal_data
 from .sharding import plan_tree, shard_documents
 from .simhash import near_duplicates
 from .toxicity import score_documents
+from .variants import spelling_variants
 from .warc import archive_round_trip
 
 QUERIES = {}
@@ -139,3 +141,87 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def _crc32(codes: str) -> str:
+    """CRC-32 of a list of byte values, bit by bit."""
+    return (
+        f"xor(list_reduce(flatten(list_transform({codes}, lambda b: [b::BIGINT, 0, 0, 0, 0, 0, 0, 0])), lambda c, x: "
+        "xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), 4294967295), 4294967295)"
+    )
+
+
+def _leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f})) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _levels(leaves: str) -> str:
+    """All levels of trees over ``leaves`` (tree, pos, h): tree, level, pos, h, n."""
+    return f"""SELECT tree, 0 AS level, pos, h, count(*) OVER (PARTITION BY tree) AS n FROM {leaves}
+    UNION ALL SELECT tree, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM {{self}}
+    WHERE n > 1 GROUP BY tree, level, pos // 8, n"""
+
+
+@query("op11_manifest", f"""
+WITH RECURSIVE hashed AS (
+    SELECT doc_id, lang, {_leaf("text")} AS leaf,
+        CASE WHEN {_crc32("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: unicode(ch))")} % 3 = 0
+        THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS altered FROM documents),
+placed AS (SELECT *, row_number() OVER () AS r, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+leaves AS (SELECT tree, pos, leaf AS h FROM placed),
+nodes AS ({_levels("leaves").format(self="nodes")}),
+roots AS (SELECT 0 AS tree, tree AS pos, h FROM nodes WHERE n = 1),
+tops AS ({_levels("roots").format(self="tops")}),
+every AS (SELECT tree, level, pos, h FROM nodes UNION ALL SELECT -1, level + 100, pos, h FROM tops),
+steps AS (
+    SELECT r, p.tree AS tree, level, p.pos // CAST(8 ** level AS BIGINT) AS spot FROM placed p JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) USING (tree)
+    UNION ALL SELECT r, -1, level + 100, p.tree // CAST(8 ** level AS BIGINT) FROM placed p, (SELECT DISTINCT level FROM tops WHERE n > 1)),
+sides AS (
+    SELECT r, s.level, coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos < spot), '') AS lefts,
+        coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos > spot), '') AS rights
+    FROM steps s JOIN every e ON e.tree = s.tree AND e.level = s.level AND e.pos // 8 = s.spot // 8 GROUP BY r, s.level),
+proofs AS (SELECT r, sha256(string_agg(lefts || rights, '' ORDER BY level)) AS proof FROM sides GROUP BY r),
+turns AS (SELECT r, lefts, rights, row_number() OVER (PARTITION BY r ORDER BY level) AS turn FROM sides),
+folds AS (SELECT r, 0 AS turn, coalesce(altered, leaf) AS acc FROM placed
+    UNION ALL SELECT f.r, t.turn, sha256(lefts || acc || rights) FROM folds f JOIN turns t ON t.r = f.r AND t.turn = f.turn + 1),
+ends AS (SELECT r, max_by(acc, turn) AS folded_root FROM folds GROUP BY r),
+whole AS (SELECT h AS root FROM tops WHERE n = 1)
+SELECT doc_id, leaf, s.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed p JOIN roots s ON s.pos = p.tree JOIN ends USING (r) LEFT JOIN proofs USING (r), whole""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify_documents(read(spark, sf_dir, "documents"))
+
+
+_LOW = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BYTES = (  # UTF-8 of characters up to U+00FF
+    "flatten(list_transform(string_split({x}, ''), lambda ch: "
+    "CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)] END))"
+)
+
+
+@query("op12_variants", f"""
+WITH RECURSIVE runs AS (
+    SELECT id || ':' || run AS key, run, count(*) AS n FROM (
+        SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOW.format(x="text")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+    GROUP BY id, run),
+hashed AS (SELECT run, n, {_crc32(_BYTES.format(x="key"))} AS h FROM runs),
+spelt AS (
+    SELECT CASE WHEN h % 97 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+gaps AS (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words),
+holes AS (SELECT word, n, i, word[: i - 1] || word[i + 1 :] AS rest FROM gaps),
+pairs AS (
+    SELECT x.word AS word, y.word AS near, y.n AS near_n FROM holes x JOIN holes y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+    UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON w.word = h.rest
+    UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON w.word = h.rest),
+best AS (SELECT word, count(*) AS n_near, min((-near_n, near)) AS b FROM pairs GROUP BY word),
+named AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * n THEN b[2] END AS form, CASE WHEN -b[1] >= 2 * n THEN -b[1] END AS form_n
+    FROM words LEFT JOIN best USING (word)),
+chains AS (SELECT word, form AS root, 1 AS steps FROM named WHERE form IS NOT NULL
+    UNION ALL SELECT c.word, n.form, steps + 1 FROM chains c JOIN named n ON n.word = c.root WHERE n.form IS NOT NULL),
+ends AS (SELECT word, max_by(root, steps) AS root FROM chains GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM named LEFT JOIN ends USING (word)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"))
