@@ -13,6 +13,7 @@ from .html_extract import extract_pages
 from .manifest import verify_documents
 from .mixing import mix
 from .pii import personal_data
+from .secrets import BASE_KINDS, RULES, Rule, secret_report
 from .sharding import plan_tree, shard_documents
 from .simhash import near_duplicates
 from .toxicity import score_documents
@@ -225,3 +226,28 @@ ends AS (SELECT word, max_by(root, steps) AS root FROM chains GROUP BY word)
 SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM named LEFT JOIN ends USING (word)""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def _matches(number: int, rule: Rule) -> str:
+    """``r, kind, s, e`` of a rule's matches; RE2 reads the pattern."""
+    pattern = "[0-9a-f]{16,}" if rule.kind == "hex" else rule.pattern
+    pattern = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT r, {number} AS kind, s, s + length(hits[i]) AS e FROM (
+        SELECT r, hits, vals, i, list_sum(list_transform(pieces[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+        FROM (SELECT *, unnest(generate_series(1, len(hits))) AS i FROM (
+            SELECT r, string_split_regex(t, {pattern}) AS pieces, regexp_extract_all(t, {pattern}) AS hits, regexp_extract_all(t, {pattern}, {rule.group}) AS vals
+            FROM texts WHERE regexp_matches(t, {pattern})))) WHERE length(vals[i]) >= {rule.least}"""
+
+
+_NAMES = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
+_LISTING = f"coalesce(string_agg(({_NAMES})[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e){{}}, '')"
+
+
+@query("op13_secrets", f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(_matches(i, r) for i, r in enumerate(RULES))})
+SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = {i}) AS n_{k}" for i, k in enumerate(BASE_KINDS))},
+    sha256({_LISTING.format(f" FILTER (WHERE kind < {len(BASE_KINDS)})")}) AS base_sha256, {_LISTING.format("")} AS spans
+FROM texts LEFT JOIN found USING (r) GROUP BY r, doc_id""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(read(spark, sf_dir, "documents"))
