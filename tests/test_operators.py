@@ -89,31 +89,98 @@ def _score(a, b):
     return sum(values) / len(values) if values else 0.0
 
 
-def test_near_pairs_against_all_pairs(spark):
-    rnd = random.Random(5)
+def _texts(rnd, families, edited):
     vocabulary = [f"w{i}" for i in range(60)]
-    texts = ["solo", "solo solo", "", "other"]
-    for _ in range(25):
+    texts = ["solo", "solo solo", "", "other", "a b a b a", "b a b a b a"]
+    for _ in range(families):
         base = [rnd.choice(vocabulary) for _ in range(60)]
-        for edits in range(4):
+        for edits in range(edited):
             copy = list(base)
             for _ in range(edits):
                 copy[rnd.randrange(60)] = rnd.choice(vocabulary)
             texts.append(" ".join(copy))
-    texts = list(dict.fromkeys(texts))
+    return list(dict.fromkeys(texts))
+
+
+def test_near_links_against_all_pairs(spark):
+    texts = _texts(random.Random(5), 25, 4)
+    texts += [texts[8], texts[4] + " b", texts[12].upper() + "!"]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
     rank = lambda i: (len(texts[i]), -i)
+    sets = lambda t: [frozenset(x) for x in (t.split(), zip(t, t[1:]), zip(t.split(), t.split()[1:]))]
+    of = {}
+    for i, t in enumerate(texts):
+        key = tuple(sets(t.lower().replace("!", ""))) if t else i
+        of.setdefault(key, []).append(i)
+    best = {m: max(c, key=rank) for c in of.values() for m in c}
+    assert len(of) < len(texts) - 2
     for t in (0.8, 0.95):
+        reps = sorted(set(best.values()))
         want = set()
-        for i in range(len(texts)):
-            for j in range(i):
-                if _score(texts[i], texts[j]) >= t:
-                    want.add((i, j) if rank(i) < rank(j) else (j, i))
-        every = nd.near_pairs(df, "t", "i", t, every_pair=True, slice_rows=7).collect()
-        assert {(r["loser"], r["winner"]) for r in every} == want
-        few = nd.near_pairs(df, "t", "i", t).collect()
-        assert {r["loser"] for r in few} == {a for a, _ in want}
-        assert {(r["loser"], r["winner"]) for r in few} <= want
+        for i in reps:
+            for j in reps:
+                if rank(i) < rank(j) and _score(texts[i].lower().replace("!", ""), texts[j].lower().replace("!", "")) >= t:
+                    want.add((i, j))
+        links, members = nd.near_links(df, "t", "i", t, slice_rows=7)
+        got = links.collect()
+        assert len(got) == len(want) and {(r["loser"], r["winner"]) for r in got} == want
+        assert {r["member"]: r["representative"] for r in members.collect()} == best
+
+
+def _judged(order, links):
+    """Rows from best to worst; one linked to a kept row falls."""
+    kept = set()
+    for i in order:
+        if not any(w in kept for w in links.get(i, ())):
+            kept.add(i)
+    return kept
+
+
+def test_near_duplicates_fall_only_to_kept_rows(spark):
+    chain = [[f"c{i}" for i in range(100)]]
+    for i in range(30):  # each like the one before, less and less like the first
+        chain.append([*chain[-1][:99], f"d{i}"] if i % 2 else [f"e{i}", *chain[-1][1:]])
+        chain[-1][(7 * i) % 100] = f"f{i}"
+    texts = _texts(random.Random(6), 12, 9) + [" ".join(c) for c in chain]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for t in (0.8, 0.93):
+        order = sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i))
+        links = {i: [j for j in order[:at] if _score(texts[i], texts[j]) >= t] for at, i in enumerate(order)}
+        got = {r["i"] for r in nd.remove_near_duplicates(df, "t", "i", t, slice_rows=20).collect()}
+        assert got == _judged(order, links)
+        fallen = set(range(len(texts))) - got
+        assert any(set(links[i]) & fallen for i in got), "no row stays whose match falls"
+
+
+def test_a_chain_is_settled_in_few_rounds(spark, monkeypatch):
+    from querent.operators import independent as ip
+
+    names = []
+    plain = ip.materialize
+    monkeypatch.setattr(ip, "materialize", lambda df, name: names.append(name) or plain(df, name))
+    chain = spark.range(1, 1001).select(F.col("id").alias("loser"), (F.col("id") - 1).alias("winner"))
+    fate = {r["row"]: r["stays"] for r in ip.first_independent_set(chain).collect()}
+    assert fate == {i: i % 2 == 0 for i in range(1001)} and names.count("rows") <= 13
+
+
+def test_independent_set_with_links_told_late(spark):
+    from querent.operators import independent as ip
+
+    rnd = random.Random(3)
+    for n, most in ((60, 2), (60, 6), (200, 3)):
+        links = {i: sorted(rnd.sample(range(i), min(i, rnd.randrange(most)))) for i in range(n)}
+        every = spark.createDataFrame([(i, j) for i, js in links.items() for j in js], "loser long, winner long")
+        first = spark.createDataFrame([(i, rnd.choice(js)) for i, js in links.items() if js], "loser long, winner long")
+        want = _judged(range(n), links)
+        open_rows = first.select(F.col("loser").alias("row")).distinct()
+        late = ip.first_independent_set(first, open_rows, lambda rows: every.join(rows, every["loser"] == rows["row"], "left_semi"))
+        for fate in (ip.first_independent_set(every), late):
+            rows = fate.collect()
+            assert len(rows) == len({r["row"] for r in rows})
+            assert all(r["stays"] == (r["row"] in want) for r in rows)
+            assert {r["row"] for r in rows if not r["stays"]} == set(range(n)) - want
+    none = spark.createDataFrame([], "loser long, winner long")
+    assert ip.first_independent_set(none).count() == 0
 
 
 def test_cells_recall_and_exactness(spark):
