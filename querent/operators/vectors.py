@@ -1,14 +1,13 @@
 """Vector index: embedding, append, exact and cell-pruned top-k.
 
-The heavy step, scores of a batch of queries against every index row, is a
-matrix product on Arrow batches inside the scan: index rows are never shuffled,
-and a task hands on at most k rows per query.
+The heavy step, scores of a block of queries against a block of the index, is a
+matrix product on Arrow data: every pair of blocks is a row of a join, and hands
+on at most k rows per query.  Neither side passes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,8 +16,10 @@ from pyspark.sql import functions as F
 
 from ..session import path_exists
 
-# A query block travels to every task; beyond this size queries go block by block.
-QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+# Queries of this size travel to every task; beyond it blocks of both sides are dealt out in pairs.
+QUERY_BLOCK_BYTES = 8 * 1024 * 1024
+# Rows of a block: two blocks and their scores are what a task holds.
+BLOCK_ROWS = 2048
 # Products of matrices may differ from sums by row in the last digits.
 _SLACK = 1e-9
 
@@ -148,49 +149,57 @@ def _best(matrix: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> t
     return rows[keep], cols[keep], exact[keep]
 
 
-def _scan_block(index: DataFrame, block: list, k: int, id_col: str, keep: list[str], probes: dict | None) -> DataFrame:
-    query_ids = [r["query_id"] for r in block]
-    matrix = np.array([r["embedding"] for r in block], dtype=np.float64)
-    extra = [c for c in keep if c != id_col]
-    fields = {f.name: f.dataType.simpleString() for f in index.schema.fields}
-    q_type = "bigint" if all(isinstance(q, int) for q in query_ids) else "string"
-    ddl = f"query_id {q_type}, `{id_col}` {fields[id_col]}, score double" + "".join(
-        f", `{c}` {fields[c]}" for c in extra
-    )
-    cell_masks = None
-    if probes is not None:
-        cell_masks = {c: np.array([i for i, q in enumerate(query_ids) if c in probes[q]]) for c in
-                      sorted({c for cs in probes.values() for c in cs})}
-
-    def local_top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for pdf in batches:
-            if pdf.empty:
+def _pack(rows: DataFrame, key: str, block_rows: int) -> DataFrame:
+    """``key, rows``: rows of a key that stand together, in arrays of up to ``block_rows``; nothing is shuffled."""
+    import pyarrow as pa
+
+    kept = [f for f in rows.schema.fields if f.name != key]
+    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in kept)
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            groups = [(None, pdf)] if cell_masks is None else list(pdf.groupby("cell"))
-            for cell, part in groups:
-                who = np.arange(len(query_ids)) if cell is None else cell_masks.get(cell, np.array([], int))
-                if len(who) == 0:
-                    continue
-                vectors = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                rows, cols, scores = _best(matrix[who], vectors, part[id_col].to_numpy(), k)
-                found = part.iloc[cols][[id_col, *extra]].reset_index(drop=True)
-                found.insert(0, "_q", who[rows])
-                found["score"] = scores
-                held = found if held is None else pd.concat([held, found], ignore_index=True)
-                if len(held) > 8 * k * len(query_ids):
-                    held = _trim(held)
-        if held is not None:
-            held = _trim(held)
-            held.insert(0, "query_id", [query_ids[i] for i in held.pop("_q")])
-            yield held[["query_id", id_col, "score", *extra]]
-
-    def _trim(held: pd.DataFrame) -> pd.DataFrame:
-        ordered = held.sort_values(["_q", "score", id_col], ascending=[True, False, True], kind="stable")
-        return ordered[ordered.groupby("_q").cumcount() < k].reset_index(drop=True)
-
-    needed = [id_col, "embedding", *extra] + (["cell"] if probes is not None else [])
-    return index.select(*dict.fromkeys(needed)).mapInPandas(local_top, ddl)
+            keys = batch.column(key).to_numpy(zero_copy_only=False)
+            order = np.argsort(keys, kind="stable")
+            body = pa.StructArray.from_arrays([batch.column(f.name) for f in kept], names=[f.name for f in kept])
+            for run in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
+                for i in range(0, len(run), block_rows):
+                    part = run[i : i + block_rows]
+                    held = pa.ListArray.from_arrays([0, len(part)], body.take(pa.array(part)))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part[:1]], pa.int64()), held], names=[key, "rows"])
+
+    return rows.withColumn(key, F.col(key).cast("long")).mapInArrow(pack, f"`{key}` long, rows array<struct<{fields}>>")
+
+
+def _matrix(rows) -> np.ndarray:
+    """The embeddings of a packed block."""
+    held = rows.field("embedding")
+    return held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(held), -1)
+
+
+def _block_pairs(pairs: DataFrame, k: int, id_col: str, keep: list[str]) -> DataFrame:
+    """The k best of every packed block (``rows``) for each query of the packed block beside it (``queries``)."""
+    import pyarrow as pa
+
+    names = [id_col, *[c for c in keep if c != id_col]]
+    types = {f.name: f.dataType.simpleString() for f in pairs.schema["rows"].dataType.elementType.fields}
+    q_type = pairs.schema["queries"].dataType.elementType["query_id"].dataType.simpleString()
+    ddl = f"query_id {q_type}, score double, " + ", ".join(f"`{c}` {types[c]}" for c in names)
+
+    def best(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, queries = (batch.column(c).slice(i, 1).flatten() for c in ("rows", "queries"))
+                ids = rows.field(id_col).to_numpy(zero_copy_only=False)
+                who, cols, scores = _best(_matrix(queries), _matrix(rows), ids, k)
+                found = rows.take(pa.array(cols))
+                yield pa.RecordBatch.from_arrays(
+                    [queries.field("query_id").take(pa.array(who)), pa.array(scores), *[found.field(c) for c in names]],
+                    names=["query_id", "score", *names],
+                )
+
+    return pairs.mapInArrow(best, ddl).select("query_id", id_col, "score", *names[1:])
 
 
 def _final(found: DataFrame, k: int, id_col: str) -> DataFrame:
@@ -198,31 +207,32 @@ def _final(found: DataFrame, k: int, id_col: str) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _by_block(queries: DataFrame, block_bytes: int, scan: Callable[[list], DataFrame], none: DataFrame) -> DataFrame:
-    """Union of ``scan`` over blocks of queries of bounded size: one scan of the index each."""
-    size = queries.agg(F.coalesce(F.sum(F.size("embedding")) * 8, F.lit(0))).first()[0]
-    blocks = -(-size // block_bytes)
-    part = F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks)))
-    held = (queries.where(part == i).collect() for i in range(blocks))
-    return reduce(DataFrame.unionByName, [scan(b) for b in held if b], none)
-
-
 def top_k(
     index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", keep: list[str] | None = None,
-    block_bytes: int = QUERY_BLOCK_BYTES,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact inner-product top-k for all queries at once; ranks go by unrounded scores.
 
-    ``queries`` has query_id and embedding.  They are shipped to scans of the
-    index in blocks of about ``block_bytes``, a scan for each block.
+    ``queries`` has query_id and embedding and may be as large as the index: both
+    sides are cut into blocks, every pair of blocks meets in one row, and a task
+    holds one pair.  Queries of one bounded block travel to the index, which then
+    is not shuffled; beyond it the pairs are dealt out as a grid.
     """
-    keep = keep or []
     queries = queries.select("query_id", "embedding")
-    none = _scan_block(index.limit(0), [], k, id_col, keep, None).withColumn(
-        "query_id", F.col("query_id").cast(queries.schema["query_id"].dataType)
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")) * 8, F.lit(0))).first()
+    blocks = max(1, -(-n // block_rows))
+    # pairs of one query block are told apart, so that they spread
+    spread = max(1, index.sparkSession.sparkContext.defaultParallelism // blocks) if blocks > 1 else 1
+    asked = _pack(queries.repartition(blocks).withColumn("_key", F.spark_partition_id()), "_key", block_rows)
+    asked = asked.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda r: F.col("_key") * spread + r)).alias("_key"), F.col("rows").alias("queries"))
+    held = _pack(
+        index.select(*dict.fromkeys([id_col, "embedding", *(keep or [])])).withColumn("_part", F.spark_partition_id()), "_part", block_rows
     )
-    found = _by_block(queries, block_bytes, lambda block: _scan_block(index, block, k, id_col, keep, None), none)
-    return _final(found, k, id_col)
+    own = F.pmod(F.monotonically_increasing_id(), F.lit(spread))
+    held = held.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda q: q * spread)).alias("_q"), own.alias("_r"), "rows")
+    held = held.select((F.col("_q") + F.col("_r")).alias("_key"), "rows")
+    pairs = held.join(F.broadcast(asked) if size <= QUERY_BLOCK_BYTES else asked, "_key")
+    return _final(_block_pairs(pairs, k, id_col, keep or []), k, id_col)
 
 
 def top_k_cosine(index: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, **options) -> DataFrame:
@@ -277,26 +287,19 @@ def nearest_cells(vectors: DataFrame, centres: np.ndarray, n: int = 1, name: str
 
 def top_k_cells(
     index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 5, probes: int = 4, id_col: str = "chunk_id",
-    keep: list[str] | None = None, block_bytes: int = QUERY_BLOCK_BYTES,
+    keep: list[str] | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Top-k among the ``probes`` cells nearest to each query.
 
     ``index`` carries a ``cell`` column; stored partitioned by it, only probed
     folders are read.  With as many probes as centres the result is exact.
-    Queries go in blocks as in ``top_k``.
+    Queries are dealt to their cells and meet the blocks of these.
     """
     celled = nearest_cells(queries.select("query_id", "embedding"), centres, max(2, probes), "cells")
-    keep = keep or []
-
-    def scan(block: list) -> DataFrame:
-        wanted = {r["query_id"]: set(r["cells"][:probes]) for r in block}
-        every = sorted({c for cs in wanted.values() for c in cs})
-        return _scan_block(index.where(F.col("cell").isin(*every)), block, k, id_col, keep, wanted)
-
-    none = _scan_block(index.limit(0), [], k, id_col, keep, None).withColumn(
-        "query_id", F.col("query_id").cast(queries.schema["query_id"].dataType)
-    )
-    return _final(_by_block(celled, block_bytes, scan, none), k, id_col)
+    near = celled.select("query_id", "embedding", F.explode(F.slice("cells", 1, probes)).alias("cell"))
+    asked = _pack(near.repartition("cell"), "cell", block_rows).withColumnRenamed("rows", "queries")
+    held = _pack(index.select(*dict.fromkeys([id_col, "embedding", *(keep or []), "cell"])), "cell", block_rows)
+    return _final(_block_pairs(held.join(asked, "cell"), k, id_col, keep or []), k, id_col)
 
 
 # --- hits ----------------------------------------------------------------------------------

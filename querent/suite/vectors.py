@@ -44,8 +44,18 @@ def v03(spark, sf):
 
 @query("j10_top_k_tiled", using("v_index", f", {_CENTRES} SELECT query_id, chunk_id, round(score, 6) + 0e0 AS score, rank::INTEGER AS rank FROM ({_top(7, _DOT)})"))
 def j10(spark, sf):
-    """The same search, one scan of the index for each block of queries."""
-    return shown(vx.top_k(vectors(spark, sf), centres(spark, sf), 7, block_bytes=2000))
+    """The same search, the index met in small blocks."""
+    return shown(vx.top_k(vectors(spark, sf), centres(spark, sf), 7, block_rows=50))
+
+
+@query("j10_similarity_join", using("v_index", """ SELECT query_id, chunk_id, round(score, 6) + 0e0 AS score, rank::INTEGER AS rank FROM (
+        SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+            SELECT q.chunk_id AS query_id, i.chunk_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS score FROM v_index q, v_index i))
+    WHERE rank <= 5"""))
+def j10_join(spark, sf):
+    """Every vector against all vectors: pairs of blocks of both sides."""
+    v = vectors(spark, sf)
+    return shown(vx.top_k(v, v.select(F.col("chunk_id").alias("query_id"), "embedding"), 5, block_rows=150))
 
 
 _COS = f"{_DOT} / (sqrt(list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[]))) * sqrt(list_dot_product(c.embedding, c.embedding)))"

@@ -47,10 +47,10 @@ def test_query_blocks_give_the_same_answer(spark):
     points = rng.normal(size=(300, 8))
     index = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "chunk_id long, embedding array<double>")
     queries = index.select(F.col("chunk_id").alias("query_id"), "embedding")
-    small, large = (sorted(map(tuple, vx.top_k(index, queries, 4, block_bytes=b).collect())) for b in (4_000, 1 << 20))
+    small, large = (sorted(map(tuple, vx.top_k(index, queries, 4, block_rows=b).collect())) for b in (7, 1 << 20))
     assert small == large
     centres = vx.train_cells(index, 6)
-    cells = vx.top_k_cells(vx.nearest_cells(index, centres), queries, centres, 4, probes=6, block_bytes=4_000)
+    cells = vx.top_k_cells(vx.nearest_cells(index, centres), queries, centres, 4, probes=6, block_rows=7)
     assert sorted(map(tuple, cells.select(*vx.top_k(index, queries, 4).columns).collect())) == large
 
 
