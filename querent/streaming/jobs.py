@@ -15,8 +15,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions import scores as sc
 from ..operators import quality as ql
 from ..operators.interview import KEYS
-from ..operators.ranking import latest
-from ..operators.vectors import append_new, embed, index_rows
+from ..operators.ranking import first_seen, latest
+from ..operators.vectors import embed, index_rows
 from ..session import path_exists
 
 
@@ -27,26 +27,62 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | N
     return reader.parquet(path)
 
 
-def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _start(writer, checkpoint: str, available_now: bool, spark: SparkSession | None = None) -> StreamingQuery:
+    """Start a query; one with a ``spark`` keeps its state in RocksDB, on disk, whatever its size."""
     writer = writer.option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    if spark is None:
+        return writer.start()
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKSDB)  # a query copies the settings when it starts
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(_STORE, before)
+
+
+def unseen(rows: DataFrame, key: str, time: str | None = None, within: str = "30 days") -> DataFrame:
+    """Rows of a stream whose ``key`` has not come before, kept as state.
+
+    With an event ``time`` keys are forgotten ``within`` after they came, and
+    rows later than that are dropped; without one they are kept for good.
+    """
+    if time is None:
+        return rows.dropDuplicates([key])
+    return rows.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
 
 
-def index_stream(chunks: DataFrame, path: str, checkpoint: str, encoder, text: str = "content", available_now: bool = True) -> StreamingQuery:
-    """Embed and append only chunk ids the index has not seen."""
+def index_stream(
+    chunks: DataFrame, path: str, checkpoint: str, encoder, text: str = "content", available_now: bool = True,
+    key: str = "chunk_id", time: str | None = None, within: str = "30 days",
+) -> StreamingQuery:
+    """Embed and append only chunk ids the stream has not seen.
 
-    def add(batch: DataFrame, _: int) -> None:
-        append_new(batch, path, prepare=lambda new: index_rows(embed(new, text, encoder)))
+    What came before is state of the query: the index is not read again, however
+    large it is.  Each batch writes a folder of its own, over what an earlier try
+    of it left.  Ids are hashes of the content, so it is no matter which of two
+    equal ones is kept.
+    """
 
-    return _start(chunks.writeStream.foreachBatch(add), checkpoint, available_now)
+    def add(batch: DataFrame, number: int) -> None:
+        index_rows(embed(batch, text, encoder)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+    writer = unseen(chunks, key, time, within).writeStream.foreachBatch(add)
+    return _start(writer, checkpoint, available_now, chunks.sparkSession)
 
-def evaluation_stream(answers: DataFrame, path: str, checkpoint: str, scorer: Callable[[DataFrame], DataFrame], available_now: bool = True) -> StreamingQuery:
-    """Score answers not scored yet, one evaluation per (session, question)."""
+
+def evaluation_stream(
+    answers: DataFrame, path: str, checkpoint: str, scorer: Callable[[DataFrame], DataFrame], available_now: bool = True, order: str = "id"
+) -> StreamingQuery:
+    """Score answers not scored yet, one evaluation per (session, question): of the first answer of a batch by ``order``."""
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(KEYS)
+        fresh = first_seen(batch, KEYS, order)
         if path_exists(spark, path):
             fresh = fresh.join(spark.read.parquet(path).select(*KEYS), KEYS, "left_anti")
         scorer(fresh).write.mode("append").parquet(path)
@@ -54,6 +90,39 @@ def evaluation_stream(answers: DataFrame, path: str, checkpoint: str, scorer: Ca
     return _start(answers.writeStream.foreachBatch(add), checkpoint, available_now)
 
 
+def unscored(answers: DataFrame, evaluations: DataFrame, bound: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Answers of a stream to which no evaluation came within ``bound``.
+
+    ``answers`` has the keys and ``answered_at``, ``evaluations`` the keys and
+    ``evaluated_at``; rows of either may come up to ``late`` behind the newest
+    one.  An answer is told once both streams have passed its bound, and both
+    sides leave the state then.
+    """
+    told = evaluations.select(*[F.col(k).alias(f"_{k}") for k in KEYS], "evaluated_at").withWatermark("evaluated_at", late)
+    given = answers.withWatermark("answered_at", late)
+    same = [given[k] == told[f"_{k}"] for k in KEYS]
+    span = (told["evaluated_at"] >= given["answered_at"]) & (told["evaluated_at"] <= given["answered_at"] + F.expr(f"interval {bound}"))
+    joined = given.join(told, same[0] & same[1] & span, "left_outer")
+    return joined.where("evaluated_at is null").select(*answers.columns)
+
+
+def backlog_stream(
+    answers: DataFrame, evaluations: DataFrame, path: str, checkpoint: str, bound: str = "1 hour", late: str = "1 hour",
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Write the answers left without an evaluation, a folder per batch; ``first_answers`` reads them."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return _start(unscored(answers, evaluations, bound, late).writeStream.foreachBatch(add), checkpoint, available_now, answers.sparkSession)
+
+
+def first_answers(backlog: DataFrame, order: str = "id") -> DataFrame:
+    """The earliest answer to each question of a session, ties by ``order``."""
+    return first_seen(backlog, KEYS, "answered_at", order)
+
+
 def session_progress(events: DataFrame, late: str = "30 days", span: str | None = None) -> DataFrame:
     """Per session: first and last event, number asked, last kind of event.
 
@@ -183,7 +252,7 @@ class SessionTimeout:
 
 
 def timeout_stream(events: DataFrame, silence_ms: int, late: str = "1 hour") -> DataFrame:
-    """Sessions that ended by silence; needs the RocksDB state store."""
+    """Sessions that ended by silence; needs the RocksDB state store, as ``ended_stream`` sets it."""
     from pyspark.sql.streaming import StatefulProcessor
 
     processor = type("Timeout", (SessionTimeout, StatefulProcessor), {})(silence_ms)
@@ -197,3 +266,11 @@ def timeout_stream(events: DataFrame, silence_ms: int, late: str = "1 hour") ->
             timeMode="EventTime",
         )
     )
+
+
+def ended_stream(
+    events: DataFrame, path: str, checkpoint: str, silence_ms: int, late: str = "1 hour", available_now: bool = True
+) -> StreamingQuery:
+    """Append the sessions that ended by silence to a Parquet table, each once."""
+    writer = timeout_stream(events, silence_ms, late).writeStream.format("parquet").option("path", path).outputMode("append")
+    return _start(writer, checkpoint, available_now, events.sparkSession)

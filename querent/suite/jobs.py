@@ -25,7 +25,7 @@ from .corpus import DIFFICULTY, _CLASSED, _FILES, _STATS, WORDS, chunk_rows, lab
 from .dedup import HASHED
 from .interview import RAW, _SESSION_STATS, _ZERO, scored
 from .quality import LIMITS, _CHECKED, checked
-from .registry import TWINS, query
+from .registry import query
 from .segment import DEMO_WORDS, MARKED, V_DRESSED, V_SPACED, _q_keywords as q_keywords, _sql_dress, dressed, q_chunks, q_force, q_sections, shown_chunks, spaced
 from .text import _LINES, _NOISE
 from .vectors import LETTERS, letter_encoder, shown
@@ -338,16 +338,17 @@ def q04(spark, sf):
     return pb.extract_questions(d, 4).select("ord", "seq", "question")
 
 
-_ASKED = f"""{V_DRESSED}, {CLEANED.replace("v_docs", "v_dressed")},
+def _asked_sql(max_chars: int) -> str:
+    return f"""{V_DRESSED}, {CLEANED.replace("v_docs", "v_dressed")},
     v_asked AS (SELECT d.doc_id, CASE WHEN d.category = 'src7' THEN 'template' WHEN d.doc_id % 13 = 0 THEN 'extract_failed' WHEN {q_strip("d.text")} = '' THEN 'empty'
         WHEN coalesce(m, '') = '' THEN 'no_text' END AS reason, coalesce(m, '') AS text FROM v_dressed d LEFT JOIN marked k ON k.doc_id = d.doc_id),
-    v_live AS (SELECT doc_id, text FROM v_asked WHERE reason IS NULL), {q_sections("v_live", 900)},
+    v_live AS (SELECT doc_id, text FROM v_asked WHERE reason IS NULL), {q_sections("v_live", max_chars)},
     told AS (SELECT doc_id AS ord, seq + 1 AS section_index, {q_strip(q_sub(q_strip(q_sub("split_part(section, chr(10), 1)", tx.LIST_MARK, flags="")), SPACE + "+", " "))} AS question
-        FROM sections WHERE seq < 5 AND (doc_id + seq + 1) % 7 <> 0),
+        FROM sections WHERE (doc_id + seq + 1) % 7 <> 0),
     accepted AS (SELECT * FROM told WHERE length(question) >= 4)"""
 
 
-def asked_model(spark, sf, max_sections=5):
+def asked_model(spark, sf, max_chars=2000):
     """A stand-in for the model: the first line of a section, and some requests that fail."""
     d = dressed(spark, sf).select(
         F.col("source_file").alias("source_path"), "category", F.col("doc_id").alias("ord"), F.col("text").alias("full_text"),
@@ -355,35 +356,38 @@ def asked_model(spark, sf, max_sections=5):
         F.when(F.col("doc_id") % 13 == 0, F.array(F.lit("broken"))).otherwise(F.expr("cast(array() as array<string>)")).alias("errors"))
     answer = F.concat(F.lit("```json\n"), F.to_json(F.array(F.substring_index("section", "\n", 1))), F.lit("\n```"))
     model = lambda rows: rows.withColumn("output", F.when((F.col("ord") + F.col("section_index")) % 7 != 0, answer))
-    return pb.extract_with_model(d, model, max_chars=900, max_sections=max_sections, min_length=4)
+    return pb.extract_with_model(d, model, max_chars=max_chars, min_length=4)
 
 
-@query("q04_model_questions", using("v_docs", f""", {_ASKED} SELECT ord, section_index, question FROM accepted
-    QUALIFY row_number() OVER (PARTITION BY question ORDER BY ord, section_index) = 1"""))
+_QUESTIONS = """ SELECT ord, section_index, question FROM accepted
+    QUALIFY row_number() OVER (PARTITION BY question ORDER BY ord, section_index) = 1"""
+_UNPROCESSED = """, f AS (SELECT doc_id, bool_or((doc_id + seq + 1) % 7 = 0) AS failed FROM sections GROUP BY doc_id)
+    SELECT a.doc_id AS ord, CASE WHEN coalesce(failed, false) THEN 'failed' ELSE 'skipped' END AS status,
+        coalesce(reason, CASE WHEN failed THEN 'request_failed' WHEN f.doc_id IS NULL THEN 'no_sections' ELSE 'no_questions' END) AS reason
+    FROM v_asked a LEFT JOIN f ON f.doc_id = a.doc_id WHERE a.doc_id NOT IN (SELECT ord FROM accepted)"""
+
+
+@query("q04_model_questions", using("v_docs", f", {_asked_sql(2000)} {_QUESTIONS}"))
 def q04_model(spark, sf):
     return asked_model(spark, sf)["questions"].select("ord", "section_index", "question")
 
 
-@query("q04_unprocessed", using("v_docs", f""", {_ASKED}, f AS (SELECT doc_id, bool_or((doc_id + seq + 1) % 7 = 0) AS failed FROM sections WHERE seq < 5 GROUP BY doc_id)
-    SELECT a.doc_id AS ord, CASE WHEN coalesce(failed, false) THEN 'failed' ELSE 'skipped' END AS status,
-        coalesce(reason, CASE WHEN failed THEN 'request_failed' WHEN f.doc_id IS NULL THEN 'no_sections' ELSE 'no_questions' END) AS reason
-    FROM v_asked a LEFT JOIN f ON f.doc_id = a.doc_id WHERE a.doc_id NOT IN (SELECT ord FROM accepted)"""))
+@query("q04_unprocessed", using("v_docs", f", {_asked_sql(2000)} {_UNPROCESSED}"))
 def q04_unprocessed(spark, sf):
     return asked_model(spark, sf)["unprocessed"].select("ord", "status", "reason")
 
 
-# the same two over all sections of a document
-@query("q04_model_questions_whole", TWINS["q04_model_questions"].replace("seq < 5 AND ", ""))
+# the same two with more sections to a document
+@query("q04_model_questions_whole", using("v_docs", f", {_asked_sql(900)} {_QUESTIONS}"))
 def q04_model_whole(spark, sf):
-    return asked_model(spark, sf, None)["questions"].select("ord", "section_index", "question")
+    return asked_model(spark, sf, 900)["questions"].select("ord", "section_index", "question")
 
 
-@query("q04_unprocessed_whole", TWINS["q04_unprocessed"].replace("seq < 5 AND ", "").replace(" WHERE seq < 5", ""))
+@query("q04_unprocessed_whole", using("v_docs", f", {_asked_sql(900)} {_UNPROCESSED}"))
 def q04_unprocessed_whole(spark, sf):
-    return asked_model(spark, sf, None)["unprocessed"].select("ord", "status", "reason")
+    return asked_model(spark, sf, 900)["unprocessed"].select("ord", "status", "reason")
 
 
-# --- streams -------------------------------------------------------------------------
 def _landing(df, name):
     """The rows as the files a stream would find, in several pieces."""
     spark = df.sparkSession
@@ -394,13 +398,60 @@ def _landing(df, name):
 
 @query("st1_index_stream", "SELECT doc_id AS chunk_id, length(text)::INTEGER AS n FROM documents")
 def st1(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    """Repeats within a batch and across batches; ids seen are state of the query."""
+    d = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.timestamp_seconds(F.col("doc_id") + 1_700_000_000).alias("seen_at"))
     src, schema = _landing(d.unionByName(d.where("chunk_id % 4 = 0")), "chunks")
     out = scratch_path(spark, "index")
-    st.index_stream(st.read_stream(spark, src, schema), out, scratch_path(spark, "state"), letter_encoder).awaitTermination()
+    chunks = st.read_stream(spark, src, schema, files_per_batch=3)
+    st.index_stream(chunks, out, scratch_path(spark, "state"), letter_encoder, time="seen_at", within="36500 days").awaitTermination()
     return spark.read.parquet(out).select("chunk_id", F.length("content").alias("n"))
 
 
+def _events(spark, sf):
+    return table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), (F.col("event_id") % 97).alias("question_id"),
+        F.col("ts").cast("timestamp").alias("ts"))
+
+
+def _ending(spark, src, rows):
+    """A last row of a session of its own, long after the others: what waits on time is told then."""
+    later = rows.limit(1).withColumn("session_id", F.lit(-1).cast("long")).withColumn("ts", F.lit("2100-01-01").cast("timestamp"))
+    later.select(*rows.columns).write.mode("append").parquet(src)
+
+
+@query("st2_backlog_stream", """WITH a AS (SELECT event_id AS id, user_id AS session_id, event_id % 97 AS question_id, ts FROM events),
+    open AS (SELECT * FROM a WHERE id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM a e WHERE e.id % 3 = 0 AND e.session_id = a.session_id AND e.question_id = a.question_id
+        AND e.ts >= a.ts AND e.ts <= a.ts + INTERVAL 30 DAYS))
+    SELECT session_id, question_id, min_by(id, (ts, id)) AS id FROM open GROUP BY session_id, question_id""")
+def st2_backlog(spark, sf):
+    """Answers and evaluations land in two streams, files in no order of time; the first answer without an evaluation within 30 days."""
+    rows = _events(spark, sf)
+    given, schema = _landing(rows.where("id % 3 <> 0"), "answers")
+    told, _ = _landing(rows.where("id % 3 = 0"), "evaluations")
+    for src in (given, told):
+        _ending(spark, src, rows)
+    answers_ = st.read_stream(spark, given, schema).withColumnRenamed("ts", "answered_at")
+    evaluations_ = st.read_stream(spark, told, schema).withColumnRenamed("ts", "evaluated_at")
+    out = scratch_path(spark, "backlog")
+    st.backlog_stream(answers_, evaluations_, out, scratch_path(spark, "state"), "30 days", "3650 days").awaitTermination()
+    return st.first_answers(spark.read.schema(answers_.schema).parquet(out)).select("session_id", "question_id", "id")
+
+
+@query("st3_session_timeout", """WITH e AS (SELECT user_id AS session_id, epoch_us(ts) // 1000 AS ms FROM events),
+    g AS (SELECT *, coalesce(ms - lag(ms) OVER (PARTITION BY session_id ORDER BY ms) > 43200000, true)::INTEGER AS cut FROM e),
+    i AS (SELECT *, sum(cut) OVER (PARTITION BY session_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS part FROM g)
+    SELECT session_id, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS events FROM i GROUP BY session_id, part""")
+def st3_timeout(spark, sf):
+    """Sessions that end by twelve hours of silence."""
+    rows = _events(spark, sf).select("session_id", "ts")
+    src, schema = _landing(rows, "events")
+    _ending(spark, src, rows)
+    out = scratch_path(spark, "ended")
+    st.ended_stream(st.read_stream(spark, src, schema), out, scratch_path(spark, "state"), 43_200_000, "3650 days").awaitTermination()
+    return spark.read.parquet(out).select("session_id", "first_ms", "last_ms", "events")
+
+
 @query("st2_evaluation_stream", using("v_answers", " SELECT session_id, question_id, length(user_answer)::DOUBLE / 100 AS total_score FROM v_answers"))
 def st2(spark, sf):
     a = answers(spark, sf)
