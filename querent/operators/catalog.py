@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..functions.labels import file_class
+from .ranking import with_best_before
 
 LABELS = ["content_category", "position", "difficulty", "question_type"]
 
@@ -109,16 +110,19 @@ def merge_reprocessed(documents: DataFrame, repaired: DataFrame, key: str, colum
 
 
 def outside_pairs(headings: DataFrame, explicit: DataFrame, doc: str) -> DataFrame:
-    """Heading pairs that lie inside no explicit pair of the same document."""
-    e = explicit.select(
-        F.col(doc).alias("_d"), F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e")
-    )
-    inside = (
-        (F.col(doc) == F.col("_d"))
-        & (F.col("_s") <= F.col("start_pos"))
-        & (F.col("end_pos") <= F.col("_e"))
-    )
-    return headings.join(e, inside, "left_anti")
+    """Heading pairs that lie inside no explicit pair of the same document.
+
+    A sweep: both kinds are ordered by their start, and a heading is inside if
+    the greatest end of the explicit pairs that began before it, or with it, is
+    not before its own.  No pair is compared with another, and a document of any
+    number of pairs is spread over tasks.
+    """
+    known = explicit.where(F.col(doc).isNotNull() & F.col("start_pos").isNotNull())
+    starts = known.select(doc, "start_pos", F.lit(0).alias("_side"), F.col("end_pos").alias("_end"))
+    swept = headings.withColumn("_side", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    swept = swept.withColumn("_at", F.struct("start_pos", "_side"))
+    widest = with_best_before(swept, [doc], "_at", F.col("_end"), "_widest")
+    return widest.where((F.col("_side") == 1) & ~F.coalesce(F.col("_widest") >= F.col("end_pos"), F.lit(False))).select(*headings.columns)
 
 
 def folder_positions(rows: DataFrame, path: str, mapping: DataFrame, key: str) -> DataFrame:
