@@ -68,14 +68,15 @@ class Portion:
     span: int = SPAN
     gram: int = GRAM
     prints: dict[int, np.ndarray] = field(default_factory=dict)
-    windows: dict[bytes, tuple[str, ...]] = field(default_factory=dict)
+    windows: dict[bytes, tuple[str | None, ...]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, items: pd.DataFrame, span: int, gram: int) -> Portion:
         found: dict[int, list[np.ndarray]] = {}
-        windows: dict[bytes, set[str]] = {}
+        windows: dict[bytes, set[str | None]] = {}
         for item, text in items[["item_id", "text"]].itertuples(index=False):
-            words = words_of(text)
+            words = words_of(text if isinstance(text, str) else None)
+            item = item if isinstance(item, str) else None
             if not words:
                 continue
             length = min(span, len(words))
@@ -86,13 +87,13 @@ class Portion:
             found.setdefault(length, []).append(hashes[winnow(hashes, length - k + 1)])
         return cls(
             span, gram, {n: np.unique(np.concatenate(h)) for n, h in found.items()},
-            {w: tuple(sorted(i)) for w, i in windows.items()},
+            {w: tuple(i) for w, i in windows.items()},
         )
 
-    def hits(self, words: list[bytes], codes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+    def hits(self, words: list[bytes], codes: np.ndarray) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Spans (start, end) of the windows that occur, and their items."""
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         for length, prints in self.prints.items():
             k = self.gram if length == self.span else length
             hashes = gram_hashes(codes, k)
@@ -111,11 +112,11 @@ class Portion:
 
 def _portions(benchmark: DataFrame, chars: int) -> list[pd.DataFrame]:
     """The benchmark in portions of about ``chars`` characters."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // chars)
     return [
-        items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).toPandas() for i in range(n)
+        items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).toPandas().astype(object) for i in range(n)
     ]
 
 
@@ -128,8 +129,8 @@ def decontaminate(
     A window is ``span`` consecutive words of an item; an item of fewer words is
     one window.  ``spans`` are word ranges (end exclusive) of the document that
     are hit, merged and ascending, ``items`` the items they stem from, sorted as
-    strings.  A null text has no words; items without words or id match nothing;
-    items that share an id count once.
+    strings, a null id last.  A null text has no words; items without words match
+    nothing; items that share an id, the null id too, count once.
     """
     sc = docs.sparkSession.sparkContext
     kind = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
@@ -143,7 +144,7 @@ def decontaminate(
                 words = words_of(text)
                 codes = _codes(words)
                 spans: list[tuple[int, int]] = []
-                items: set[str] = set()
+                items: set[str | None] = set()
                 for portion in portions:
                     some, of = portion.value.hits(words, codes)
                     spans += some
@@ -154,7 +155,7 @@ def decontaminate(
                         merged[-1]["end"] = max(e, merged[-1]["end"])
                     else:
                         merged.append({"start": s, "end": e})
-                rows.append((len(words), sum(m["end"] - m["start"] for m in merged), sorted(items), merged))
+                rows.append((len(words), sum(m["end"] - m["start"] for m in merged), [*sorted(i for i in items if i is not None), *[None] * (None in items)], merged))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
     return docs.withColumn(out, match("text"))

@@ -217,7 +217,7 @@ def resample(docs: DataFrame, **options) -> DataFrame:
     The words taken over the document's size is rounded up or down by a hash of
     the row, so the expected number of copies is exact and texts stay whole.
     """
-    code = fresh(docs, "_text")
+    code, copy = fresh(docs, "_text"), fresh(docs, "_copy")
     ratio = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
     chance = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "code"), F.lit(1 << 20)) / float(1 << 20)
     copies = (
@@ -228,6 +228,6 @@ def resample(docs: DataFrame, **options) -> DataFrame:
     coded = docs.withColumn(code, F.xxhash64("text"))
     return (
         coded.join(copies, coded["doc_id"].eqNullSafe(copies["_id"]) & (coded[code] == copies["_code"]))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), copies["_n"])))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), copies["_n"])))
         .select(*[coded[c] for c in docs.columns])
     )

@@ -167,8 +167,8 @@ def test_mix_odd_rows(spark, odd):
     assert sorted((r["doc_id"] or 0, r["size"]) for r in rows) == sorted(
         (d or 0, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for d, t, *_ in ODD
     )
-    out = resample(clash(odd, "_n", "_id"))
-    assert out.columns == [*odd.columns, "_n", "_id"]
+    out = resample(clash(odd, "_n", "_id", "_copy", "_text", "_code"))
+    assert out.columns == [*odd.columns, "_n", "_id", "_copy", "_text", "_code"]
     assert {r["doc_id"] for r in out.collect()} <= {d for d, *_ in ODD}
 
 
