@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..functions.labels import file_class
+from ..session import materialize
 from .ranking import with_best_before
 
 LABELS = ["content_category", "position", "difficulty", "question_type"]
@@ -93,8 +94,15 @@ def label_statistics(chunks: DataFrame, labels: list[str] = LABELS) -> DataFrame
 
 
 def new_rows(chunks: DataFrame, index: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Chunks whose id the index does not hold yet."""
-    return chunks.join(index.select(key), key, "left_anti")
+    """Chunks whose id the index does not hold yet.
+
+    The index is asked which of the new ids it holds: a batch of ids that Spark
+    finds small enough to send along meets the index where it is read, which
+    then is not shuffled, however large.  Ids of any number are compared exactly.
+    """
+    ids = materialize(chunks.select(key).distinct(), "new-ids")
+    held = materialize(index.select(key).join(ids, key, "left_semi").distinct(), "held-ids")
+    return chunks.join(held, key, "left_anti")
 
 
 def merge_reprocessed(documents: DataFrame, repaired: DataFrame, key: str, columns: list[str]) -> DataFrame:

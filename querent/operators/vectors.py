@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import path_exists
+from .catalog import new_rows
+from .ranking import first_seen
 
 # Queries of this size travel to every task; beyond it blocks of both sides are dealt out in pairs.
 QUERY_BLOCK_BYTES = 8 * 1024 * 1024
@@ -87,9 +89,11 @@ def append_new(
     model called there is called once per chunk.
     """
     spark = chunks.sparkSession
-    fresh = chunks.dropDuplicates([key])
+    others = F.to_json(F.struct(*[c for c in chunks.columns if c != key], F.lit(0)))
+    fresh = chunks.withColumn("_tie", F.xxhash64(others))
+    fresh = first_seen(fresh, [key], "_tie").drop("_tie")
     if path_exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
+        fresh = new_rows(fresh, spark.read.parquet(path), key)
     prepare(fresh).write.mode("append").parquet(path)
 
 
@@ -312,11 +316,12 @@ def hits_to_questions(hits: DataFrame) -> DataFrame:
     text = F.coalesce(
         F.nullif(strip(F.coalesce("question", blank)), blank), strip(F.coalesce("content", blank))
     )
-    return hits.select(
+    rows = hits.select(
         F.col("chunk_id").alias("question_id"),
         text.alias("content"),
         strip(F.coalesce("answer", blank)).alias("reference_answer"),
         F.lit("概念题").alias("question_type"),
         F.lit("进阶").alias("difficulty"),
         job_category(F.col("source_file")).alias("job_category"),
-    ).where("content <> ''").dropDuplicates(["question_id"])
+    ).where("content <> ''")
+    return first_seen(rows, ["question_id"], "content", "reference_answer", "job_category")
