@@ -70,14 +70,20 @@ def prefix_sums(values: Column) -> Column:
 
 
 def top_by_count(found: Column, k: int | None) -> Column:
-    """Distinct strings by falling frequency, ties by first occurrence; the first ``k`` or all."""
-    ranked = lambda all_: F.array_sort(
-        F.transform(
-            F.array_distinct(all_),
-            lambda w, i: F.struct(
-                (-F.size(F.filter(all_, lambda x: x == w))).alias("c"), i.alias("i"), w.alias("w")
-            ),
+    """Distinct strings by falling frequency, ties by first occurrence; the first ``k`` or all.
+
+    Equal strings stand together once sorted, so the work grows with the number
+    of strings, not with its square.
+    """
+
+    def ranked(s: Column) -> Column:
+        begins = F.filter(
+            F.transform(s, lambda x, i: i), lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, F.greatest(i - 1, F.lit(0)))["w"])
         )
-    )
-    some = lambda all_: ranked(all_) if k is None else F.slice(ranked(all_), 1, k)
-    return bind(found, lambda all_: F.transform(some(all_), lambda s: s["w"]))
+        return bind(begins, lambda at: F.array_sort(F.transform(at, lambda a, j: F.struct(
+            (a - F.coalesce(F.get(at, j + 1), F.size(s))).alias("c"), F.get(s, a)["i"].alias("i"), F.get(s, a)["w"].alias("w")
+        ))))
+
+    sorted_ = F.array_sort(F.transform(found, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    some = bind(sorted_, lambda s: ranked(s) if k is None else F.slice(ranked(s), 1, k))
+    return F.transform(some, lambda s: s["w"])

@@ -4,11 +4,13 @@ import datetime as dt
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from querent.functions.arrays import top_by_count
 from querent.operators import catalog as ct
 from querent.operators import dedup as dd
 from querent.operators import interview as iv
@@ -274,3 +276,22 @@ def test_an_append_does_not_shuffle_the_index(spark, monkeypatch):
     assert spark.read.parquet(path).count() == 300_003
     scan = plans["held-ids"].index("BroadcastHashJoin")
     assert "BroadcastExchange" in plans["held-ids"] and "hashpartitioning" not in plans["held-ids"][scan:]
+
+
+def test_counting_words_grows_with_their_number(spark):
+    rnd = random.Random(8)
+    words = [[rnd.choice("abcdefgh") * rnd.randrange(1, 3) for _ in range(n)] for n in (0, 1, 2, 50, 300)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id long, w array<string>")
+    for k in (None, 3):
+        for r in df.select("id", top_by_count(F.col("w"), k).alias("top")).collect():
+            w = words[r["id"]]
+            assert r["top"] == sorted(set(w), key=lambda x: (-w.count(x), w.index(x)))[:k]
+
+    def seconds(n):
+        start = time.time()
+        many = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.hex(F.xxhash64(i) % (n // 2))).alias("w"))
+        assert len(many.select(top_by_count(F.col("w"), 5).alias("t")).first()["t"]) == 5
+        return time.time() - start
+
+    seconds(1_000)
+    assert seconds(80_000) < 5 * seconds(20_000) + 2
