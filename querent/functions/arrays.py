@@ -41,6 +41,53 @@ def _running(values: Column, start: Column) -> Column:
     return F.aggregate(values, F.array(start), lambda acc, v: F.concat(acc, F.array(last(acc) + v)))
 
 
+def in_pieces(values: Column, root: int = 2) -> Column:
+    """The array cut into as many pieces as the ``root`` of its length; one empty piece of nothing."""
+    pieces = F.greatest(F.ceil(F.pow(F.size(values), F.lit(1 / root))), F.lit(1))
+    width = F.greatest(F.ceil(F.size(values) / pieces), F.lit(1)).cast("int")
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / width), F.lit(1)).cast("int") - 1)
+    return F.transform(starts, lambda i: F.slice(values, i * width + 1, width))
+
+
+def fold_out(
+    values: Column, kind: str, start: dict[str, Column], step: Callable[[Column, Column], Column],
+    finish: Callable[[Column], Column], levels: int = 4,
+) -> Column:
+    """Array of all that a fold puts out, elements of type ``kind``.
+
+    ``step(state, value)`` is a struct of the array ``put`` and the fields of
+    ``start``, in that order; ``finish(state)`` is the array of what is left.
+    A fold copies its accumulator for every value.  So steps never see what was
+    put out; it is gathered by pieces of pieces, and a value's share of copying
+    is ``levels`` times half that root of the number of values.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def gathered(out: Column, now: Column) -> Column:
+        return F.struct(out.alias("out"), now.alias("now"))
+
+    def fold(part: Column, now: Column, level: int) -> Column:
+        if level == 1:
+            # a step behind: the state is evaluated once, and what it put out joins with the next value
+            return F.aggregate(
+                part, gathered(none, now),
+                lambda acc, v: gathered(F.concat(acc["out"], acc["now"]["put"]), step(acc["now"], v)),
+            )
+        return F.aggregate(
+            in_pieces(part, level),
+            F.struct(none.alias("out"), gathered(none, now).alias("last")),
+            lambda acc, piece: F.struct(
+                F.concat(acc["out"], acc["last"]["out"]).alias("out"), fold(piece, acc["last"]["now"], level - 1).alias("last")
+            ),
+            lambda acc: gathered(F.concat(acc["out"], acc["last"]["out"]), acc["last"]["now"]),
+        )
+
+    first = F.struct(none.alias("put"), *[c.alias(n) for n, c in start.items()])
+    return bind(values, lambda all_: bind(
+        fold(all_, first, levels), lambda end: F.concat(end["out"], end["now"]["put"], finish(end["now"]))
+    ))
+
+
 def prefix_sums(values: Column) -> Column:
     """Running totals starting at 0: one entry more than ``values``.
 
@@ -51,12 +98,7 @@ def prefix_sums(values: Column) -> Column:
     total = lambda part: F.aggregate(part, zero, lambda acc, v: acc + v)
 
     def pieces(all_: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(all_))).cast("int")
-        cut = F.transform(
-            F.sequence(F.lit(0), F.ceil(F.size(all_) / width).cast("int") - 1),
-            lambda i: F.slice(all_, i * width + 1, width),
-        )
-        return bind(cut, lambda parts: bind(_running(F.transform(parts, total), zero), lambda starts: F.concat(
+        return bind(in_pieces(all_), lambda parts: bind(_running(F.transform(parts, total), zero), lambda starts: F.concat(
             F.flatten(F.transform(parts, lambda p, i: bind(
                 _running(p, F.get(starts, i)), lambda sums: F.slice(sums, 1, F.size(sums) - 1)
             ))),

@@ -153,10 +153,53 @@ def file_class(
 
 
 # --- keywords ---------------------------------------------------------------
+def _character(c: str) -> str:
+    return c if c.isascii() and c.isalnum() else rf"\x{{{ord(c):x}}}"
+
+
+def _branches(by_first: list[tuple[str, str]], most: int = 4) -> str:
+    """One of the patterns, each behind its character; many are halved by a look at the next character."""
+    if len(by_first) <= most:
+        return "|".join(_character(c) + rest for c, rest in by_first)
+    half = len(by_first) // 2
+    return "|".join(
+        f"(?=[{_character(side[0][0])}-{_character(side[-1][0])}])(?:{_branches(side, most)})"
+        for side in (by_first[:half], by_first[half:])
+    )
+
+
 def keyword_pattern(words: list[str]) -> str:
-    """Longest word first, at word boundaries; words go in as literals."""
-    ordered = sorted(dict.fromkeys(w.lower() for w in words), key=len, reverse=True)
-    return r"\b(" + "|".join(r"\Q" + w + r"\E" for w in ordered) + r")\b"
+    """The longest of ``words`` that stands at a place, at word boundaries; words are literals.
+
+    The pattern is the words' tree of characters, so that a place costs the
+    length of a word and the logarithm of how many ways it can go on, whatever
+    the number of words.  Without words nothing matches.
+    """
+    ordered = sorted({w.lower() for w in words if w})
+    if not ordered:
+        return r"((?!))"
+
+    def tree(low: int, high: int, depth: int) -> str:
+        ends = len(ordered[low]) == depth
+        ways, at = [], low + ends
+        while at < high:
+            first, start = ordered[at][depth], at
+            while at < high and ordered[at][depth] == first:
+                at += 1
+            ways.append((first, chain(start, at, depth + 1)))
+        if not ways:
+            return ""
+        return f"(?:{_branches(ways)}{'|' if ends else ''})"
+
+    def chain(low: int, high: int, depth: int) -> str:
+        # what all words share is written out, so that only forks nest
+        a, b = ordered[low], ordered[high - 1]
+        end = depth
+        while end < min(len(a), len(b)) and a[end] == b[end]:
+            end += 1
+        return "".join(map(_character, a[depth:end])) + tree(low, high, end)
+
+    return rf"\b({chain(0, len(ordered), 0)})\b"
 
 
 def default_keywords() -> list[str]:

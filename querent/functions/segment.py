@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
-from .arrays import bind, last, prefix_sums
+from .arrays import bind, fold_out, last, prefix_sums
 from .patterns import BLANK_LINE, INLINE, LINE_BREAK, SPACE, WORD_CHARS
 from .text import collapse_breaks, paragraphs, strip, unix_breaks
 
@@ -273,17 +273,19 @@ def merge_short_pairs(pairs: Column, min_length: int = 50) -> Column:
             b["end_pos"].alias("end_pos"),
         )
 
-    def step(acc: Column, p: Column) -> Column:
-        return (
-            F.when(F.size(acc) == 0, F.array(p))
-            .when(
-                short(last(acc)),
-                F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(absorb(last(acc), p))),
-            )
-            .otherwise(F.concat(acc, F.array(p)))
+    none = F.expr(f"cast(array() as array<{PAIR}>)")
+
+    def step(s: Column, p: Column) -> Column:
+        ready = s["held"].isNotNull() & ~short(s["held"])
+        return F.struct(
+            F.when(ready, F.array(s["held"])).otherwise(none).alias("put"),
+            F.when(s["held"].isNull() | ready, p).otherwise(absorb(s["held"], p)).alias("held"),
         )
 
-    return F.aggregate(pairs, F.expr(f"cast(array() as array<{PAIR}>)"), step)
+    return fold_out(
+        pairs, PAIR, {"held": F.lit(None).cast(PAIR)}, step,
+        lambda s: F.when(s["held"].isNotNull(), F.array(s["held"])).otherwise(none),
+    )
 
 
 # --- packing --------------------------------------------------------------
@@ -298,24 +300,18 @@ def pack_paragraphs(paras: Column, max_chars: Column) -> Column:
     every bin but the first.
     """
 
-    def step(acc: Column, p: Column) -> Column:
+    def step(s: Column, p: Column) -> Column:
         n = F.length(p)
-        full = (F.size(acc["bin"]) > 0) & (acc["len"] + n + 2 > max_chars)
+        full = (F.size(s["bin"]) > 0) & (s["len"] + n + 2 > max_chars)
         return F.struct(
-            F.when(full, F.concat(acc["out"], F.array(F.array_join(acc["bin"], "\n\n"))))
-            .otherwise(acc["out"]).alias("out"),
-            F.when(full, F.array(p)).otherwise(F.concat(acc["bin"], F.array(p))).alias("bin"),
-            F.when(full, n).otherwise(acc["len"] + n + 2).alias("len"),
+            F.when(full, F.array(F.array_join(s["bin"], "\n\n"))).otherwise(_strings()).alias("put"),
+            F.when(full, F.array(p)).otherwise(F.concat(s["bin"], F.array(p))).alias("bin"),
+            F.when(full, n).otherwise(s["len"] + n + 2).alias("len"),
         )
 
-    return F.aggregate(
-        paras,
-        F.struct(_strings().alias("out"), _strings().alias("bin"), F.lit(0).alias("len")),
-        step,
-        lambda acc: F.when(
-            F.size(acc["bin"]) > 0,
-            F.concat(acc["out"], F.array(strip(F.array_join(acc["bin"], "\n\n")))),
-        ).otherwise(acc["out"]),
+    return fold_out(
+        paras, "string", {"bin": _strings(), "len": F.lit(0)}, step,
+        lambda s: F.when(F.size(s["bin"]) > 0, F.array(strip(F.array_join(s["bin"], "\n\n")))).otherwise(_strings()),
     )
 
 
@@ -330,13 +326,9 @@ def force_split(c: Column, size: int = 1500, overlap: int = 100) -> Column:
     slice_len = half + 2 - overlap
     ends = f"(?s)^(.*[{SENTENCE_END}\\n])"
 
-    def step(acc: Column, piece: Column) -> Column:
+    def step(s: Column, piece: Column) -> Column:
         return bind(
-            F.struct(
-                acc["out"].alias("out"),
-                F.concat(acc["buf"], piece["s"]).alias("buf"),
-                piece["final"].alias("final"),
-            ),
+            F.struct(F.concat(s["buf"], piece["s"]).alias("buf"), piece["final"].alias("final")),
             lambda v: F.when(
                 F.length(v["buf"]) > size,
                 bind(
@@ -344,14 +336,14 @@ def force_split(c: Column, size: int = 1500, overlap: int = 100) -> Column:
                     lambda m: bind(
                         F.when(m > 0, m + half + 1).otherwise(F.lit(size)),
                         lambda end: F.struct(
-                            F.concat(v["out"], F.array(strip(F.substr(v["buf"], F.lit(1), end)))).alias("out"),
+                            F.array(strip(F.substr(v["buf"], F.lit(1), end))).alias("put"),
                             F.when(v["final"] & (end == F.length(v["buf"])), F.lit(""))
                             .otherwise(F.substr(v["buf"], end - overlap + 1))
                             .alias("buf"),
                         ),
                     ),
                 ),
-            ).otherwise(F.struct(v["out"].alias("out"), v["buf"].alias("buf"))),
+            ).otherwise(F.struct(_strings().alias("put"), v["buf"].alias("buf"))),
         )
 
     pieces = bind(
@@ -361,13 +353,9 @@ def force_split(c: Column, size: int = 1500, overlap: int = 100) -> Column:
             lambda s, i: F.struct(s.alias("s"), (i == F.size(ps) - 1).alias("final")),
         ),
     )
-    return F.aggregate(
-        pieces,
-        F.struct(_strings().alias("out"), F.lit("").alias("buf")),
-        step,
-        lambda acc: F.when(
-            acc["buf"] != "", F.concat(acc["out"], F.array(strip(acc["buf"])))
-        ).otherwise(acc["out"]),
+    return fold_out(
+        pieces, "string", {"buf": F.lit("")}, step,
+        lambda s: F.when(s["buf"] != "", F.array(strip(s["buf"]))).otherwise(_strings()),
     )
 
 
@@ -414,41 +402,29 @@ def _piece(
 def split_long_pair(p: Column, size: int = 1500, overlap: int = 100) -> Column:
     """Parts of an over-long pair; each repeats the question and some context."""
 
-    def step(acc: Column, para: Column) -> Column:
-        full = (F.size(acc["parts"]) > 0) & (F.length(acc["text"]) + F.length(para) > size)
+    kind = "struct<content:string,answer:string>"
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def done(s: Column) -> Column:
+        return F.array(F.struct(
+            strip(s["text"]).alias("content"), F.array_join(s["parts"], "\n\n").alias("answer")
+        ))
+
+    def step(s: Column, para: Column) -> Column:
+        full = (F.size(s["parts"]) > 0) & (F.length(s["text"]) + F.length(para) > size)
         fresh = F.concat(
-            p["question"], F.lit("\n\n（续）\n\n"), overlap_text(last(acc["parts"]), overlap),
+            p["question"], F.lit("\n\n（续）\n\n"), overlap_text(last(s["parts"]), overlap),
             para, F.lit("\n\n"),
         )
-        done = F.struct(
-            strip(acc["text"]).alias("content"), F.array_join(acc["parts"], "\n\n").alias("answer")
-        )
         return F.struct(
-            F.when(full, F.concat(acc["out"], F.array(done))).otherwise(acc["out"]).alias("out"),
-            F.when(full, fresh).otherwise(F.concat(acc["text"], para, F.lit("\n\n"))).alias("text"),
-            F.when(full, F.array(para)).otherwise(F.concat(acc["parts"], F.array(para))).alias("parts"),
+            F.when(full, done(s)).otherwise(none).alias("put"),
+            F.when(full, fresh).otherwise(F.concat(s["text"], para, F.lit("\n\n"))).alias("text"),
+            F.when(full, F.array(para)).otherwise(F.concat(s["parts"], F.array(para))).alias("parts"),
         )
 
-    parts = F.aggregate(
-        paragraphs(p["answer"]),
-        F.struct(
-            F.expr("cast(array() as array<struct<content:string,answer:string>>)").alias("out"),
-            F.concat(p["question"], F.lit("\n\n")).alias("text"),
-            _strings().alias("parts"),
-        ),
-        step,
-        lambda acc: F.when(
-            F.size(acc["parts"]) > 0,
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        strip(acc["text"]).alias("content"),
-                        F.array_join(acc["parts"], "\n\n").alias("answer"),
-                    )
-                ),
-            ),
-        ).otherwise(acc["out"]),
+    parts = fold_out(
+        paragraphs(p["answer"]), kind, {"text": F.concat(p["question"], F.lit("\n\n")), "parts": _strings()}, step,
+        lambda s: F.when(F.size(s["parts"]) > 0, done(s)).otherwise(none),
     )
     return bind(
         parts,
@@ -480,47 +456,25 @@ def chunk_pairs(pairs: Column, size: int = 1500, overlap: int = 100) -> Column:
 def chunk_plain(c: Column, size: int = 1500, overlap: int = 100) -> Column:
     """Paragraphs packed to ``size`` with a tail of the chunk before."""
 
-    def step(acc: Column, para: Column) -> Column:
-        over = F.length(acc["cur"]) + F.length(para) > size
+    none = F.expr(f"cast(array() as array<{PIECE}>)")
+
+    def step(s: Column, para: Column) -> Column:
+        over = F.length(s["cur"]) + F.length(para) > size
         tail = F.when(
-            F.length(acc["cur"]) > overlap, F.right(acc["cur"], F.lit(overlap))
+            F.length(s["cur"]) > overlap, F.right(s["cur"], F.lit(overlap))
         ).otherwise(F.lit(""))
-        return (
-            F.when(
-                ~over,
-                F.struct(
-                    acc["out"].alias("out"),
-                    F.concat(acc["cur"], para, F.lit("\n\n")).alias("cur"),
-                ),
-            )
-            .when(
-                acc["cur"] != "",
-                F.struct(
-                    F.concat(acc["out"], F.array(_piece(strip(acc["cur"])))).alias("out"),
-                    F.concat(tail, F.lit("\n\n"), para, F.lit("\n\n")).alias("cur"),
-                ),
-            )
-            .otherwise(
-                F.struct(
-                    F.concat(
-                        acc["out"],
-                        F.transform(
-                            force_split(para, size, overlap), lambda x: _piece(x, forced=F.lit(True))
-                        ),
-                    ).alias("out"),
-                    F.lit("").alias("cur"),
-                )
-            )
+        forced = F.transform(force_split(para, size, overlap), lambda x: _piece(x, forced=F.lit(True)))
+        begun = s["cur"] != ""
+        return F.struct(
+            F.when(~over, none).when(begun, F.array(_piece(strip(s["cur"])))).otherwise(forced).alias("put"),
+            F.when(~over, F.concat(s["cur"], para, F.lit("\n\n")))
+            .when(begun, F.concat(tail, F.lit("\n\n"), para, F.lit("\n\n")))
+            .otherwise(F.lit("")).alias("cur"),
         )
 
-    return F.aggregate(
-        paragraphs(c),
-        F.struct(F.expr(f"cast(array() as array<{PIECE}>)").alias("out"), F.lit("").alias("cur")),
-        step,
-        lambda acc: F.when(
-            strip(acc["cur"]) != "",
-            F.concat(acc["out"], F.array(_piece(strip(acc["cur"])))),
-        ).otherwise(acc["out"]),
+    return fold_out(
+        paragraphs(c), PIECE, {"cur": F.lit("")}, step,
+        lambda s: F.when(strip(s["cur"]) != "", F.array(_piece(strip(s["cur"])))).otherwise(none),
     )
 
 

@@ -10,6 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from querent.functions import labels as lb
+from querent.functions import segment as sg
+from querent.functions import text as tx
 from querent.functions.arrays import top_by_count
 from querent.operators import catalog as ct
 from querent.operators import dedup as dd
@@ -295,3 +298,121 @@ def test_counting_words_grows_with_their_number(spark):
 
     seconds(1_000)
     assert seconds(80_000) < 5 * seconds(20_000) + 2
+
+
+def _seconds(df) -> float:
+    began = time.monotonic()
+    df.write.format("noop").mode("overwrite").save()
+    return time.monotonic() - began
+
+
+def _text_of(spark, pieces: list[str]):
+    held = spark.createDataFrame([("\n\n".join(pieces),)], "c string").cache()
+    held.count()
+    return held
+
+
+def _force_split(text: str, size: int, overlap: int) -> list[str]:
+    """Windows one after the other, by slicing the text itself."""
+    out, start = [], 0
+    while start < len(text):
+        end = start + size
+        if end >= len(text):
+            out.append(text[start:].strip())
+            break
+        cut = max((text.rfind(c, start, end) for c in "。！？\n"), default=-1)
+        if cut > start + size // 2:
+            end = cut + 1
+        out.append(text[start:end].strip())
+        start = end - overlap
+    return out
+
+
+@pytest.mark.parametrize("packed", [
+    lambda: sg.pack_paragraphs(tx.paragraphs(F.col("c")), F.lit(300)),
+    lambda: sg.chunk_plain(F.col("c"), 300, 40),
+    lambda: sg.split_long_pair(F.struct(
+        F.lit("q").alias("question"), F.col("c").alias("answer"), F.lit(1).alias("question_num"),
+        F.lit(0).cast("long").alias("start_pos"), F.lit(1).cast("long").alias("end_pos")), 300, 40),
+    lambda: sg.merge_short_pairs(F.transform(tx.paragraphs(F.col("c")), lambda p, i: F.struct(
+        p.alias("question"), F.lit("a").alias("answer"), i.alias("question_num"),
+        i.cast("long").alias("start_pos"), i.cast("long").alias("end_pos"))).cast(f"array<{sg.PAIR}>")),
+], ids=["bins", "plain", "long pair", "short pairs"])
+def test_packing_is_linear_in_the_pieces_of_a_text(spark, packed):
+    rng = random.Random(5)
+    pieces = [f"{i} " + "word " * rng.randint(1, 30) for i in range(80_000)]
+    part, whole = _text_of(spark, pieces[:20_000]), _text_of(spark, pieces)
+    _seconds(part.select(packed().alias("x")))
+    few, many = (_seconds(d.select(packed().alias("x"))) for d in (part, whole))
+    assert many <= 5 * few + 1
+
+
+def test_packing_equals_a_loop(spark):
+    rng = random.Random(6)
+    texts = [[], ["x" * 700], ["a" * 100] * 3] + [["y" * rng.choice((1, 30, 90, 200, 500)) for _ in range(n)] for n in (1, 2, 9, 150)]
+
+    def bins(paras):
+        out, cur, n = [], [], 0
+        for p in paras:
+            if cur and n + len(p) + 2 > 300:
+                out.append("\n\n".join(cur))
+                cur, n = [p], len(p)
+            else:
+                cur, n = [*cur, p], n + len(p) + 2
+        return out + (["\n\n".join(cur)] if cur else [])
+
+    def merged(paras):
+        out = []
+        for i, p in enumerate(paras):
+            if out and len(out[-1][0]) + 2 + len(out[-1][1]) < 50:
+                q, a, num = out[-1]
+                out[-1] = (q, f"{a}\n\n{p}\na", num)
+            else:
+                out.append((p, "a", i))
+        return out
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, paras array<string>")
+    pairs = F.transform("paras", lambda p, i: F.struct(
+        p.alias("question"), F.lit("a").alias("answer"), i.alias("question_num"),
+        i.cast("long").alias("start_pos"), i.cast("long").alias("end_pos"))).cast(f"array<{sg.PAIR}>")
+    for r in df.select("i", sg.pack_paragraphs(F.col("paras"), F.lit(300)).alias("bins"), sg.merge_short_pairs(pairs).alias("merged")).collect():
+        assert r["bins"] == bins(texts[r["i"]])
+        assert [(m["question"], m["answer"], m["question_num"]) for m in r["merged"]] == merged(texts[r["i"]])
+
+
+def test_forced_windows_equal_a_loop_and_are_linear(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab。 \n") if rng.random() < share else "x" for _ in range(n)) for n, share in ((900, .01), (3_001, .02), (301, .5), (5_000, 0.0))]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    for t, got in zip(texts, df.select(sg.force_split(F.col("c"), 300, 40).alias("x")).collect(), strict=True):
+        assert got["x"] == _force_split(t, 300, 40)
+    long = "".join(rng.choice("ab。 \n") if rng.random() < .01 else "x" for _ in range(4_000_000))
+    part, whole = _text_of(spark, [long[:1_000_000]]), _text_of(spark, [long])
+    _seconds(part.select(sg.force_split(F.col("c"), 300, 40).alias("x")))
+    few, many = (_seconds(d.select(sg.force_split(F.col("c"), 300, 40).alias("x"))) for d in (part, whole))
+    assert many <= 5 * few + 1
+
+
+def test_dictionaries_of_any_size(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnop一丁七万丈三上下不与丑专且世丘丙业东丝"
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(100_000)})
+    pattern = F.lit(lb.keyword_pattern(words))
+    texts = [" ".join(rng.choice(words) if rng.random() < 0.3 else f"zz{i}" for i in range(n)) for n in (40_000, 160_000)]
+    held = [_text_of(spark, [t]) for t in texts]
+    assert len(texts[1]) > 1_000_000
+    found = lambda d: d.select(F.regexp_extract_all("c", pattern, F.lit(1)).alias("x"))
+    assert found(held[0]).first()["x"] == [w for w in texts[0].split() if not w.startswith("zz")]
+    few, many = (_seconds(found(d)) for d in held)
+    assert many <= 5 * few + 1 and many < 30
+
+
+def test_the_longest_word_at_word_boundaries(spark):
+    rng = random.Random(9)
+    letters = "abcé中字+.# -"
+    words = [w for w in {"".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(600)}]
+    listed = "|".join(rf"\Q{w}\E" for w in sorted((w.lower() for w in words), key=len, reverse=True))
+    df = spark.createDataFrame([("".join(rng.choice(letters) for _ in range(300)),) for _ in range(200)], "c string")
+    tree, plain = (F.regexp_extract_all("c", F.lit(p), F.lit(1)) for p in (lb.keyword_pattern(words), rf"\b({listed})\b"))
+    assert df.where(tree != plain).isEmpty() and not df.where(F.size(tree) > 0).isEmpty()
+    assert df.where(F.size(lb.keywords(F.col("c"), None, [], term_patterns=[])) > 0).isEmpty()
