@@ -51,7 +51,7 @@ def in_pieces(values: Column, root: int = 2) -> Column:
 
 def fold_out(
     values: Column, kind: str, start: dict[str, Column], step: Callable[[Column, Column], Column],
-    finish: Callable[[Column], Column], levels: int = 4,
+    finish: Callable[[Column], Column], levels: int = 3,
 ) -> Column:
     """Array of all that a fold puts out, elements of type ``kind``.
 

@@ -355,7 +355,7 @@ def force_split(c: Column, size: int = 1500, overlap: int = 100) -> Column:
     )
     return fold_out(
         pieces, "string", {"buf": F.lit("")}, step,
-        lambda s: F.when(s["buf"] != "", F.array(strip(s["buf"]))).otherwise(_strings()),
+        lambda s: F.when(s["buf"] != "", F.array(strip(s["buf"]))).otherwise(_strings()), levels=2,
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as lb
 from ..functions import segment as sg
 from ..functions import text as tx
-from ..functions.arrays import bind
+from ..functions.arrays import bind, once
 from ..operators import catalog as ct
 from ..operators import dedup as dd
 from ..operators import quality as ql
@@ -93,24 +93,19 @@ def parse_and_chunk(documents: DataFrame, min_answer: int = 20, min_pair: int =
         | F.contains(path, F.lit(f"/{QUESTION_BANK}/"))
         | F.contains(path, F.lit(f"\\{QUESTION_BANK}\\"))
     )
-    of_bank = sg.chunk_pairs(
-        F.filter(bank_pairs(content), lambda p: F.length(tx.strip(p["answer"])) >= min_answer)
-    )
-    no_pairs = F.when(md != "", sg.chunk_markdown(md)).otherwise(sg.chunk_plain(content))
-    of_text = bind(
-        sg.parse_pairs(content),
-        lambda ps: F.when(
-            F.size(ps) > 0, sg.chunk_pairs(sg.merge_short_pairs(ps, min_pair))
-        ).otherwise(no_pairs),
-    )
-    pieces = (
-        documents.where(~tx.is_empty(content))
-        .select(
-            "source_path", "category",
-            F.posexplode(F.when(F.coalesce(is_bank, F.lit(False)), of_bank).otherwise(of_text)).alias("seq", "c"),
-        )
-        .select("source_path", "category", "seq", "c.*")
+    of_bank = F.filter(bank_pairs(F.col("content")), lambda p: F.length(tx.strip(p["answer"])) >= min_answer)
+    # two selects: the analyzer gives up on one expression as deep as both
+    parsed = once(
+        documents.where(~tx.is_empty(content)).select(
+            "source_path", "category", content.alias("content"), md.alias("md"), F.coalesce(is_bank, F.lit(False)).alias("bank")
+        ),
+        pairs=F.when(F.col("bank"), of_bank.cast(f"array<{sg.PAIR}>")).otherwise(sg.merge_short_pairs(sg.parse_pairs(F.col("content")), min_pair)),
     )
+    no_pairs = F.when(F.col("md") != "", sg.chunk_markdown(F.col("md"))).otherwise(sg.chunk_plain(F.col("content")))
+    pieces = once(
+        parsed,
+        pieces=F.when(F.col("bank") | (F.size("pairs") > 0), sg.chunk_pairs(F.col("pairs"))).otherwise(no_pairs),
+    ).select("source_path", "category", F.posexplode("pieces").alias("seq", "c")).select("source_path", "category", "seq", "c.*")
     kind = F.when(F.col("chunk_type") == "qa", "qa").when(F.col("md_title").isNotNull(), "md").otherwise("text")
     extras = ["category", "md_title", "is_split", "part", "force_split"]
     entries = F.array_compact(
