@@ -48,6 +48,8 @@ ASIDE_NAMES = frozenset(
     "popup promo promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe "
     "toolbar widget".split()
 )
+#: Whole class names and ids of what holds the content; words beside them are about the layout.
+CONTENT_NAMES = frozenset("article body content entry entry-content main post post-content story text".split())
 #: Elements that hold the content, whatever they are named.
 WHOLE = frozenset("html body main article".split())
 CLOSED_BY = {
@@ -74,18 +76,33 @@ class Part:
 class _Open:
     tag: str
     aside: bool
+    named: bool  # aside by its name alone
+    at: int  # place in the page
 
 
 def _named_aside(rest: str) -> bool:
-    for match in NAMES.findall(rest):
-        if ASIDE_NAMES & set(re.split(r"[^a-z]+", "".join(match).lower())):
-            return True
-    return False
+    """A word of a name marks an aside, unless another whole name says content and no whole name says aside."""
+    names = {n for match in NAMES.findall(rest) for n in "".join(match).lower().split()}
+    if not any(ASIDE_NAMES & set(re.split(r"[^a-z]+", n)) for n in names):
+        return False
+    return bool(names & ASIDE_NAMES) or not names & CONTENT_NAMES
 
 
 def parse(page: str) -> list[Part]:
-    """Parts of a page in order; elements left open end where their parents do."""
+    """Parts of a page in order; elements left open end where their parents do.
+
+    An element that holds a ``<main>`` or the page's first ``<article>`` is no
+    aside by its name: it wraps the content.
+    """
+    wrappers: set[int] = set()
+    parts = _parse(page, wrappers, False)
+    return _parse(page, wrappers, True) if wrappers else parts
+
+
+def _parse(page: str, wrappers: set[int], known: bool) -> list[Part]:
+    """Parts; places of named asides that wrap the content are put into ``wrappers``, or left out if ``known``."""
     parts: list[Part] = []
+    articles = 0
     stack: list[_Open] = []
     depth: Counter = Counter()
     asides = 0
@@ -118,11 +135,15 @@ def parse(page: str) -> list[Part]:
             within = asides > 0
         inside = depth["article"] + depth["main"] > 0
         head = tag == "header" and inside and not asides
-        aside = not end and (tag in ASIDE and not head or tag not in WHOLE and not head and _named_aside(rest))
+        named = not end and tag not in WHOLE and not head and not (known and m.start() in wrappers) and _named_aside(rest)
+        aside = named or not end and tag in ASIDE and not head
+        if not end and (tag == "main" or tag == "article" and not articles) and not known:
+            wrappers.update(o.at for o in stack if o.named)
+        articles += not end and tag == "article"
         kind = f"<{tag}{' aside' if within or aside else ''}"
         parts.append(Part(kind, 0, "", tag in BLOCKS or tag == "br", within or aside, inside))
         if not end and tag not in VOID and not rest.endswith("/"):
-            stack.append(_Open(tag, aside))
+            stack.append(_Open(tag, aside, named and tag not in ASIDE, m.start()))
             depth[tag] += 1
             asides += aside
     return parts
