@@ -3,9 +3,10 @@
 Both models share one vocabulary (all words of the documents, or the most
 frequent ones where a size is asked for), order and smoothing; they differ in
 what they count: the target documents, or all documents.  No task holds a
-model.  Words are 64-bit hashes; the places where a word stands are dealt to
-buckets by the word, whose number grows with the corpus, and a bucket counts
-and scores its own words, bigrams and contexts.  What a word or bigram with
+model.  Words are 64-bit hashes; texts are read in portions, whose distinct
+bigrams are counted and dealt to buckets by their word.  Buckets, more of them
+the larger the corpus, add up the counts and send them back, and the portions'
+losses are summed by document.  What a word or bigram with
 about a thousandth of all places or more adds is scored where the text is read,
 from counts every task holds (there can only be about a thousand of them), so no
 bucket is hot.
@@ -20,20 +21,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch_path
 from .decontaminate import words_of
 
 UNKNOWN, START = 0, 1
 #: Words and bigrams with a share of one in so many places are counted ahead.
 SHARE = 1_024
-#: Places in a bucket, and places a task holds while it deals them out.
+#: Places of the corpus to a bucket, and places a task holds while it deals them out.
 BUCKET, PORTION = 1 << 20, 1 << 21
-#: Words a task counts at a time.
-_HELD = 1_000_000
+#: Words a task counts at a time, and words whose hashes it remembers.
+_HELD, _KNOWN = 1_000_000, 1 << 18
 
 
 def _rows(counts: list[tuple[bytes | None, int]]) -> pd.DataFrame:
@@ -110,7 +112,7 @@ class _Codes(dict):
 
     def __missing__(self, word: bytes) -> int:
         code = UNKNOWN if self.only is not None and word not in self.only else xxhash.xxh64_intdigest(word)
-        if len(self) < _HELD:
+        if len(self) < _KNOWN:
             self[word] = code
         return code
 
@@ -274,19 +276,64 @@ def _count_ahead(keyed: DataFrame, only, words: np.ndarray, pairs: np.ndarray, s
     )
 
 
-_DEALT = "bucket int, base long, words binary, runs binary, pairs binary, marks binary, docs binary, sums binary"
+_DEALT = "bucket int, base long, keys binary, ints binary, docs binary"
+
+
+def _small(*arrays: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes as they need, bytes of one weight together, compressed."""
+    out = []
+    for a in arrays:
+        a = np.ascontiguousarray(a, "<i8")
+        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+        out.append(np.array([len(a), width], "<u4").tobytes())
+        out.append(a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return zstandard.compress(b"".join(out), 1)
+
+
+def _large(packed: bytes) -> list[np.ndarray]:
+    data, at, out = zstandard.decompress(packed), 0, []
+    while at < len(data):
+        n, width = np.frombuffer(data, "<u4", 2, at).tolist()
+        held = np.zeros((n, 8), np.uint8)
+        held[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 8).reshape(width, n).T
+        out.append(held.view("<i8").ravel())
+        at += 8 + n * width
+    return out
+
+
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, small in size and from 0 on."""
+    d = np.diff(a, prepend=0)
+    return np.where(d < 0, -2 * d - 1, 2 * d)
+
+
+def _summed(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.where(steps & 1, -((steps + 1) >> 1), steps >> 1))
+
+
 #: Bytes of a bigram beside those of its word.
 _LOW = 6
 
 
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
 def _deal(only, ahead, buckets: int):
-    """Places by bucket; with them, once a document, its length and what is scored ahead."""
+    """Distinct bigrams of each portion and their counts by bucket, and the documents they stand in.
+
+    Once a portion, in a row without ``ints``, go the lengths of its documents
+    and what is scored ahead.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: _Ahead = ahead()
         task = TaskContext.get().partitionId()
         for turn, p in enumerate(_places(batches, only())):
-            base = task << 42 | turn << 22  # documents are numbered by task, portion and place in it
+            base = task << 22 | turn
             at, pair = _find(known.words, p.word), _find(known.pairs, p.pair)
             n = len(p.code)
             sums = [p.n.astype(float)]
@@ -298,84 +345,119 @@ def _deal(only, ahead, buckets: int):
                 loss[own] += np.log(known.context[m][at[own]] + known.weight)
                 loss[p.first] += np.log(known.docs[m] + known.weight)
                 sums.append(np.bincount(p.doc, loss, n))
-            rows = [((task + turn) % buckets, base, *[b""] * 4, p.code.tobytes(), np.array(sums).tobytes())]
-            number = np.uint16 if n <= 1 << 16 else np.uint32
+            rows = [((task + turn) % buckets, base, p.code.tobytes(), b"", np.array(sums).tobytes())]
             left = np.flatnonzero(pair < 0)
             bucket = (np.where(at[left] >= 0, p.pair[left], p.word[left]) >> np.uint64(20)) % np.uint64(buckets)
-            order = np.lexsort((p.word[left], bucket))
+            order = np.lexsort((p.pair[left], p.word[left], bucket))
             left, bucket = left[order], bucket[order].astype(np.int64)
+            # the bigrams of a word by the first document they stand in: documents differ little from place to place
+            runs = _starts(bucket, p.word[left], p.pair[left]) if len(left) else left
+            order = np.lexsort((p.doc[left[runs]], p.word[left[runs]], bucket[runs]))
+            sizes = np.diff(runs, append=len(left))[order]
+            left = left[np.repeat(runs[order] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(left))]
             ends = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in np.unique(bucket).tolist():
+            for b in np.flatnonzero(np.diff(ends)).tolist():
                 mine = left[ends[b] : ends[b + 1]]
-                words, runs = np.unique(p.word[mine], return_counts=True)
-                low = p.pair[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_LOW]
-                marks = np.packbits([p.last[mine], p.wanted[p.doc[mine]]], axis=1)
+                wanted, goes_on = p.wanted[p.doc[mine]], ~p.last[mine]
+                pairs, words = _starts(p.word[mine], p.pair[mine]), _starts(p.word[mine])
+                low = p.pair[mine[pairs]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_LOW]
+                each = lambda of, starts: np.add.reduceat(of.astype(np.int64), starts)
                 rows.append((
-                    b, base, words.tobytes(), runs.astype(np.int32).tobytes(), low.tobytes(), marks.tobytes(),
-                    p.doc[mine].astype(number).tobytes(), b"",
+                    b, base, p.word[mine[words]].tobytes() + low.tobytes(),
+                    _small(
+                        np.diff(np.searchsorted(pairs, words), append=len(pairs)),
+                        np.diff(pairs, append=len(mine)), each(wanted, pairs),
+                        each(goes_on, words), each(goes_on & wanted, words),
+                    ),
+                    _small(_steps(p.doc[mine]), np.packbits(~goes_on)),
                 ))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _DEALT.split(", ")])
 
     return run
 
 
-def _score(ahead):
-    """Sums by document of what the places of one bucket add."""
+def _total(ahead):
+    """Counts in all documents of the bigrams and words of one bucket, for each portion in the order it sent them."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         known: _Ahead = ahead()
-        direct = rows["sums"].map(len) > 0
-        out = []
-        for base, codes, sums in rows.loc[direct, ["base", "docs", "sums"]].itertuples(index=False):
-            out.append((base, codes, b"", sums))
-        rows = rows[~direct]
-        if len(rows):
-            parts = []
-            for r in rows.itertuples():
-                runs = np.frombuffer(r.runs, np.int32)
-                n = int(runs.sum())
-                low = np.zeros((n, 8), np.uint8)
-                low[:, :_LOW] = np.frombuffer(r.pairs, np.uint8).reshape(n, _LOW)
-                words = np.repeat(np.frombuffer(r.words, np.uint64), runs)
-                last, wanted = np.unpackbits(np.frombuffer(r.marks, np.uint8).reshape(2, -1), axis=1, count=n).astype(bool)
-                docs = np.frombuffer(r.docs, np.uint16 if len(r.docs) == 2 * n else np.uint32)
-                parts.append((words, _pair(low.view("<u8").ravel(), words), last, wanted, r.base + docs.astype(np.int64)))
-            word, pair, last, wanted, doc = (np.concatenate(v) for v in zip(*parts, strict=True))
-            del rows, parts
-            pair = np.unique(pair, return_inverse=True)[1]
-            each, word = np.unique(word, return_inverse=True)
-            at = _find(known.words, each)
-            docs, doc = np.unique(doc, return_inverse=True)
-            sums = []
-            for m, own in enumerate((wanted.astype(float), np.ones(len(word)))):
-                n = np.where(at >= 0, known.n[m][at] if len(known.words) else 0, np.bincount(word, own))
-                loss = -np.log(np.bincount(pair, own)[pair] + known.single(n, m)[word])
-                # the context of a frequent word is scored ahead
-                follow = np.where(at >= 0, 0, np.log(np.bincount(word, own * ~last) + known.weight))
-                sums.append(np.bincount(doc, loss + np.where(last, 0, follow[word])))
-            # back by portion, whose documents stand together
-            portions, starts = np.unique(docs >> 22, return_index=True)
-            for portion, x, y in zip(portions.tolist(), starts, [*starts[1:], len(docs)], strict=True):
-                numbers = (docs[x:y] - (portion << 22)).astype(np.int32)
-                part = np.array([v[x:y] for v in sums], np.float32)
-                out.append((portion << 22, b"", numbers.tobytes(), part.tobytes()))
-        return pd.DataFrame(out, columns=["base", "codes", "docs", "sums"])
+        direct = rows["ints"].map(len) == 0
+        passed, rows = rows.loc[direct, ["base", "keys", "ints", "docs"]], rows[~direct]
+        if not len(rows):
+            return passed
+        sent = [_large(ints) for ints in rows["ints"]]
+        runs = [r[0] for r in sent]
+        words = [np.frombuffer(k, np.uint64, len(r)) for k, r in zip(rows["keys"], runs, strict=True)]
+        pairs = []
+        for k, r, w in zip(rows["keys"], runs, words, strict=True):
+            low = np.zeros((int(r.sum()), 8), np.uint8)
+            low[:, :_LOW] = np.frombuffer(k, np.uint8, offset=8 * len(r)).reshape(-1, _LOW)
+            pairs.append(_pair(low.view("<u8").ravel(), np.repeat(w, r)))
+        each, word = np.unique(np.concatenate(words), return_inverse=True)
+        pair = np.unique(np.concatenate(pairs), return_inverse=True)[1]
+        of_pair = np.repeat(word, np.concatenate(runs))
+        at = _find(known.words, each)
+        ours = []
+        for m, (n, follow) in enumerate(((2, 4), (1, 3))):  # target first
+            n, follow = (np.concatenate([r[i] for r in sent]) for i in (n, follow))
+            single = np.where(at >= 0, known.n[m][at] if len(known.words) else 0, np.bincount(of_pair, n))
+            # one more than counted; 0 is the context of a frequent word, scored ahead
+            context = np.where(at >= 0, 0, 1 + np.bincount(word, follow))
+            ours.append((np.bincount(pair, n)[pair], single[word], context[word]))
+        out, x, y = [], 0, 0
+        for base, r, own, docs in zip(rows["base"], runs, (s[1] for s in sent), rows["docs"], strict=True):
+            p, w = slice(x, x + int(r.sum())), slice(y, y + len(r))
+            x, y = p.stop, w.stop
+            told = [v[part] for counts in ours for v, part in zip(counts, (p, w, w), strict=True)]
+            out.append((base, b"", _small(r, own, *told), docs))
+        return pd.concat([passed, pd.DataFrame(out, columns=passed.columns)])
 
     return run
 
 
-def _gather(rows: pd.DataFrame) -> pd.DataFrame:
+def _gather(ahead):
     """Sums of the documents of one portion, from what its buckets and the scan hand on."""
-    direct = rows["codes"].map(len) > 0
-    first = rows[direct].iloc[0]
-    n, *sums = np.frombuffer(first["sums"]).reshape(3, -1).copy()
-    for docs, part in zip(rows["docs"][~direct], rows["sums"][~direct], strict=True):
-        docs = np.frombuffer(docs, np.int32)  # each once
-        for total, some in zip(sums, np.frombuffer(part, np.float32).reshape(2, -1), strict=True):
-            total[docs] += some
-    return pd.DataFrame({
-        "code": np.frombuffer(first["codes"], np.int64), "n": n.astype(np.int64), "t": sums[0], "b": sums[1]
-    })
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        known: _Ahead = ahead()
+        direct = rows["ints"].map(len) == 0
+        first = rows[direct].iloc[0]
+        n, *sums = np.frombuffer(first["docs"]).reshape(3, -1).copy()
+        for ints, docs in zip(rows["ints"][~direct], rows["docs"][~direct], strict=True):
+            runs, own, *told = _large(ints)
+            doc, last = _large(docs)
+            doc = _summed(doc)
+            goes_on = np.unpackbits(last.astype(np.uint8), count=len(doc)) == 0
+            word = np.repeat(np.arange(len(runs)), runs)
+            for m, (pair, single, context) in enumerate((told[:3], told[3:])):
+                loss = np.repeat(-np.log(pair + known.single(single, m)[word]), own)
+                follow = np.zeros(len(runs))
+                some = context > 0
+                follow[some] = np.log(context[some] - 1 + known.weight)
+                loss += np.where(goes_on, np.repeat(follow[word], own), 0)
+                sums[m] += np.bincount(doc, loss, len(n))
+        return pd.DataFrame({"code": np.frombuffer(first["keys"], np.int64), "n": n.astype(np.int64), "t": sums[0], "b": sums[1]})
+
+    return run
+
+
+def _marked(keyed: DataFrame, targets: DataFrame) -> DataFrame:
+    """``keyed`` with ``wanted``, whether the doc_id is a target.
+
+    Only ids are shuffled: targets come back as one bit per row, 64 rows to a
+    number, written so that Spark knows their size.  Below its threshold (10 MB
+    are some 40 million rows) they travel to the texts, beyond it the texts are
+    shuffled to meet them.
+    """
+    block, bit = F.shiftright("place", 6), (F.col("place") % 64).cast("int")
+    wanted = targets.select("doc_id").where("doc_id is not null")
+    bits = materialize(
+        keyed.select("doc_id", "place").join(wanted, "doc_id", "left_semi")
+        .groupBy(block.alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")),
+        "targets",
+    )
+    marked = keyed.withColumn("block", block).join(bits, "block", "left")
+    return marked.withColumn("wanted", F.coalesce(F.getbit("bits", bit) == 1, F.lit(False)))
 
 
 def score_documents(
@@ -395,25 +477,24 @@ def score_documents(
     ``<unk>``.
     """
     spark = docs.sparkSession
-    wanted = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("wanted", F.lit(True))
     # rows of one code have one doc_id and text, so one result
-    keyed = materialize(
-        docs.select("doc_id", "text").join(wanted, "doc_id", "left").select(
-            "doc_id", F.xxhash64("doc_id", "text").alias("code"), F.coalesce("wanted", F.lit(False)).alias("wanted"), "text"
-        ),
-        "keyed",
+    keyed = docs.select(
+        "doc_id", "text", F.xxhash64("doc_id", "text").alias("code"), F.monotonically_increasing_id().alias("place")
     )
+    path = scratch_path(spark, "keyed")
+    keyed.write.option("compression", "zstd").parquet(path)
+    keyed = spark.read.schema(keyed.schema).parquet(path)
     shared = size and spark.sparkContext.broadcast(frozenset(vocabulary(docs, size)))
     only = lambda: shared.value if shared else None
-    texts = keyed.select("code", "wanted", "text")
+    texts = _marked(keyed, targets).select("code", "wanted", "text")
     words, pairs, distinct = _frequent(texts, only, share)
     held = spark.sparkContext.broadcast(_count_ahead(texts, only, words, pairs, size or distinct + 2, weight))
     ahead = lambda: held.value
     buckets = -(-int(held.value.places[1]) // BUCKET) or 1
     sums = (
         texts.mapInPandas(_deal(only, ahead, buckets), _DEALT)
-        .groupBy("bucket").applyInPandas(_score(ahead), "base long, codes binary, docs binary, sums binary")
-        .groupBy("base").applyInPandas(_gather, "code long, n long, t double, b double")
+        .groupBy("bucket").applyInPandas(_total(ahead), "base long, keys binary, ints binary, docs binary")
+        .groupBy("base").applyInPandas(_gather(ahead), "code long, n long, t double, b double")
         # rows of one code have equal sums
         .groupBy("code").agg(F.min(F.struct("n", "t", "b")).alias("s"))
     )

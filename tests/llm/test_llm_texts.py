@@ -305,8 +305,9 @@ def test_cross_entropy_difference(spark, odd):
     assert lm_scoring.score_documents(odd.limit(0), good.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("share", [1, 6, 1_024])
-def test_cross_entropy_of_all_words(spark, share):
+@pytest.mark.parametrize("share, bucket", [(1, 1 << 20), (6, 50), (1_024, 50), (1_024, 1 << 20)])
+def test_cross_entropy_of_all_words(spark, monkeypatch, share, bucket):
+    monkeypatch.setattr(lm_scoring, "BUCKET", bucket)
     chance = random.Random(share)
     texts = [" ".join(f"w{int(chance.paretovariate(0.6))}" for _ in range(chance.randint(0, 60))) for _ in range(40)]
     docs = spark.createDataFrame([(i % 38, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
@@ -332,6 +333,14 @@ def test_cross_entropy_of_all_words(spark, share):
     assert np.allclose([g[2:] for g in got], [w[2:] for w in want], atol=3e-6)
 
 
+def test_counts_and_places_come_back():
+    chance = np.random.default_rng(4)
+    for top in (1, 200, 1 << 20, 1 << 40):
+        a, b = chance.integers(0, top, 300), np.zeros(0, np.int64)
+        assert [x.tolist() for x in lm_scoring._large(lm_scoring._small(a, b, a[:7]))] == [a.tolist(), [], a[:7].tolist()]
+        assert lm_scoring._summed(lm_scoring._steps(a)).tolist() == a.tolist()
+
+
 def test_rare_words_tell_documents_apart(spark):
     # 2,000 frequent words of one language, and a rarer one of which half is target
     many = [(i, " ".join(f"often{j}" for j in range(2_000))) for i in range(20)]
