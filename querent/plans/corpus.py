@@ -169,14 +169,16 @@ def build_index(chunks: DataFrame, path: str, encoder, dim: int, text: str = "co
 
 
 def repair_round(
-    documents: DataFrame, types: list[str], extractor: Callable[[DataFrame], DataFrame]
+    documents: DataFrame, types: list[str], extractor: Callable[[DataFrame], DataFrame], chunks: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """One round over documents without text.
 
     ``extractor`` gets the failed rows and adds ``direct`` and ``fallback``
     attempts.  Rows it cannot help go to the retry queue; the others replace
     their document and are chunked anew.  The extractor runs once: its answers
-    are written before they are used.
+    are written before they are used.  With ``chunks``, the chunk table before
+    the round, the one after it is made: new chunks stand for all old ones of
+    their document, so a second round doubles none.
     """
     failed = sk.retry_rows(documents, "full_text", types)
     tried = materialize(
@@ -192,4 +194,8 @@ def repair_round(
     )
     merged = ct.merge_reprocessed(documents, repaired, "source_path", ["full_text"])
     changed = merged.join(repaired.select("source_path"), "source_path", "left_semi")
-    return {"documents": merged, "queue": queue, "new_chunks": parse_and_chunk(changed)}
+    out = {"documents": merged, "queue": queue, "new_chunks": parse_and_chunk(changed)}
+    if chunks is not None:
+        kept = chunks.join(repaired.select(F.col("source_path").alias("source_file")).distinct(), "source_file", "left_anti")
+        out["chunks"] = kept.unionByName(out["new_chunks"])
+    return out

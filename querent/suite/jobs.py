@@ -18,12 +18,13 @@ from ..plans import corpus as pc
 from ..plans import interview as pi
 from ..session import scratch_path
 from ..sources import files as fl
+from ..sources import schemas as sm
 from ..sources import sinks as sk
 from ..sources import tables as tb
 from ..streaming import jobs as st
 from .corpus import DIFFICULTY, _CLASSED, _FILES, _STATS, WORDS, chunk_rows, labelled, listing, _LABELLED
 from .dedup import HASHED
-from .interview import RAW, _SESSION_STATS, _ZERO, scored
+from .interview import RAW, _REPORTS, _SESSION_STATS, _ZERO, scored
 from .quality import LIMITS, _CHECKED, checked
 from .registry import query
 from .segment import DEMO_WORDS, MARKED, V_DRESSED, V_SPACED, _q_keywords as q_keywords, _sql_dress, dressed, q_chunks, q_force, q_sections, shown_chunks, spaced
@@ -74,6 +75,44 @@ def s06(spark, sf):
     return spark.read.option("header", "true").schema("class string, files bigint").csv(b)
 
 
+@query("s07_four_tables", using("v_sessions v_answers v_evaluations v_latest", f""", {_REPORTS}
+    SELECT 'sessions' AS name, session_id, 1::BIGINT AS n, status AS shown FROM v_sessions
+    UNION ALL SELECT 'answers', session_id, count(*), md5(string_agg(concat(id, ' ', question_id, ' ', user_answer, ' ', is_followup, ' ', coalesce(parent_question_id::VARCHAR, '-')), chr(10) ORDER BY id)) FROM v_answers GROUP BY session_id
+    UNION ALL SELECT 'evaluations', session_id, count(*), CAST(sum(CAST(technical_accuracy AS DECIMAL(20,4))) AS VARCHAR) FROM v_evaluations GROUP BY session_id
+    UNION ALL SELECT 'reports', session_id, 1, printf('%.4f', round(avg_total_score, 4)) FROM reports"""))
+def s07_tables(spark, sf):
+    """Sessions, answers, evaluations and reports in their stored layouts, each by day, read back from there."""
+    from .interview import reports as made
+    day = lambda micros: F.to_date(F.timestamp_micros(micros))
+    s, e = sessions(spark, sf), evaluations(spark, sf)
+    days = s.select(F.col("session_id"), day("start_time").alias("session_date"))
+    time = F.timestamp_micros
+    tables = {
+        "sessions": (sm.SESSIONS, s.select("session_id", "status", time("start_time").alias("start_time"), time("end_time").alias("end_time"))),
+        "answers": (sm.ANSWERS, answers(spark, sf)),
+        "evaluations": (sm.EVALUATIONS, e.withColumn("created_at", time("created_at"))),
+        "reports": (sm.REPORTS, made(spark, sf).select(
+            "session_id", F.col("avg_total_score").alias("overall_score"), "avg_technical_accuracy", "avg_clarity", "avg_depth_breadth",
+            F.col("pass_rate").alias("correct_rate"))),
+    }
+    stored = {}
+    for name, (schema, rows) in tables.items():
+        path = scratch_path(spark, name)
+        tb.write_table(tb.conform(rows.join(days, "session_id", "left"), schema), path, "session_date")
+        stored[name] = tb.read_table(spark, path, schema).withColumn("session_id", F.col("session_id").cast("bigint"))
+    line = F.concat_ws(" ", "id", "question_id", "user_answer", "is_followup", F.coalesce("parent_question_id", F.lit("-")))
+    told = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"]), "\n"))
+    one = F.lit(1).cast("bigint").alias("n")
+    return (
+        stored["sessions"].select(F.lit("sessions").alias("name"), "session_id", one, F.col("status").alias("shown"))
+        .unionByName(stored["answers"].groupBy("session_id").agg(F.lit("answers").alias("name"), F.count("*").alias("n"), told.alias("shown")))
+        .unionByName(stored["evaluations"].groupBy("session_id").agg(
+            F.lit("evaluations").alias("name"), F.count("*").alias("n"), F.sum(F.col("technical_accuracy").cast("decimal(20,4)")).cast("string").alias("shown")))
+        .unionByName(stored["reports"].select(
+            F.lit("reports").alias("name"), "session_id", one, F.format_string("%.4f", F.round("overall_score", 4)).alias("shown")))
+    )
+
+
 _SESSION = "session_id bigint, start_time bigint, end_time bigint, status string, session_date string"
 
 
@@ -314,15 +353,43 @@ def p7_chunks(spark, sf):
     return shown_chunks(pc.repair_round(d, [".pdf", ".docx"], again)["new_chunks"])
 
 
+@query("p7_chunk_table", using("v_docs", f""", {_FAILED}, v_after AS (SELECT * FROM (SELECT f.doc_id, f.source_file, d.category, false AS bank, false AS md,
+        CASE WHEN {q_strip('full_text')} = '' AND file_type IN ('.pdf', '.docx') AND length({q_strip('f.text')}) > 0 THEN f.text ELSE full_text END AS text
+        FROM f JOIN v_docs d ON d.doc_id = f.doc_id) WHERE {q_strip('text')} <> ''), {q_chunks("v_after")} SELECT * FROM chunks"""))
+def p7_table(spark, sf):
+    """All chunks after the round: those of repaired documents take the place of their old ones."""
+    d = with_failures(spark, sf)
+    again = lambda rows: rows.select(
+        "source_path", "file_type", F.col("whole").alias("direct"), F.lit(None).cast("string").alias("fallback"))
+    return shown_chunks(pc.repair_round(d, [".pdf", ".docx"], again, pc.parse_and_chunk(d))["chunks"])
+
+
+def _q_prompt() -> str:
+    """The report prompt over the columns of a report row; a tenth is rounded up from its half."""
+    tenth = lambda c: f"printf('%.1f', round({c}, 1))"
+    fields = {
+        "job_type": "'technical'", "difficulty": "'进阶'", "total_questions": "total_count",
+        "correct_rate": f"concat({tenth('pass_rate * 100')}, '%')", "avg_technical": tenth("avg_technical_accuracy"),
+        "avg_clarity": tenth("avg_clarity"), "avg_depth": tenth("avg_depth_breadth"), "answer_details": "digest",
+    }
+    out = lit(sc.REPORT_PROMPT)
+    for name, column in fields.items():
+        out = f"replace({out}, '{{{name}}}', CAST({column} AS VARCHAR))"
+    return out
+
+
 @query("p8_session_report", using("v_sessions v_latest v_answers", f""", rs AS (SELECT * FROM v_latest l WHERE EXISTS (SELECT 1 FROM v_answers a
         WHERE NOT a.is_followup AND a.session_id = l.session_id AND a.question_id = l.question_id)), st AS ({_SESSION_STATS} FROM rs GROUP BY session_id),
     m AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id) AS i FROM v_answers WHERE NOT is_followup),
     dg AS (SELECT m.session_id, string_agg(concat('Question ', i, ': ', substr(user_answer, 1, 60), '...', chr(10), '  Score: ', printf('%.1f', l.total_score), '/10', chr(10), '  Weaknesses: ', chr(10)), chr(10) ORDER BY i) AS digest
-        FROM m JOIN v_latest l ON m.session_id = l.session_id AND m.question_id = l.question_id GROUP BY m.session_id)
-    SELECT v.session_id, {_ZERO}, coalesce(digest, 'No answer records') AS digest FROM v_sessions v LEFT JOIN st s ON s.session_id = v.session_id LEFT JOIN dg ON dg.session_id = v.session_id"""))
+        FROM m JOIN v_latest l ON m.session_id = l.session_id AND m.question_id = l.question_id GROUP BY m.session_id),
+    report AS (SELECT v.session_id, v.status, (end_time - start_time) / 6e7 AS total_minutes,
+        CASE WHEN s.total_count > 0 THEN (end_time - start_time) / 6e7 / s.total_count ELSE 0e0 END AS minutes_per_question, {_ZERO},
+        CASE WHEN s.session_id IS NULL THEN 'No questions were completed' ELSE '' END AS note, coalesce(digest, 'No answer records') AS digest
+        FROM v_sessions v LEFT JOIN st s ON s.session_id = v.session_id LEFT JOIN dg ON dg.session_id = v.session_id)
+    SELECT *, {_q_prompt()} AS prompt FROM report"""))
 def p8(spark, sf):
-    r = pi.session_report(sessions(spark, sf), answers(spark, sf), scored(spark, sf), digits=RAW)["reports"]
-    return r.drop("status", "total_minutes", "minutes_per_question", "note", "prompt")
+    return pi.session_report(sessions(spark, sf), answers(spark, sf), scored(spark, sf), digits=RAW)["reports"]
 
 
 @query("q04_extract_questions", using("v_docs", f""", {V_DRESSED}, {CLEANED.replace("v_docs", "v_dressed")},
