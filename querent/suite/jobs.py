@@ -76,10 +76,10 @@ def s06(spark, sf):
 
 
 @query("s07_four_tables", using("v_sessions v_answers v_evaluations v_latest", f""", {_REPORTS}
-    SELECT 'sessions' AS name, session_id, 1::BIGINT AS n, status AS shown FROM v_sessions
-    UNION ALL SELECT 'answers', session_id, count(*), md5(string_agg(concat(id, ' ', question_id, ' ', user_answer, ' ', is_followup, ' ', coalesce(parent_question_id::VARCHAR, '-')), chr(10) ORDER BY id)) FROM v_answers GROUP BY session_id
-    UNION ALL SELECT 'evaluations', session_id, count(*), CAST(sum(CAST(technical_accuracy AS DECIMAL(20,4))) AS VARCHAR) FROM v_evaluations GROUP BY session_id
-    UNION ALL SELECT 'reports', session_id, 1, printf('%.4f', round(avg_total_score, 4)) FROM reports"""))
+    SELECT 'sessions' AS name, session_id, 1::BIGINT AS n, status AS shown, NULL::DOUBLE AS score FROM v_sessions
+    UNION ALL SELECT 'answers', session_id, count(*), md5(string_agg(concat(id, ' ', question_id, ' ', user_answer, ' ', is_followup, ' ', coalesce(parent_question_id::VARCHAR, '-')), chr(10) ORDER BY id)), NULL FROM v_answers GROUP BY session_id
+    UNION ALL SELECT 'evaluations', session_id, count(*), CAST(sum(CAST(technical_accuracy AS DECIMAL(20,4))) AS VARCHAR), NULL FROM v_evaluations GROUP BY session_id
+    UNION ALL SELECT 'reports', session_id, 1, '', avg_total_score FROM reports"""))
 def s07_tables(spark, sf):
     """Sessions, answers, evaluations and reports in their stored layouts, each by day, read back from there."""
     from .interview import reports as made
@@ -109,7 +109,8 @@ def s07_tables(spark, sf):
         .unionByName(stored["evaluations"].groupBy("session_id").agg(
             F.lit("evaluations").alias("name"), F.count("*").alias("n"), F.sum(F.col("technical_accuracy").cast("decimal(20,4)")).cast("string").alias("shown")))
         .unionByName(stored["reports"].select(
-            F.lit("reports").alias("name"), "session_id", one, F.format_string("%.4f", F.round("overall_score", 4)).alias("shown")))
+            F.lit("reports").alias("name"), "session_id", one, F.lit("").alias("shown"), F.col("overall_score").alias("score")),
+            allowMissingColumns=True)
     )
 
 
