@@ -8,6 +8,7 @@ from ..functions import segment as sg
 from ..functions import text as tx
 from ..operators import catalog as ct
 from ..sources import files as fl
+from ..session import materialize
 from .registry import query
 from .segment import HEADED, PAIRS, V_DRESSED, dressed
 from .views import docs, lit, q_any, q_case, q_strip, table, using
@@ -234,9 +235,9 @@ _J7 = f"""{V_DRESSED}, {PAIRS}, x AS (SELECT * FROM pairs WHERE answer <> ''), {
 
 def _two(spark, sf):
     n = dressed(spark, sf).select("doc_id", sg.normalise_document(F.col("text")).alias("t"))
-    explicit = n.select("doc_id", F.inline(sg.pairs_by_markers(F.col("t"))))
-    headings = n.select("doc_id", F.inline(sg.pairs_by_headings(F.col("t"))))
-    return explicit, headings
+    # Both kinds are read more than once, so texts are parsed once and the pairs written.
+    made = materialize(n.select("doc_id", sg.pairs_by_markers(F.col("t")).alias("e"), sg.pairs_by_headings(F.col("t")).alias("h")), "pairs")
+    return made.select("doc_id", F.inline("e")), made.select("doc_id", F.inline("h"))
 
 
 @query("j07_outside_pairs", using("v_docs", f", {_J7} SELECT doc_id, question, start_pos, end_pos FROM y"))
