@@ -7,6 +7,7 @@ on at most k rows per query.  Neither side passes through the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -211,6 +212,17 @@ def _final(found: DataFrame, k: int, id_col: str) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _grid(blocks: int, cores: int) -> tuple[int, int]:
+    """Groups of query blocks, and parts of the index that each of them meets apart.
+
+    The index travels once to every group, the queries once to every part, so
+    what is shuffled grows with the rows, not with pairs of blocks; blocks of a
+    group and a part are paired where they have met.
+    """
+    groups = min(blocks, math.ceil(2 * math.sqrt(cores)))
+    return groups, max(1, (4 if blocks > groups else 1) * cores // groups) if blocks > 1 else 1
+
+
 def top_k(
     index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", keep: list[str] | None = None,
     block_rows: int = BLOCK_ROWS,
@@ -225,15 +237,14 @@ def top_k(
     queries = queries.select("query_id", "embedding")
     n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")) * 8, F.lit(0))).first()
     blocks = max(1, -(-n // block_rows))
-    # pairs of one query block are told apart, so that they spread
-    spread = max(1, index.sparkSession.sparkContext.defaultParallelism // blocks) if blocks > 1 else 1
+    groups, spread = _grid(blocks, index.sparkSession.sparkContext.defaultParallelism)
     asked = _pack(queries.repartition(blocks).withColumn("_key", F.spark_partition_id()), "_key", block_rows)
-    asked = asked.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda r: F.col("_key") * spread + r)).alias("_key"), F.col("rows").alias("queries"))
+    asked = asked.withColumn("_key", F.pmod("_key", F.lit(groups))).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda r: F.col("_key") * spread + r)).alias("_key"), F.col("rows").alias("queries"))
     held = _pack(
         index.select(*dict.fromkeys([id_col, "embedding", *(keep or [])])).withColumn("_part", F.spark_partition_id()), "_part", block_rows
     )
     own = F.pmod(F.monotonically_increasing_id(), F.lit(spread))
-    held = held.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda q: q * spread)).alias("_q"), own.alias("_r"), "rows")
+    held = held.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda q: q * spread)).alias("_q"), own.alias("_r"), "rows")
     held = held.select((F.col("_q") + F.col("_r")).alias("_key"), "rows")
     pairs = held.join(F.broadcast(asked) if size <= QUERY_BLOCK_BYTES else asked, "_key")
     return _final(_block_pairs(pairs, k, id_col, keep or []), k, id_col)
