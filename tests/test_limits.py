@@ -458,3 +458,23 @@ def test_copies_of_the_index_do_not_grow_with_the_queries():
     for blocks in (1, 8, 10**3, 10**6):
         groups, spread = vx._grid(blocks, 12)
         assert groups <= min(blocks, 7) and spread <= 7 * 4
+
+
+_ODD_QUESTIONS = ["a\t b", " a  b ", "x \n\u3000y", "\u2028 1、 ab12 ..... 7", "中文  题 目?", "q ... 3 ?", "a b c", "....", "é-é_é", "\U0001f600 a\x85b 12",
+                  "目录 one", "abc!", "ab cd", "", None, "12) What's (this)?  4", "a  1 2", "İ B  9？"]
+
+
+def test_question_forms_read_each_text_few_times(spark):
+    """The forms are those of the plain rules, without a rewrite of the whole text for each of them."""
+    space, core = tx.SPACE, r"[^A-Za-z0-9\x{4e00}-\x{9fff}]+"
+    rng = random.Random(7)
+    made = ["".join(rng.choice("aB1 9.·中?？\t\u3000()é、") for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    rows = spark.createDataFrame([(t,) for t in _ODD_QUESTIONS + made], "t string")
+    q, key = F.regexp_replace(tx.strip(F.col("t")), f"{space}+", " "), F.regexp_replace(tx.strip(F.lower("t")), tx.KEY_BRACKETS, "")
+    for pattern in (tx.LEADING_NUMBER, tx.DOT_LEADER, tx.TRAILING_PAGE):
+        q = tx.strip(F.regexp_replace(q, pattern, ""))
+    noise = (F.length(F.regexp_replace("t", core, "")) < 4) | F.col("t").rlike(tx.BANK_NOISE)
+    plain = rows.select("t", q, noise, F.regexp_replace(F.regexp_replace(key, tx.KEY_PUNCTUATION, ""), tx.LEADING_NUMBER, "")).collect()
+    t = F.col("t")
+    assert rows.select("t", tx.normalise_question(t), tx.is_question_noise(t), tx.question_key(t)).collect() == plain
+    assert "regexp_replace" not in str(tx.is_question_noise(t)) and str(tx.question_key(t)).count("regexp_replace") == 1
