@@ -2,66 +2,111 @@
 
 from __future__ import annotations
 
+import string
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .arrays import bind
-from .patterns import NORMAL_CHARS
-from .text import strip
+from .patterns import NORMAL_CHARS, SPACE_CHARS
 
 GRAM_LENGTHS = (3, 5, 10)
+# Normal characters of ASCII one by one: Java tests such a class in one look-up.
+_PLAIN = "".join("\\" + ch if ch in "[]-&~" else ch for ch in (
+    string.ascii_letters + string.digits + "_ \n\t,.!?;:'\"()[]{}<>-+*/=#@%&~`"))
+_CHARS = 1 << 20
 
 
 def _abnormal(c: Column) -> Column:
     """Characters outside the normal class: what is left without runs of it."""
-    return F.length(F.regexp_replace(c, f"[{NORMAL_CHARS}]+", ""))
+    rest = F.regexp_replace(c, f"[{_PLAIN}]+", "")
+    return F.length(F.regexp_replace(rest, f"[{NORMAL_CHARS}]+", ""))
 
 
 def garbled_ratio(c: Column) -> Column:
-    n = F.length(c)
-    return F.when(n > 0, F.lit(1.0) - (n - _abnormal(c)) / n).otherwise(0.0)
+    return bind(F.struct(F.length(c).alias("n"), _abnormal(c).alias("a")), lambda v: _garbled(v["n"], v["a"]))
+
+
+def _garbled(n: Column, abnormal: Column) -> Column:
+    return F.when(n > 0, F.lit(1.0) - (n - abnormal) / n).otherwise(0.0)
 
 
 def special_ratio(c: Column) -> Column:
-    n = F.length(c)
-    return F.when(n > 0, _abnormal(c) / n).otherwise(0.0)
+    return bind(F.struct(F.length(c).alias("n"), _abnormal(c).alias("a")), lambda v: _special(v["n"], v["a"]))
 
 
-def run_length(c: Column) -> Column:
-    """Four for every run of five or more equal characters."""
-    return F.size(F.regexp_extract_all(c, F.lit(r"(?d)(.)\1{4,}"), F.lit(0))) * 4
+def _special(n: Column, abnormal: Column) -> Column:
+    return F.when(n > 0, abnormal / n).otherwise(0.0)
 
 
-def gram_repeat(c: Column, n: int) -> Column:
-    """Length taken by the first n-gram that comes twice in a row and thrice in all.
+def _equal_at(codes: np.ndarray, ends: np.ndarray, step: int) -> np.ndarray:
+    """Positions whose character comes again ``step`` later in the same text."""
+    same = np.zeros(len(codes), bool)
+    np.equal(codes[step:], codes[:-step], out=same[:-step])
+    for back in range(1, step + 1):
+        same[(ends - back)[ends >= back]] = False
+    return np.flatnonzero(same)
 
-    A back reference inside a look-ahead lists every n-gram standing directly
-    before its own copy; only those can qualify, so the text is searched again
-    for a handful of strings instead of for every position.
-    """
-    twins = F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}})\\1)"), F.lit(1)))
-
-    def build(v: Column) -> Column:
-        cases = F.transform(
-            v["twins"],
-            lambda p: F.struct(
-                (F.position(p, v["t"]) - 1).alias("at"),
-                F.try_divide(
-                    F.length(v["t"]) - F.length(F.replace(v["t"], p, F.lit(""))), F.lit(n)
-                ).cast("int").alias("count"),
-            ),
-        )
-        valid = F.filter(cases, lambda s: (s["count"] > 2) & (s["at"] < F.length(v["t"]) - 2 * n))
-        return F.coalesce((F.array_min(valid)["count"] - 1) * n, F.lit(0))
 
-    return bind(F.struct(c.alias("t"), twins.alias("twins")), build)
+def _gram_length(text: str, twins: set[str], n: int) -> int:
+    """Length taken by the first of the n-grams that comes thrice in all."""
+    for at, gram in sorted((text.find(g), g) for g in twins):
+        if at < len(text) - 2 * n and (count := text.count(gram)) > 2:
+            return (count - 1) * n
+    return 0
 
 
-def repetition_ratio(c: Column) -> Column:
-    total = run_length(c)
+def _repeated(texts: list[str]) -> np.ndarray:
+    """Characters taken by repetition in each text.
+
+    Four for every run of five or more equal characters but line ends; and for
+    each gram length the first n-gram that comes twice in a row and thrice in
+    all.  Only n-grams directly before their own copy can qualify; they stand
+    where n neighbours in a row equal the characters n further on, so all texts
+    are compared with themselves at once.
+    """
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    ends = np.cumsum([len(t) for t in texts])
+    total = np.zeros(len(texts), np.int64)
+    if not len(codes):
+        return total
+    at = _equal_at(codes, ends, 1)
+    begins = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    runs = begins[begins + 3 < len(at)]
+    first = at[runs[at[runs + 3] - at[runs] == 3]]
+    np.add.at(total, np.searchsorted(ends, first[codes[first] != 10], "right"), 4)
     for n in GRAM_LENGTHS:
-        total = total + gram_repeat(c, n)
-    return F.when(F.length(c) >= 20, F.least(total / F.length(c), F.lit(1.0))).otherwise(0.0)
+        if len(codes) <= n:
+            continue
+        at = _equal_at(codes, ends, n)
+        twin = at[: 1 - n][at[n - 1:] - at[: 1 - n] == n - 1]
+        found: dict[int, set[str]] = {}
+        for i, pos in zip(np.searchsorted(ends, twin, "right").tolist(), twin.tolist(), strict=True):
+            start = int(ends[i]) - len(texts[i])
+            found.setdefault(i, set()).add(texts[i][pos - start: pos - start + n])
+        for i, twins in found.items():
+            total[i] += _gram_length(texts[i], twins, n)
+    return total
+
+
+@F.pandas_udf(DoubleType())
+def _repetition(c: pd.Series) -> pd.Series:
+    texts = c.fillna("").tolist()
+    sizes = np.array([len(t) for t in texts], np.int64)
+    total = np.zeros(len(texts), np.int64)
+    part = (np.cumsum(sizes) - sizes) // _CHARS  # texts of about a million characters are compared at once
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for begin, end in zip(cuts, cuts[1:]):
+        total[begin:end] = _repeated(texts[begin:end])
+    return pd.Series(np.where(sizes >= 20, np.minimum(total / np.maximum(sizes, 1), 1.0), 0.0))
+
+
+def repetition_ratio(c: Column) -> Column:
+    """Share of a text taken by runs and repeated n-grams; arrays inside tasks, a batch of rows at once."""
+    return _repetition(F.make_valid_utf8(c))
 
 
 def pair_issues(question: Column, answer: Column) -> Column:
@@ -95,19 +140,20 @@ def validate(
     Blank content carries only the overall score 0.
     """
     none = F.expr("cast(array() as array<string>)")
-    scores = F.struct(
-        garbled_ratio(content).alias("g"),
-        repetition_ratio(content).alias("r"),
-        special_ratio(content).alias("s"),
+    measured = F.struct(
+        F.length(content).alias("n"), _abnormal(content).alias("a"), repetition_ratio(content).alias("r")
     )
+    scored = lambda use: bind(measured, lambda v: bind(
+        F.struct(v["n"].alias("n"), _garbled(v["n"], v["a"]).alias("g"), v["r"].alias("r"), _special(v["n"], v["a"]).alias("s")), use
+    ))
 
     def with_issues(v: Column) -> Column:
         issues = F.concat(
             F.array_compact(
                 F.array(
                     F.when(
-                        F.length(content) < min_length,
-                        F.concat(F.lit("内容过短（"), F.length(content).cast("string"), F.lit("字符）")),
+                        v["n"] < min_length,
+                        F.concat(F.lit("内容过短（"), v["n"].cast("string"), F.lit("字符）")),
                     ),
                     F.when(
                         v["g"] > garbled_max,
@@ -156,9 +202,8 @@ def validate(
         no_score.alias("repetition_ratio"),
         no_score.alias("special_char_ratio"),
     )
-    return F.when(strip(F.coalesce(content, F.lit(""))) == "", blank).otherwise(
-        bind(scores, with_issues)
-    )
+    written = F.coalesce(content.rlike(f"[^{SPACE_CHARS}]"), F.lit(False))
+    return F.when(~written, blank).otherwise(scored(with_issues))
 
 
 def issue_kind(c: Column) -> Column:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from querent.functions import labels as lb
+from querent.functions import quality as ql_functions
 from querent.functions import segment as sg
 from querent.functions import text as tx
 from querent.functions.arrays import top_by_count
@@ -478,3 +479,27 @@ def test_question_forms_read_each_text_few_times(spark):
     t = F.col("t")
     assert rows.select("t", tx.normalise_question(t), tx.is_question_noise(t), tx.question_key(t)).collect() == plain
     assert "regexp_replace" not in str(tx.is_question_noise(t)) and str(tx.question_key(t)).count("regexp_replace") == 1
+
+
+def test_repetition_of_all_texts_at_once(spark):
+    """Texts compared together give what regular expressions find in each alone, ends included."""
+    rng = random.Random(11)
+    texts = ["", None, "a", "aaaaa" * 5, "\n" * 30, "abcabcabc" * 3, "x" * 19, "x" * 20, "\U0001f600" * 25, "ab\U0001f600" * 9, "0123456789" * 4]
+    texts += ["".join(rng.choice("ab\n") for _ in range(rng.randint(0, 45))) for _ in range(1500)] + ["", "abcab", "cabcabc" * 3]
+    t = F.col("t")
+    total = F.size(F.regexp_extract_all(t, F.lit(r"(?d)(.)\1{4,}"), F.lit(0))) * 4
+
+    def grams(n):
+        twins = F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}})\\1)"), F.lit(1)))
+        cases = F.transform(twins, lambda p: F.struct((F.position(p, t) - 1).alias("at"), (
+            (F.length(t) - F.length(F.replace(t, p, F.lit("")))) / n).cast("int").alias("count")))
+        valid = F.filter(cases, lambda s: (s["count"] > 2) & (s["at"] < F.length(t) - 2 * n))
+        return F.coalesce((F.array_min(valid)["count"] - 1) * n, F.lit(0))
+
+    total = total + grams(3) + grams(5) + grams(10)
+    alone = F.when(F.length(t) >= 20, F.least(total / F.length(t), F.lit(1.0))).otherwise(0.0)
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").repartition(3)
+    assert rows.where(~ql_functions.repetition_ratio(t).eqNullSafe(alone)).count() == 0
+    # no search of the whole text for each n-gram, no second count of abnormal characters
+    record = str(ql_functions.validate(t, t, t, F.lit("text")))
+    assert "regexp_extract_all" not in record and record.count("regexp_replace") == 2
