@@ -1,13 +1,12 @@
 """Vector index: embedding, append, exact and cell-pruned top-k.
 
 The heavy step, scores of a block of queries against a block of the index, is a
-matrix product on Arrow data: every pair of blocks is a row of a join, and hands
+matrix product on Arrow data: every pair of blocks is a row of a join, and a task hands
 on at most k rows per query.  Neither side passes through the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import path_exists
+from ..session import materialize, path_exists
 from .catalog import new_rows
 from .ranking import first_seen
 
@@ -23,6 +22,8 @@ from .ranking import first_seen
 QUERY_BLOCK_BYTES = 8 * 1024 * 1024
 # Rows of a block: two blocks and their scores are what a task holds.
 BLOCK_ROWS = 2048
+# Rows found that a task holds before it hands them on.
+HELD_ROWS = 1 << 22
 # Products of matrices may differ from sums by row in the last digits.
 _SLACK = 1e-9
 
@@ -133,25 +134,25 @@ def metadata_filter(**conditions) -> Column | None:
 
 
 # --- search -----------------------------------------------------------------------------
-def _best(matrix: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query and row numbers of the k best per query, ties by id, and their scores.
+def _best(matrix: np.ndarray, vectors: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query and row numbers, and scores, of all that can be among the k best per query; ``least`` are the scores to reach.
 
     The matrix product picks who can be among the k; these are scored again row
     by row, so that equal vectors get equal scores.
     """
     scores = matrix @ vectors.T
-    n = scores.shape[1]
-    if n > k:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero(scores >= kth - _SLACK * np.maximum(1.0, np.abs(kth)))
-    else:
-        rows, cols = np.divmod(np.arange(scores.size), max(n, 1))
-    exact = (matrix[rows] * vectors[cols]).sum(axis=1)
-    order = np.lexsort((ids[cols], -exact, rows))
-    rows, cols, exact = rows[order], cols[order], exact[order]
-    first = np.searchsorted(rows, np.arange(scores.shape[0]))
-    keep = np.arange(len(rows)) - first[rows] < k
-    return rows[keep], cols[keep], exact[keep]
+    if scores.shape[1] > k and np.isneginf(least).any():
+        least = np.maximum(least, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
+    least = np.where(np.isneginf(least), least, least - _SLACK * np.maximum(1.0, np.abs(least)))
+    rows, cols = np.nonzero((scores >= least[:, None]) | np.isneginf(least)[:, None])
+    return rows, cols, (matrix[rows] * vectors[cols]).sum(axis=1)
+
+
+def _merged(who: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best per query, ties by id, queries in order."""
+    order = np.lexsort((ids, -scores, who))
+    first = np.searchsorted(who[order], who[order])
+    return order[np.arange(len(order)) - first < k]
 
 
 def _pack(rows: DataFrame, key: str, block_rows: int) -> DataFrame:
@@ -184,7 +185,11 @@ def _matrix(rows) -> np.ndarray:
 
 
 def _block_pairs(pairs: DataFrame, k: int, id_col: str, keep: list[str]) -> DataFrame:
-    """The k best of every packed block (``rows``) for each query of the packed block beside it (``queries``)."""
+    """The k best of all packed blocks (``rows``) that stand in one task beside a packed block of ``queries`` (``block``), for each of its queries.
+
+    What has been found for a query is held, and later rows must reach its k-th
+    score; it is handed on at the end, or when a task holds too much.
+    """
     import pyarrow as pa
 
     names = [id_col, *[c for c in keep if c != id_col]]
@@ -192,17 +197,36 @@ def _block_pairs(pairs: DataFrame, k: int, id_col: str, keep: list[str]) -> Data
     q_type = pairs.schema["queries"].dataType.elementType["query_id"].dataType.simpleString()
     ddl = f"query_id {q_type}, score double, " + ", ".join(f"`{c}` {types[c]}" for c in names)
 
+    def out(asked, least, who, scores, found):
+        return pa.RecordBatch.from_arrays([asked.take(pa.array(who)), pa.array(scores), *found], names=["query_id", "score", *names])
+
     def best(batches):
+        held: dict[int, tuple] = {}
+        total = 0
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, queries = (batch.column(c).slice(i, 1).flatten() for c in ("rows", "queries"))
-                ids = rows.field(id_col).to_numpy(zero_copy_only=False)
-                who, cols, scores = _best(_matrix(queries), _matrix(rows), ids, k)
-                found = rows.take(pa.array(cols))
-                yield pa.RecordBatch.from_arrays(
-                    [queries.field("query_id").take(pa.array(who)), pa.array(scores), *[found.field(c) for c in names]],
-                    names=["query_id", "score", *names],
-                )
+                block = batch.column("block")[i].as_py()
+                if block not in held:
+                    # copied, so that nothing holds on to the batch
+                    asked, none = queries.field("query_id").take(pa.array(np.arange(len(queries)))), pa.array([], pa.int64())
+                    held[block] = (asked, np.full(len(asked), -np.inf), np.zeros(0, int), np.zeros(0), [rows.field(c).take(none) for c in names])
+                asked, least, *old = held[block]
+                who, cols, scores = _best(_matrix(queries), _matrix(rows), k, least)
+                if not len(who):
+                    continue
+                found = [pa.concat_arrays([x, rows.field(c).take(pa.array(cols))]) for x, c in zip(old[2], names)]
+                who, scores = np.concatenate([old[0], who]), np.concatenate([old[1], scores])
+                kept = _merged(who, scores, found[0].to_numpy(zero_copy_only=False), k)
+                who, scores = who[kept], scores[kept]
+                last = np.searchsorted(who, np.arange(len(asked)), "right") - 1
+                full = np.bincount(who, minlength=len(asked)) == k
+                held[block] = (asked, np.where(full, scores[last], -np.inf), who, scores, [c.take(pa.array(kept)) for c in found])
+                total += len(who) - len(old[0])
+                if total > HELD_ROWS:
+                    yield from (out(*x) for x in held.values())
+                    held, total = {}, 0
+        yield from (out(*x) for x in held.values())
 
     return pairs.mapInArrow(best, ddl).select("query_id", id_col, "score", *names[1:])
 
@@ -212,17 +236,6 @@ def _final(found: DataFrame, k: int, id_col: str) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _grid(blocks: int, cores: int) -> tuple[int, int]:
-    """Groups of query blocks, and parts of the index that each of them meets apart.
-
-    The index travels once to every group, the queries once to every part, so
-    what is shuffled grows with the rows, not with pairs of blocks; blocks of a
-    group and a part are paired where they have met.
-    """
-    groups = min(blocks, math.ceil(2 * math.sqrt(cores)))
-    return groups, max(1, (4 if blocks > groups else 1) * cores // groups) if blocks > 1 else 1
-
-
 def top_k(
     index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", keep: list[str] | None = None,
     block_rows: int = BLOCK_ROWS,
@@ -231,22 +244,27 @@ def top_k(
 
     ``queries`` has query_id and embedding and may be as large as the index: both
     sides are cut into blocks, every pair of blocks meets in one row, and a task
-    holds one pair.  Queries of one bounded block travel to the index, which then
-    is not shuffled; beyond it the pairs are dealt out as a grid.
+    holds one pair and what it has found.  Queries of one bounded block travel to
+    the index.  Beyond it the blocks of both sides are written once and read by
+    pairs of partitions, so that neither is shuffled; the index is then cut into
+    no more partitions than keep the cores at work, since each of them hands on
+    k rows per query.
     """
     queries = queries.select("query_id", "embedding")
     n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")) * 8, F.lit(0))).first()
-    blocks = max(1, -(-n // block_rows))
-    groups, spread = _grid(blocks, index.sparkSession.sparkContext.defaultParallelism)
-    asked = _pack(queries.repartition(blocks).withColumn("_key", F.spark_partition_id()), "_key", block_rows)
-    asked = asked.withColumn("_key", F.pmod("_key", F.lit(groups))).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda r: F.col("_key") * spread + r)).alias("_key"), F.col("rows").alias("queries"))
+    small = size <= QUERY_BLOCK_BYTES
+    asked = _pack((queries.repartition(max(1, -(-n // block_rows))) if small else queries).withColumn("_key", F.spark_partition_id()), "_key", block_rows)
+    asked = asked.select(F.monotonically_increasing_id().alias("block"), F.col("rows").alias("queries"))
     held = _pack(
         index.select(*dict.fromkeys([id_col, "embedding", *(keep or [])])).withColumn("_part", F.spark_partition_id()), "_part", block_rows
-    )
-    own = F.pmod(F.monotonically_increasing_id(), F.lit(spread))
-    held = held.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda q: q * spread)).alias("_q"), own.alias("_r"), "rows")
-    held = held.select((F.col("_q") + F.col("_r")).alias("_key"), "rows")
-    pairs = held.join(F.broadcast(asked) if size <= QUERY_BLOCK_BYTES else asked, "_key")
+    ).select("rows")
+    if small:
+        pairs = held.crossJoin(F.broadcast(asked))
+    else:
+        asked, held = materialize(asked, "query-blocks"), materialize(held, "index-blocks")
+        cores = index.sparkSession.sparkContext.defaultParallelism
+        parts = -(-2 * cores // max(1, asked.rdd.getNumPartitions()))
+        pairs = held.coalesce(parts).hint("shuffle_replicate_nl").crossJoin(asked)
     return _final(_block_pairs(pairs, k, id_col, keep or []), k, id_col)
 
 
@@ -312,7 +330,7 @@ def top_k_cells(
     """
     celled = nearest_cells(queries.select("query_id", "embedding"), centres, max(2, probes), "cells")
     near = celled.select("query_id", "embedding", F.explode(F.slice("cells", 1, probes)).alias("cell"))
-    asked = _pack(near.repartition("cell"), "cell", block_rows).withColumnRenamed("rows", "queries")
+    asked = _pack(near.repartition("cell"), "cell", block_rows).withColumnRenamed("rows", "queries").withColumn("block", F.monotonically_increasing_id())
     held = _pack(index.select(*dict.fromkeys([id_col, "embedding", *(keep or []), "cell"])), "cell", block_rows)
     return _final(_block_pairs(held.join(asked, "cell"), k, id_col, keep or []), k, id_col)
 
